@@ -1,8 +1,11 @@
 """The queries of this folder by name, and DuckDB SQL for those that it can express."""
 
-from . import simhash
+from . import langid, mixing, simhash, tokens
 
 QUERIES = {
+    "op1_token_ids": tokens.op1_token_ids,
+    "op4_language_id": langid.op4_language_id,
+    "op6_mixing": mixing.op6_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
 
