@@ -1,12 +1,22 @@
 """The queries of this folder by name, and DuckDB SQL for those that it can express."""
 
-from . import langid, mixing, simhash, tokens
+from . import chat, decontam, html, langid, linedup, media, mixing, simhash, tokens, urlfilter
 
 QUERIES = {
     "op1_token_ids": tokens.op1_token_ids,
+    "op2_decontamination": decontam.op2_decontamination,
+    "op3_html_text": html.op3_html_text,
     "op4_language_id": langid.op4_language_id,
+    "op5_line_dedup": linedup.op5_line_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op7_url_filter": urlfilter.op7_url_filter,
+    "op8_media": media.op8_media,
+    "op9_preference_format": chat.op9_preference_format,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_line_dedup": linedup.ORACLE,
+    "op7_url_filter": urlfilter.ORACLE,
+    "op9_preference_format": chat.ORACLE,
+}

@@ -187,12 +187,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a kept doc_id the one whose text comes first stays. Rows without doc_id stay.
     """
-    kept = stored(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").count(), "kept-ids")
-    stay = docs.join(kept, "doc_id").select(*docs.columns, "count")
-    out = stay.where("count = 1").select(*docs.columns)
-    if not kept.where("count > 1").isEmpty():
+    kept = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
+    kept = stored(kept.withColumnRenamed("doc_id", "__kept"), "kept-ids")
+    stay = docs.join(kept, F.col("doc_id") == F.col("__kept"))
+    out = stay.where("__rows = 1").select(*docs.columns)
+    if not kept.where("__rows > 1").isEmpty():
         first = Window.partitionBy("doc_id").orderBy("text")
-        out = out.unionByName(stay.where("count > 1").withColumn("count", F.row_number().over(first)).where("count = 1").select(*docs.columns))
+        out = out.unionByName(stay.where("__rows > 1").withColumn("__rows", F.row_number().over(first)).where("__rows = 1").select(*docs.columns))
     return out.unionByName(docs.where("doc_id IS NULL"))
 
 
