@@ -182,7 +182,7 @@ def fit(docs: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, then lang_pred, score and rejected."""
+    """The columns of docs other than those that are added: lang_pred, score and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     taken = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
 
@@ -198,7 +198,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def identified(docs: DataFrame) -> DataFrame:
     """The documents whose language the model does not reject; columns as they came."""
-    return predict(docs, fit(docs)).where("NOT rejected").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([not shared.value.predict(t)[2] for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
