@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-MAX_EDIT, RECALL, BITS, MOST_REPEATS = 0.2, 0.995, 2, 96
+MAX_EDIT, RECALL, BITS, MOST_REPEATS, TRIALS = 0.2, 0.998, 2, 96, 500
 BLOCK_ITEMS, BLOCK_CHARS = 5000, 8_000_000
 #: Words of documents that are looked at together.
-BATCH_WORDS = 1 << 21
+BATCH_WORDS = 1 << 20
 _WORDS = re.compile(r"\w+")
 
 
@@ -61,6 +61,12 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
+def _expanded(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of counts numbers from starts: the index of each number's range, and the number."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+
+
 class Items:
     """A block of items, ready to be looked for."""
 
@@ -82,12 +88,13 @@ class Items:
         self.repeats = self._repeats()
         #: For each length and repetition: the keys of its items, sorted, and the items.
         self.keys = {}
-        for m, of in self.sized.items():
-            flat, starts = np.concatenate([self.items[k] for k in of]), np.arange(len(of)) * m
-            for r in range(self.repeats):
-                key = self.key(flat, starts, m, r)
+        flat = np.concatenate([*self.items, np.full(self.longest, -1, dtype=np.int64)]) if self.items else np.zeros(0, np.int64)
+        begins = np.cumsum([0, *map(len, self.items)])
+        starts, of = begins[:-1], {m: np.array(k) for m, k in self.sized.items()}
+        for r in range(self.repeats):
+            for m, key in self.sampled(flat, starts, of, r):
                 order = np.argsort(key, kind="stable")
-                self.keys[m, r] = key[order], np.array(of)[order]
+                self.keys[m, r] = key[order], of[m][order]
 
     @staticmethod
     def limit(m: int) -> int:
@@ -115,32 +122,36 @@ class Items:
         hit[at] = grams[np.minimum(np.searchsorted(grams, code), len(grams) - 1)] == code if len(grams) else False
         return hit
 
-    def key(self, flat: np.ndarray, starts: np.ndarray, m: int, r: int) -> np.ndarray:
-        """The sampled places of repetition r's walk over the windows of m words at starts.
+    def sampled(self, flat: np.ndarray, starts: np.ndarray, sets: dict[int, np.ndarray], r: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each length m in sets, the keys of repetition r for windows of m words at the starts that the set names.
 
-        Places are drawn from the first m steps, in which a walk can't leave its window.
+        A walk doesn't depend on the length, so one walk from each start serves all. Places are drawn from the first m
+        steps, in which a walk can't leave its window.
         """
-        rng = np.random.default_rng((self.seed, m, r))
-        places = set(rng.choice(m, size=min(BITS, m), replace=False).tolist())
-        at, key = starts.copy(), np.zeros(len(starts), dtype=np.uint64)
-        for j in range(max(places) + 1):
+        places = {m: np.random.default_rng((self.seed, m, r)).choice(m, size=min(BITS, m), replace=False).tolist() for m in sets}
+        wanted = {p for ps in places.values() for p in ps}
+        at, seen = starts.copy(), {}
+        for j in range(max(wanted, default=-1) + 1):
             if j % 64 == 0:  # 64 steps' bits for each word; the last is for the gaps between texts
                 bits = _mixed(np.arange(self.base + 1), (r << 20) + j + 1)
             word = flat[at]
-            if j in places:
-                key = _mixed(key ^ word.astype(np.uint64), j)
+            if j in wanted:
+                seen[j] = word
             at += (bits[word] >> np.uint64(j % 64) & np.uint64(1)).astype(np.int64)
-        return key
+        for m, of in sets.items():
+            key = np.zeros(len(of), dtype=np.uint64)
+            for p in places[m]:
+                key = _mixed(key ^ seen[p][of].astype(np.uint64), p)
+            yield m, key
 
     def _repeats(self) -> int:
         """The repetitions that reach RECALL on items with as many edits as the limit allows."""
         rng = np.random.default_rng(self.seed)
         tried = []
-        for k in rng.permutation(len(self.items))[:200].tolist():
-            a = self.items[k]
+        some = [a for a in self.items if self.limit(len(a))]
+        for k in range(TRIALS if some else 0):
+            a = some[k % len(some)]
             m = len(a)
-            if not self.limit(m):
-                continue
             b = a.copy()
             for kind in rng.integers(0, 4, self.limit(m)).tolist():
                 p = int(rng.integers(0, m))
@@ -150,11 +161,11 @@ class Items:
                 tried.append((a, b))
         if not tried:
             return 1
-        found = np.zeros(len(tried), dtype=bool)
+        found, gap = np.zeros(len(tried), dtype=bool), np.full(self.longest, -1)
         for r in range(MOST_REPEATS):
             for k, (a, b) in enumerate(tried):
                 if not found[k]:
-                    one, two = self.key(np.concatenate([a, b]), np.array([0, len(a)]), len(a), r)
+                    ((_, (one, two)),) = self.sampled(np.concatenate([a, b, gap]), np.array([0, len(a)]), {len(a): np.arange(2)}, r)
                     found[k] = one == two
             if found.mean() >= RECALL:
                 return r + 1
@@ -202,28 +213,30 @@ class Items:
         near = self._near(hits[2], 2) if near is None else near
         near = np.arange(len(flat)) if near is None else near
         before = {q: np.concatenate([[0], np.cumsum(h)]) for q, h in hits.items()}
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        windows = {}
         for m in self.sized:
-            limit = self.limit(m)
             s = near[: np.searchsorted(near, len(flat) - m, side="right")]
             for q in reversed(before):
                 if self.need(m, q) > 0:
                     s = s[before[q][s + m - q + 1] - before[q][s] >= self.need(m, q)]
-            if not len(s):
-                continue
-            found = []
-            for r in range(self.repeats):
+            if len(s):
+                windows[m] = s
+        if not windows:
+            return
+        starts = np.unique(np.concatenate(list(windows.values())))
+        sets = {m: np.searchsorted(starts, s) for m, s in windows.items()}
+        pairs: dict[int, list[np.ndarray]] = {m: [] for m in windows}
+        for r in range(self.repeats):
+            for m, key in self.sampled(flat, starts, sets, r):
                 keys, of = self.keys[m, r]
-                key = self.key(flat, s, m, r)
                 lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                many = hi - lo
-                i = np.repeat(np.arange(len(s)), many)
-                j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-                found.append(s[i] * len(self.items) + of[j])
-            pairs = np.unique(np.concatenate(found))
-            for c in range(0, len(pairs), 20_000):
-                part = pairs[c : c + 20_000]
-                start, item = part // len(self.items), part % len(self.items)
+                i, j = _expanded(lo, hi - lo)
+                pairs[m].append(windows[m][i] * len(self.items) + of[j])
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for m, found in pairs.items():
+            limit, both = self.limit(m), np.unique(np.concatenate(found))
+            for c in range(0, len(both), 20_000):
+                start, item = both[c : c + 20_000] // len(self.items), both[c : c + 20_000] % len(self.items)
                 dist = edit_distances(np.stack([self.items[k] for k in item.tolist()]), flat[start[:, None] + np.arange(m)])
                 ok = dist <= limit
                 for p, k, d in zip(start[ok].tolist(), item[ok].tolist(), dist[ok].tolist(), strict=True):

@@ -100,7 +100,7 @@ class Model:
                 else:
                     total += np.ones(len(of), np.float32) @ self.table.take(of, axis=0)
                 n += len(of)
-        return total / n + self.bias if n else None
+        return total / n + self.bias if n and self.langs else None
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated score, rejected."""

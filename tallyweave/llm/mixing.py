@@ -177,3 +177,31 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+
+
+_SWAP = """list_reduce({rounds}, lambda x, r: CASE WHEN ('0x' || substr(md5('mix|bit|' || sid || '|' || passes || '|' || r || '|' || greatest(x, {other})), 1, 8))::BIGINT % 2 = 1 THEN {other} ELSE x END, {start})"""
+_OTHER = "(((('0x' || substr(md5('mix|key|' || sid || '|' || passes || '|' || r), 1, 8))::BIGINT % blocks - x) % blocks + blocks) % blocks)"
+_PLACE = _SWAP.format(rounds=f"range({ROUNDS - 1}, -1, -1)", other=_OTHER, start="{start}")
+#: The same targets, streams and permutations; which shard a slot lies in makes no difference to what is taken.
+ORACLE = rf"""
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") AS sid FROM sized GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][((sid - 1) % 3 + 1)::INT] AS weight FROM per),
+stops AS (SELECT *, source_size * {float(CAP)}::DOUBLE / weight AS stop FROM weighed),
+scales AS (SELECT *, (sum(source_size) OVER () * {SHARE}::DOUBLE - (sum(source_size) OVER o - source_size) * {float(CAP)}::DOUBLE) / (sum(weight) OVER () - sum(weight) OVER o + weight) AS scale FROM stops WINDOW o AS (ORDER BY stop, sid)),
+chosen AS (SELECT arg_min(scale, (stop, sid)) FILTER (scale <= stop) AS scale FROM scales),
+plan AS (SELECT sid, source, source_size, least(source_size * {float(CAP)}::DOUBLE, weight * chosen.scale) AS target FROM scales, chosen),
+need AS (
+  SELECT *, words // source_size AS passes, words % source_size AS rest, source_size - (blocks - 1) * {BLOCK} AS short
+  FROM (SELECT *, least(floor(target)::BIGINT, source_size * {CAP}) AS words, (source_size + {BLOCK - 1}) // {BLOCK} AS blocks FROM plan WHERE source_size > 0)),
+ends AS (SELECT *, {_PLACE.format(start="blocks - 1")} AS short_at FROM need),
+slots AS (SELECT *, {_PLACE.format(start="k")} AS nth FROM (SELECT *, unnest(range(blocks)) AS k FROM ends)),
+cut AS (SELECT sid, k, least(CASE WHEN k = blocks - 1 THEN short ELSE {BLOCK} END, rest - (nth * {BLOCK} - CASE WHEN short_at < nth THEN {BLOCK} - short ELSE 0 END)) AS take FROM slots),
+placed AS (
+  SELECT s.*, p.sid, p.source_size, p.target, sum(size) OVER (PARTITION BY p.sid ORDER BY doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+pieces AS (SELECT *, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS k FROM placed WHERE size > 0),
+part AS (SELECT p.sid, start, sum(greatest(0, least(p.k * {BLOCK} + take, start + size) - greatest(p.k * {BLOCK}, start)))::BIGINT AS n FROM pieces p JOIN cut c ON p.sid = c.sid AND p.k = c.k AND take > 0 GROUP BY 1, 2)
+SELECT doc_id, size, p.source_size, p.target, (CASE WHEN size = 0 THEN 0 ELSE n.passes * size + coalesce(part.n, 0) END)::BIGINT AS taken
+FROM placed p LEFT JOIN need n ON p.sid = n.sid LEFT JOIN part ON p.sid = part.sid AND p.start = part.start AND size > 0
+"""

@@ -34,7 +34,9 @@ from .common import new_path, table
 BLOCK, PERCENTILE = 256, 90
 SEGMENT_IDS = 1 << 20
 #: Words whose ids each Python worker remembers.
-KNOWN_WORDS = 700_000
+KNOWN_WORDS = 300_000
+#: Bytes of text that are split into words together.
+SLICE = 1 << 20
 END_ID = 1
 HEAD = struct.Struct("<4sHHQQQ")
 _MARK = "\x7f"
@@ -75,20 +77,26 @@ class WordEncoder:
             out.update(zip(part, map(data.__getitem__, map(slice, starts, [*ends.tolist(), len(data)])), strict=True))
         return out
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """The ids of each text without an end id, as bytes of u32."""
-        split = [t.split() if t else [] for t in texts]
+        held, size = [], 0
+        for text in texts:
+            held.append(text or b"")
+            size += len(held[-1])
+            if size >= SLICE:
+                yield from self._encode(held)
+                held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
         distinct = set().union(*split)
         new = [w for w in distinct if w not in self.known]
         fresh = self._words(new)
-        if len(self.known) + len(fresh) <= KNOWN_WORDS:
-            self.known.update(fresh)
-            get = self.known.__getitem__
-        else:
-            room = KNOWN_WORDS - len(self.known)
-            here = {w: self.known[w] for w in distinct if w in self.known} | fresh
-            self.known.update(zip(new[:room], map(fresh.__getitem__, new[:room]), strict=True))
-            get = here.__getitem__
+        room = KNOWN_WORDS - len(self.known)
+        here = self.known if len(fresh) <= room else {w: self.known[w] for w in distinct if w in self.known} | fresh
+        self.known.update(zip(new[:room], map(fresh.__getitem__, new[:room]), strict=True))
+        get = here.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 

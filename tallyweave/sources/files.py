@@ -69,13 +69,14 @@ def detected_delimiter(lines: list[str]) -> str:
 
 
 def header_score(cells: list[str | None]) -> float:
-    """How much a row looks like a header: letters, different cells, no numbers."""
-    cells = [str(c).strip() for c in cells if c is not None and str(c).strip()]
-    if not cells:
+    """How much a row looks like a header: cells with letters, different cells, cells that are no numbers; blank cells count for nothing."""
+    cells = [(c or "").strip() for c in cells]
+    if not any(cells):
         return 0.0
-    number = re.compile(r"-?[\d.,]+$")
-    letters = sum(sum(c.isalpha() for c in x) / len(x) for x in cells) / len(cells)
-    return letters + len({c.lower() for c in cells}) / len(cells) + sum(not number.match(c) for c in cells) / len(cells)
+    full = [c for c in cells if c]
+    number = re.compile(r"-?[\d.\-]+$")
+    letters = sum(any(ch.isalpha() for ch in c) for c in full)
+    return (letters + len({c.lower() for c in full}) + sum(not number.match(c) for c in full)) / len(cells)
 
 
 def header_row(rows: list[list[str | None]]) -> int:
@@ -117,12 +118,15 @@ def read_text_table(spark: SparkSession, path: str) -> DataFrame:
     rows = [line.split(sep) for line in lines[:15]]
     at = header_row(rows)
     names = column_names([c.strip().strip('"') for c in rows[at]]) if rows else ["column_1"]
-    java = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1", "utf-16": "UTF-16"}[encoding]
+    java = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "utf-16": "UTF-16"}.get(encoding, "ISO-8859-1")
+    # Spark reads no Windows code page: it differs from ISO-8859-1 in what are control characters there.
+    windows = bytes(c for c in range(128, 160) if c not in (129, 141, 143, 144, 157))
+    recoded = lambda c: F.translate(c, windows.decode("latin-1"), windows.decode("cp1252")) if encoding == "cp1252" else c
     raw = spark.read.option("encoding", java).option("sep", sep).option("mode", "PERMISSIVE").schema(", ".join(f"`_c{i}` string" for i in range(len(names)))).csv(path)
     bom = lambda c: F.regexp_replace(c, "^﻿", "")
     order = raw.withColumn("__at", F.monotonically_increasing_id())
     data = order.where(F.col("__at") > at) if at or lines else order
-    return data.select(*(bom(F.col(f"_c{i}")).alias(n) for i, n in enumerate(names))).where(F.coalesce(*(F.col(f"`{n}`") for n in names)).isNotNull())
+    return data.select(*(recoded(bom(F.col(f"_c{i}"))).alias(n) for i, n in enumerate(names))).where(F.coalesce(*(F.col(f"`{n}`") for n in names)).isNotNull())
 
 
 def read_json_table(spark: SparkSession, path: str) -> DataFrame:
