@@ -97,7 +97,7 @@ def drawn(plan: DataFrame, shard_slots: int) -> DataFrame:
     spark = plan.sparkSession
     total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     if not total:
-        return spark.createDataFrame([], "shard long, slot long, sid int, seq long")
+        return spark.range(0).select(F.col("id").alias("shard"), F.col("id").alias("slot"), F.col("id").cast("int").alias("sid"), F.col("id").alias("seq"))
     cells = 1 << 12
     span = F.lit(float(1 << 32)) / F.lit(float(total))
     to = F.sum("slots").over(Window.orderBy("sid"))

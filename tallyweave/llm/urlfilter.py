@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Parts that captures of the same domain and month are dealt into, as top-level domains are those of many hosts.
+SALTS = 16
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
@@ -41,15 +43,16 @@ def _month(t: Column) -> Column:
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """All rows of captures (page_id, url, fetched) with host, pattern, action, since, until of the entry that decides, and blocked."""
     rows = captures.select("page_id", "url", "fetched", host_of(F.col("url")).alias("host"))
-    last = rows.agg(F.max("fetched").alias("last"))
-    spans = validity(entries).crossJoin(F.broadcast(last)).where("since <= last")  # one row beside each entry
+    last = rows.agg(F.max("fetched").alias("last")).scalar()
+    spans = validity(entries).withColumn("last", last).where("since <= last")
     to = F.least(_month(F.coalesce("until", "last")), _month(F.col("last")))
     spans = spans.withColumn("month", F.explode(F.sequence(_month(F.col("since")), to))).drop("last")
+    spans = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     times = rows.where("host IS NOT NULL AND fetched IS NOT NULL").select("host", "fetched").distinct()
     parts = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    asked = times.withColumn("pattern", F.explode(parents)).withColumn("month", _month(F.col("fetched")))
-    met = asked.join(spans, ["pattern", "month"]).where("since <= fetched AND (until IS NULL OR fetched < until)")
+    asked = times.withColumn("pattern", F.explode(parents)).withColumn("month", _month(F.col("fetched"))).withColumn("salt", F.pmod(F.xxhash64("host", "fetched"), F.lit(SALTS)).cast("int"))
+    met = asked.join(spans, ["pattern", "month", "salt"]).where("since <= fetched AND (until IS NULL OR fetched < until)")
     entry = F.max_by(F.struct("pattern", "action", "since", "until"), F.length("pattern")).alias("e")
     found = met.groupBy("host", "fetched").agg(entry)
     out = rows.join(found, ["host", "fetched"], "left")
@@ -70,7 +73,8 @@ def demo_entries(pages: DataFrame) -> DataFrame:
     blocks = hosts.select("pattern", F.lit("block").alias("action"), F.timestamp_seconds(day).alias("since"))
     allows = hosts.where("h % 8 = 0").select("pattern", F.lit("allow").alias("action"), F.timestamp_seconds(day + 45 * 86_400).alias("since"))
     by_hand = [("example.net", "block", "2024-03-01"), ("example.net", "allow", "2024-05-01"), ("example.org", "block", "2024-01-09"), ("example.org", "allow", "2024-01-09"), ("blog.example.com", "block", "2023-06-01")]
-    hand = pages.sparkSession.createDataFrame(by_hand, "pattern string, action string, day string").select("pattern", "action", F.col("day").cast("timestamp").alias("since"))
+    hand = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(a).alias("action"), F.lit(d).cast("timestamp").alias("since")) for p, a, d in by_hand))
+    hand = pages.sparkSession.range(1).select(F.inline(hand))
     return blocks.unionByName(allows).unionByName(hand)
 
 
