@@ -22,9 +22,11 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,17 +35,25 @@ from .common import new_path, table
 
 BLOCK, PERCENTILE = 256, 90
 SEGMENT_IDS = 1 << 20
-#: Words whose ids each Python worker remembers.
-KNOWN_WORDS = 300_000
+#: Words, and runs of letters, whose ids each Python worker remembers.
+KNOWN_WORDS, KNOWN_RUNS = 300_000, 600_000
 #: Bytes of text that are split into words together.
-SLICE = 1 << 20
+SLICE = 1 << 22
 END_ID = 1
 HEAD = struct.Struct("<4sHHQQQ")
 _MARK = "\x7f"
+_WORD_END = "</w>"
+#: Letters of Latin up to U+023F but the one whose lower case is no letter alone, and the ASCII marks after them.
+_RUN = r"^(?P<run>[a-zA-Z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{23F}]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
 
 
 class WordEncoder:
-    """Encodes texts word by word: this tokenizer never joins across white space, so a word's ids depend on the word alone."""
+    """Encodes texts word by word: this tokenizer never joins across white space, so a word's ids depend on the word alone.
+
+    It also splits between letters and the marks after them, so Latin words share the ids of their letters. A letter
+    run's last id, and no other, is that of a token that ends a word; this tells the words of a common call apart, and
+    any call in which the counts differ is encoded in the general way.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,53 +61,90 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.known, self.runs = {"": b""}, {}
         mark = self._ids(_MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(_WORD_END)]] = True
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of words, as bytes of u32; many at a time with a mark between them."""
+    @staticmethod
+    def _cut(words: list[str], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> dict[str, bytes]:
+        data = ids.tobytes()
+        return dict(zip(words, map(data.__getitem__, map(slice, (4 * starts).tolist(), (4 * stops).tolist())), strict=True))
+
+    def _any(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of any words; many at a time with a mark between them."""
         out, plain = {}, []
         for w in words:
-            if self.mark is None or b"\x7f" in w:
-                out[w] = np.array(self._ids(w.decode()), dtype="<u4").tobytes()
+            if self.mark is None or _MARK in w:
+                out[w] = np.array(self._ids(w), dtype="<u4").tobytes()
             else:
                 plain.append(w)
         for i in range(0, len(plain), 5000):
             part = plain[i : i + 5000]
-            ids = np.array(self._ids(f" {_MARK} ".join(w.decode() for w in part)), dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark) * 4
-            if len(ends) != len(part) - 1:
+            ids = np.array(self._ids(f" {_MARK} ".join(part)), dtype="<u4")
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) != len(part) - 1:
                 raise ValueError("the tokenizer split the words in another way")
-            data = ids.tobytes()
-            starts = [0, *(ends + 4).tolist()]
-            out.update(zip(part, map(data.__getitem__, map(slice, starts, [*ends.tolist(), len(data)])), strict=True))
+            out |= self._cut(part, ids, np.append(0, marks + 1), np.append(marks, len(ids)))
         return out
 
-    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """The ids of each text without an end id, as bytes of u32."""
-        held, size = [], 0
-        for text in texts:
-            held.append(text or b"")
-            size += len(held[-1])
-            if size >= SLICE:
-                yield from self._encode(held)
-                held, size = [], 0
-        yield from self._encode(held)
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        distinct = set().union(*split)
-        new = [w for w in distinct if w not in self.known]
-        fresh = self._words(new)
-        room = KNOWN_WORDS - len(self.known)
-        here = self.known if len(fresh) <= room else {w: self.known[w] for w in distinct if w in self.known} | fresh
-        self.known.update(zip(new[:room], map(fresh.__getitem__, new[:room]), strict=True))
-        get = here.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+    def _letters(self, runs: list[str]) -> dict[str, bytes]:
+        """The ids of runs of Latin letters."""
+        out = {}
+        for i in range(0, len(runs), 5000):
+            part = runs[i : i + 5000]
+            ids = np.array(self._ids(" ".join(part)), dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            out |= self._cut(part, ids, np.append(0, stops[:-1]), stops) if len(stops) == len(part) and stops[-1] == len(ids) else self._any(part)
+        return out
+
+    def _kept(self, keep: dict[str, bytes], bound: int, words: list[str], encode) -> list[bytes]:
+        """The ids of distinct words, from those that are kept or else by encode."""
+        ids = list(map(keep.get, words))
+        fresh = encode([w for w, i in zip(words, ids, strict=True) if i is None])
+        keep.update(islice(fresh.items(), max(0, bound - len(keep))))
+        return [fresh[w] if i is None else i for w, i in zip(words, ids, strict=True)] if fresh else ids
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text (strings) without an end id, as bytes of u32."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+        for i, j in pairwise(cuts):
+            yield from self._encode(texts.slice(i, j - i))
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        """Distinct words first: each is a run of letters with marks after it, or any other word; then the ids of all places."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        parts = pc.extract_regex(coded.dictionary, _RUN)
+        plain = parts.is_valid()
+        run, tail = (pc.struct_field(parts, k).filter(plain).dictionary_encode() for k in ("run", "tail"))
+        other = coded.dictionary.filter(pc.invert(plain))
+        pieces = [
+            *self._kept(self.runs, KNOWN_RUNS, run.dictionary.to_pylist(), self._letters),
+            *self._kept(self.known, KNOWN_WORDS, tail.dictionary.to_pylist(), self._any),
+            *self._kept(self.known, KNOWN_WORDS, other.to_pylist(), self._any),
+            b"",
+        ]
+        plain = plain.to_numpy(zero_copy_only=False)
+        two = np.full((len(plain), 2), len(pieces) - 1)
+        two[plain, 0] = run.indices.to_numpy()
+        two[plain, 1] = tail.indices.to_numpy() + len(run.dictionary)
+        two[~plain, 0] = np.arange(len(other)) + len(run.dictionary) + len(tail.dictionary)
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = two[coded.indices.to_numpy()].reshape(-1)
+        many = sizes[at]
+        before = np.append(0, np.cumsum(many))
+        ids = np.frombuffer(b"".join(pieces), dtype="<u4")[np.repeat(starts[at] - before[:-1], many) + np.arange(before[-1])]
+        data, ends = ids.tobytes(), (4 * before[2 * lists.offsets.to_numpy()]).tolist()
+        return [data[i:j] for i, j in pairwise(ends)]
 
 
 @cache
@@ -138,10 +185,16 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> t
     out[tail + rank] = pos
     _scatter(out, tail + many[row] + 4 * rank, v[row, pos].astype("<u4"))
     v[over] = 0
-    for w in np.unique(width[width > 0]):
+    for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        bits = (v[rows][:, :, None] >> np.arange(w, dtype=np.uint32) & 1).astype(np.uint8)
-        packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+        columns = v[rows].T.astype(np.uint64)
+        words = np.zeros((-(-block * w // 64), len(rows)), dtype=np.uint64)
+        for j in range(block):
+            k, bit = divmod(j * w, 64)
+            words[k] |= columns[j] << np.uint64(bit)
+            if bit + w > 64:
+                words[k + 1] |= columns[j] >> np.uint64(64 - bit)
+        packed = np.ascontiguousarray(words.T).astype("<u8").view(np.uint8)[:, : -(-block * w // 8)]
         out[starts[rows][:, None] + 7 + np.arange(packed.shape[1])] = packed
     return starts.astype("<u8"), out.tobytes()
 
@@ -207,8 +260,7 @@ def _encode(path: str, end_id: int, segment_ids: int):
             return pa.record_batch({"shard": pa.array([shard], pa.int32()), "seg": pa.array([seg], pa.int64()), "n_ids": pa.array([held], pa.int64()), "image": pa.array([write_segment(doc_ids, ids)], pa.binary())})
 
         for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            for d, i in zip(b.column("doc_id").to_pylist(), encoder(path).encode(texts), strict=True):
+            for d, i in zip(b.column("doc_id").to_pylist(), encoder(path).encode(b.column("text")), strict=True):
                 doc_ids.append(d)
                 ids.append(i + end)
                 held += len(ids[-1]) // 4
