@@ -189,7 +189,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     kept = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
     kept = stored(kept.withColumnRenamed("doc_id", "__kept"), "kept-ids")
-    stay = docs.join(kept, F.col("doc_id") == F.col("__kept"))
+    stay = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"))  # the ids grow with docs: no broadcast at any size
     out = stay.where("__rows = 1").select(*docs.columns)
     if not kept.where("__rows > 1").isEmpty():
         first = Window.partitionBy("doc_id").orderBy("text")
