@@ -164,11 +164,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     part = F.sort_array(F.collect_list(F.struct("lo", "hi")))
     passes = m.takes.groupBy("sid", "start", "turn").agg(part.alias("parts"), F.sum(F.col("hi") - F.col("lo")).alias("n_taken"))
     passes = passes.join(m.sized.select("sid", "start", "doc_id", "source", "text_hash", "size").where("size > 0"), ["sid", "start"])
-    passes = passes.select(F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source"), F.col("text_hash").alias("__text_hash"), F.when(F.col("n_taken") < F.col("size"), F.col("parts")).alias("__parts"))
-    key = [F.col("doc_id"), F.col("source"), F.xxhash64("text").alias("__hash")]
-    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
-    rows = docs.groupBy(*key).agg(*(F.first(c).alias(c) for c in rest))
-    out = rows.join(passes, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__hash") == F.col("__text_hash")))
+    # Keys without nulls, so that grouping and join share one exchange of the texts.
+    keys = {"__id": F.coalesce("doc_id", F.lit(0)), "__no_id": F.col("doc_id").isNull(), "__of": F.coalesce("source", F.lit("")), "__no_source": F.col("source").isNull()}
+    passes = passes.select(*(v.alias(k) for k, v in keys.items()), F.col("text_hash").alias("__hash"), F.when(F.col("n_taken") < F.col("size"), F.col("parts")).alias("__parts"))
+    keyed = docs.withColumns({k: v.cast(passes.schema[k].dataType) for k, v in keys.items()} | {"__hash": F.xxhash64("text")})
+    rows = keyed.groupBy(*keys, "__hash").agg(*(F.first(c).alias(c) for c in docs.columns))
+    out = rows.join(passes.hint("merge"), [*keys, "__hash"])
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(words, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
     out = out.withColumn("text", F.when(F.col("__parts").isNull(), F.col("text")).otherwise(cut))
