@@ -50,7 +50,7 @@ def detected_encoding(head: bytes) -> str:
             head.decode(name)
             return name
         except UnicodeDecodeError as e:
-            if name == "utf-8" and e.start >= len(head) - 3:
+            if name == "utf-8" and len(head) >= PROBE and e.reason == "unexpected end of data":  # the head ends inside a character
                 return name
     return "latin-1"
 
