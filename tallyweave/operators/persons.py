@@ -1,4 +1,4 @@
-"""Persons against a watch list: equal names, aliases, first-name prefixes, then similar names within a block."""
+"""Persons against a watch list: equal names, aliases, first-name prefixes, then similar names of one last name or of the whole list."""
 
 from __future__ import annotations
 
@@ -47,26 +47,40 @@ def similarity(name: Column, other: Column, last: Column, other_last: Column, t:
     return jaro_winkler(name, other) * t.weight_full + lasts * t.weight_last + sound * t.weight_phonetic
 
 
-def candidates(rows: DataFrame, persons: DataFrame) -> DataFrame:
-    """Pairs to compare: equal last names; rows whose last name no person has are paired by any shared name token's sound.
+def bound(name: Column, other: Column) -> Column:
+    """No less than the Jaro-Winkler likeness of two names: counts each one's characters that the other holds anywhere."""
+    held = lambda a, b: F.length(a) - F.length(F.call_function("translate", a, b, F.lit("")))
+    n, m = F.length(name), F.length(other)
+    common = F.least(held(name, other), held(other, name))
+    jaro = F.when(common == 0, 0.0).otherwise((common / n + common / m + 1) / 3)
+    prefix = sum((F.substring(name, 1, k) == F.substring(other, 1, k)).cast("int") for k in range(1, 5))
+    return F.when(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro)).otherwise(jaro)
 
-    The reference list is small beside the rows, so pairs of a block grow with the rows alone.
+
+def candidates(names: DataFrame, persons: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Pairs that can reach person_least: equal last names; names whose last name no person has are paired with the whole list.
+
+    A pair goes only where a bound on its score, with every likeness at its highest, stays below; so none is lost.
     """
-    p = persons.select("id", "ordinal", "canonical_name", N.match_name(F.col("canonical_name")).alias("p_norm"), N.last_name(F.col("canonical_name")).alias("p_last"))
-    same = rows.join(p, rows["last"] == p["p_last"]).select("row_index", "norm", "last", "id", "ordinal", "p_norm", "p_last")
-    rest = rows.where("norm <> ''").join(p.select(F.col("p_last").alias("last")).distinct(), "last", "left_anti")
-    sounds = lambda c: F.array_distinct(F.transform(F.filter(F.split(c, " "), lambda t: t != ""), lambda t: F.soundex(t)))
-    left = rest.withColumn("sound", F.explode(sounds("norm")))
-    right = p.withColumn("sound", F.explode(sounds("p_norm")))
-    other = left.join(right, "sound").select("row_index", "norm", "last", "id", "ordinal", "p_norm", "p_last").distinct()
-    return same.unionByName(other)
+    p = persons.select("id", "ordinal", N.match_name(F.col("canonical_name")).alias("p_norm"), N.last_name(F.col("canonical_name")).alias("p_last")).where("p_norm <> ''")
+    same = names.join(p, names["last"] == p["p_last"])
+    rest = names.join(p.select(F.col("p_last").alias("last")).distinct(), "last", "left_anti").crossJoin(p)
+    pairs = same.select("norm", "last", "id", "ordinal", "p_norm", "p_last").unionByName(rest.select("norm", "last", "id", "ordinal", "p_norm", "p_last"))
+    sound = F.when(F.soundex(F.replace("norm", F.lit(" "), F.lit(""))) == F.soundex(F.replace("p_norm", F.lit(" "), F.lit(""))), 1.0).otherwise(0.5)
+    most = bound(F.col("norm"), F.col("p_norm")) * t.weight_full + bound(F.col("last"), F.col("p_last")) * t.weight_last + sound * t.weight_phonetic
+    return pairs.where(most >= t.person_least - 1e-9)
 
 
 def fuzzy(rows: DataFrame, persons: DataFrame, top: int = 5, t: Thresholds = DEFAULT) -> DataFrame:
-    """row_index, k, id, score: the best persons of each row, of person_least or more; ties in the list's order."""
-    scored = candidates(rows, persons).withColumn("score", similarity(F.col("norm"), F.col("p_norm"), F.col("last"), F.col("p_last"), t))
-    best = Window.partitionBy("row_index").orderBy(F.desc("score"), "ordinal")
-    return scored.where(F.col("score") >= t.person_least).withColumn("k", F.row_number().over(best)).where(F.col("k") <= top).select("row_index", "k", "id", "score")
+    """row_index, k, id, score: the best persons of each row, of person_least or more; ties in the list's order.
+
+    Each different name is scored once.
+    """
+    names = rows.where("norm <> ''").select("norm", "last").distinct()
+    scored = candidates(names, persons, t).withColumn("score", similarity(F.col("norm"), F.col("p_norm"), F.col("last"), F.col("p_last"), t))
+    best = Window.partitionBy("norm", "last").orderBy(F.desc("score"), "ordinal")
+    found = scored.where(F.col("score") >= t.person_least).withColumn("k", F.row_number().over(best)).where(F.col("k") <= top)
+    return rows.join(found.select("norm", "last", "k", "id", "score"), ["norm", "last"]).select("row_index", "k", "id", "score")
 
 
 def resolve(inputs: DataFrame, persons: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:

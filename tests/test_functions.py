@@ -15,6 +15,7 @@ from tallyweave.functions.similarity import jaro_winkler_of, metaphone_of
 from tallyweave.operators import documents as D
 from tallyweave.operators import evidence as E
 from tallyweave.operators import ordered as O
+from tallyweave.operators import persons as P
 from tallyweave.operators import rollups as R
 
 
@@ -167,3 +168,21 @@ def test_unknown_energy_stays_unknown(spark):
     rows = spark.createDataFrame([(True, 1000.0), (True, None), (False, None)], "llm boolean, tokens double")
     wh, co2 = R.energy(F.col("llm"), F.col("tokens"), 0.5, 0.1, None)
     assert [tuple(r) for r in rows.select(wh, co2).collect()] == [(0.6, None), (None, None), (0.1, None)]
+
+
+def test_similar_persons_are_those_of_the_whole_list(spark):
+    """Last names that nobody has are held against everyone, whatever their sound: as by scoring every pair."""
+    from tallyweave.plans import persons as plans
+
+    names = ["cuis windqvist", "dmitri janokwski", "Luis Lindqvist", "LINDQVIST, Luiz", "Ingrid Jnakowski", "jorge", "Dr. Farid Derreira", "8", "Customer#000000007", "Jankowski", "", None, "cuis windqvist", "Xmara Bbernathy"]
+    rows = P.keyed(spark.createDataFrame(list(enumerate(names)), "row_index long, original string"))
+    people = plans.watchlist(spark).select("id", "ordinal", "canonical_name", N.match_name(F.col("canonical_name")).alias("p_norm"), N.last_name(F.col("canonical_name")).alias("p_last"))
+    pairs = rows.crossJoin(people).withColumn("score", P.similarity(F.col("norm"), F.col("p_norm"), F.col("last"), F.col("p_last"))).collect()
+    lasts = {r["p_last"] for r in pairs}
+    want = []
+    for i in range(len(names)):
+        mine = [r for r in pairs if r["row_index"] == i and r["norm"] and (r["last"] not in lasts or r["last"] == r["p_last"]) and r["score"] >= 0.7]
+        mine.sort(key=lambda r: (-r["score"], r["ordinal"]))
+        want += [(i, k, r["id"], r["score"]) for k, r in enumerate(mine[:5], 1)]
+    got = sorted(tuple(r) for r in P.fuzzy(rows, plans.watchlist(spark)).select("row_index", "k", "id", "score").collect())
+    assert got == want and {i for i, *_ in got} >= {0, 1, 2, 3, 4, 6, 12, 13}
