@@ -16,7 +16,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
-    "op5_line_dedup": linedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_url_filter": urlfilter.ORACLE,
     "op9_preference_format": chat.ORACLE,
