@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,13 +15,13 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a fresh local one only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one process gets one of its own where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyweave-"))
         at = spark.sparkContext.getCheckpointDir()
-        if not at:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyweave-"))
-            at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
@@ -28,10 +29,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    compact: its rows are few bytes each, so they are dealt anew into files of a good size.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if compact else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,31 +48,42 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as tell it from the columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star rounds.
 
     edges: columns a, b (long). Returns one row per node that has an edge to another node: node, root
     (the smallest node of its component). A round joins each edge with the minimum of its end's neighbours,
-    so nothing gathers a node's whole neighbour list; each round's edges are a table in the shared folder.
+    so nothing gathers a node's whole neighbour list, and both sides of the join are tables, so that Spark can split
+    a node of many edges. Rounds go on until one changes nothing; their number grows with the logarithm of the nodes.
     """
-    cur = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
+    cur = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges", compact=True)
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "cc-least", compact=True)
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        new = stored(small, "cc-edges")
+        down = stored(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), "cc-large", compact=True)
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        new = stored(small, "cc-edges", compact=True)
         sums = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        forget(cur)
+        for spent in (cur, low, down):
+            forget(spent)
         cur = new
         if sums == seen:
             return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = sums
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -8,8 +8,8 @@ bits, y's distance to x's home exceeds the radius by d bits at most, so y visits
 Homes and visitors are joined per anchor and compared by the bits of their difference.
 
 Defined cases: a null, empty or blank text has fingerprint zero and links like any other; repeated rows are kept,
-each with its own result row; other columns of the input are ignored; an empty table gives an empty result; null
-doc_ids keep their rows and take part in no minimum.
+each with its own result row; other columns of the input are ignored, whatever their names; an empty table gives an
+empty result; null doc_ids keep their rows, link, and take part in no minimum; very long texts are read in pieces.
 """
 
 from __future__ import annotations
@@ -20,17 +20,18 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored, table
+from .common import connected_components, stored, table, unused
 
 SHINGLE = 3
 SEED = 42
 THRESHOLD = 2
 #: Length, covering radius and generator polynomial x^11+x^9+x^7+x^6+x^5+x+1 of the binary Golay code.
 BLOCK, RADIUS, GENERATOR = 23, 3, 0b101011100011
-#: Anchors with more homes than this are compared through the points one bit away instead (exact and linear).
+#: Anchors with more homes than this are compared through the points one bit away instead: the same links' components, in
+#: linear time, where comparing homes with visitors would take the square of a group of near copies.
 CROWDED = 4096
 PIECE = 1 << 20
 
@@ -72,12 +73,18 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         fps = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
-        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fps})
+        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "of": b["of"], "fp": fps})
+
+
+def text_hash(text: Column | str) -> Column:
+    """Tells texts under one doc_id apart."""
+    return F.coalesce(F.xxhash64(text), F.lit(0))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for each row of docs."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_fingerprints, "doc_id long, fp long")
+    """doc_id, of (the text's hash), fp (the 64 bits as a signed long) for each row of docs."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text_hash(text).alias("of"), text.alias("text")).mapInPandas(_fingerprints, "doc_id long, of long, fp long")
 
 
 @cache
@@ -170,31 +177,44 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return calm.unionByName(points.join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b"))
 
 
+def components(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """fp, component_id (the smallest doc_id that links reach) and first (rank, doc_id, of and number of rows of the first document, null doc_ids last) for each fingerprint of prints."""
+    rows = prints.groupBy("fp", "doc_id", "of").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "of", "n"))
+    firsts = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), first.alias("first")), "fingerprint-firsts", compact=True)
+    parts = connected_components(links(firsts.select("fp"), crowded))
+    linked = firsts.join(parts, F.col("fp") == F.col("node")).select("fp", "root", "first_id", "first")
+    low = linked.groupBy("root").agg(F.min("first_id").alias("low_id"), F.min("first").alias("low"))
+    linked = linked.join(low, "root").select(F.col("fp").alias("of_fp"), "low_id", "low")
+    out = firsts.join(linked, F.col("fp") == F.col("of_fp"), "left")
+    alone = F.col("of_fp").isNull()
+    # A table, so that in the join with the documents Spark can split a fingerprint that many of them have.
+    return stored(out.select("fp", F.when(alone, F.col("first_id")).otherwise(F.col("low_id")).alias("component_id"), F.when(alone, F.col("first")).otherwise(F.col("low")).alias("first")), "fingerprint-components", compact=True)
+
+
 def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links reach, its own included) for each row of docs."""
     prints = stored(fingerprints(docs), "fingerprints")
-    firsts = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-firsts")
-    parts = connected_components(links(firsts.select("fp"), crowded))
-    linked = firsts.join(parts, F.col("fp") == F.col("node")).select("fp", "root", "first_id")
-    low = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = linked.join(low, "root").select("fp", "component_id")
-    of_fp = firsts.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(components(prints, crowded).select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id; columns as they came.
+    """One document of each component stays: the one with the smallest doc_id, then text hash; null doc_ids come last. Columns as they came.
 
-    Of rows that repeat a kept doc_id the one whose text comes first stays. Rows without doc_id stay.
+    Of rows that repeat the kept doc_id and text any one stays.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
-    kept = stored(kept.withColumnRenamed("doc_id", "__kept"), "kept-ids")
-    stay = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"))  # the ids grow with docs: no broadcast at any size
-    out = stay.where("__rows = 1").select(*docs.columns)
-    if not kept.where("__rows > 1").isEmpty():
-        first = Window.partitionBy("doc_id").orderBy("text")
-        out = out.unionByName(stay.where("__rows > 1").withColumn("__rows", F.row_number().over(first)).where("__rows = 1").select(*docs.columns))
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    prints = stored(fingerprints(docs), "fingerprints")
+    kept = stored(components(prints).select("first.*").distinct(), "kept-documents", compact=True)
+    names = unused(docs, "kept_unknown", "kept_id", "kept_of", "kept_rows")
+    unknown, kept_id, kept_of, rows = map(F.col, names)
+    kept = kept.select(F.col("unknown").alias(names[0]), F.coalesce("doc_id", F.lit(0)).alias(names[1]), F.col("of").alias(names[2]), F.col("n").alias(names[3]))
+    own_id = F.col("doc_id").cast("long")
+    same = (own_id.isNull() == unknown) & (F.coalesce(own_id, F.lit(0)) == kept_id) & (text_hash(F.col("text").cast("string")) == kept_of)
+    stay = docs.join(kept.hint("merge"), same)  # the kept grow with docs: no broadcast at any size
+    out = stay.where(rows == 1).select(*docs.columns)
+    if not kept.where(rows > 1).isEmpty():
+        out = out.unionByName(stay.where(rows > 1).dropDuplicates(names[:3]).select(*docs.columns))
+    return out
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
