@@ -7,10 +7,11 @@ a temperature, and sets the score below which a text is rejected: no more than R
 predicted right may fall below it, and it is 0.5 at most.
 
 The bound of the sample: about SAMPLE_ROWS rows in equal parts for each language, chosen by a hash of doc_id, of
-SAMPLE_CHARS characters at most each; the MAX_LANGS most frequent labels are learned. Prediction reads whole texts.
+SAMPLE_CHARS characters at most each; of more than SAMPLE_ROWS labels the most frequent ones. Prediction reads whole texts.
 
 Defined cases: null, empty or letterless texts get `und` with score 0; if nothing can be learned every text does;
-null langs are never learned; rows with null doc_id count as not held out; repeated rows are predicted alike.
+null langs are never learned; rows with null doc_id count as not held out; repeated rows are predicted alike; of equal
+scores the first label in order wins; columns named like the results give way to them; very long texts are hashed in parts.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .common import table
 
 BUCKET_BITS, DIM, EPOCHS, RATE = 16, 16, 6, 0.4
 BUCKETS = 1 << BUCKET_BITS
-SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGS = 4000, 50_000, 200
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 50_000
 REJECT_SHARE = 0.001
 NGRAMS = (2, 3, 4)
 #: Texts are hashed in parts of about so many characters, to bound memory.
@@ -167,15 +168,14 @@ def is_held_out() -> F.Column:
 def fit(docs: DataFrame) -> Model:
     """Train on a bounded sample of the labelled rows of docs that are not held out."""
     known = docs.where(F.col("lang").isNotNull() & ~is_held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).collect()
     if not counts:
         return train([])
     quota = max(1, SAMPLE_ROWS // len(counts))
+    below = docs.sparkSession.createDataFrame([(r["lang"], int(1_000_000 * quota / r["count"]) + 1) for r in counts], "lang string, below long")
     roll = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (roll < int(1_000_000 * quota / r["count"]) + 1))
-    sample = known.where(chosen & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    sample = known.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(below), "lang").where(roll < F.col("below"))
+    sample = sample.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     rows = sample.select("doc_id", "text", "lang").limit(2 * SAMPLE_ROWS).collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
     return train([(r["text"], r["lang"]) for r in rows])
