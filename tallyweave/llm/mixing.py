@@ -7,11 +7,13 @@ pseudorandom permutation of their indexes, and slots are joined to blocks by ind
 handed to sources that were drawn too seldom, and a source's last slot takes as many words as its target leaves, so
 that every source meets its target and no block is taken more than twice.
 
-Only DataFrame functions are used. Prefix sums run over ranges of doc_ids first and inside each range then, so that no
-source gathers in one task; sums over sources run on one row per source.
+Only DataFrame functions are used. Prefix sums run over ranges of equal size first and inside each range then, so that no
+source gathers in one task, whether its doc_ids are dense, sparse, repeated or null; sums over sources run on one row per
+source.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source and comes last; null
-doc_ids come first in their source; repeated rows each take part; an empty table gives an empty result.
+doc_ids come first in their source; rows of equal doc_id are ordered by size and the text's hash; repeated rows each take
+part; a very long text is many blocks; an empty table gives an empty result; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table
+from .common import WORD, stored, table, unused
 
-BLOCK, SHARD_SLOTS, RANGE, ROUNDS = 1024, 1024, 4096, 20
+BLOCK, SHARD_SLOTS, ROUNDS = 1024, 1024, 20
+#: Shards that are summed up together, and slots that are permuted in one task at least, and tasks at most.
+SHARDS, TASK_SLOTS, TASKS = 4096, 4096, 20_000
 SHARE, CAP, WEIGHTS = 1.5, 2, (5, 2, 1)
 SEED = "mix"
 
@@ -34,12 +38,18 @@ def rolled(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def permuted(i: Column, n: Column, source: Column, turn: Column, inverse: bool = False) -> Column:
-    """The image of i under a permutation of 0..n-1 for a source's pass: rounds of swap-or-not, each its own inverse."""
+def round_keys(source: Column, turn: Column) -> Column:
+    """The keys of a pass's rounds."""
+    return F.transform(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), lambda r: rolled("key", source, turn, r))
+
+
+def permuted(i: Column, n: Column, source: Column, turn: Column, keys: Column | None = None, inverse: bool = False) -> Column:
+    """The image of i under a permutation of 0..n-1 for a source's pass: rounds of swap-or-not, each its own inverse. keys: the pass's round_keys."""
     rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
 
     def swap(x: Column, r: Column) -> Column:
-        other = F.pmod(rolled("key", source, turn, r) % n - x, n)
+        key = rolled("key", source, turn, r) if keys is None else F.get(keys, r)
+        other = F.pmod(key % n - x, n)
         return F.when(rolled("bit", source, turn, r, F.greatest(x, other)) % 2 == 1, other).otherwise(x)
 
     return F.aggregate(rounds, i.cast("long"), swap)
@@ -78,6 +88,7 @@ def needs(plan: DataFrame, block: int) -> DataFrame:
     plan = plan.where("source_size > 0").withColumn("blocks", F.ceil(size / block)).withColumn("short", size - (F.col("blocks") - 1) * block)
     plan = plan.withColumn("words", F.least(F.floor("target"), size * CAP)).withColumn("passes", F.floor(F.col("words") / size)).withColumn("rest", F.col("words") - F.col("passes") * size)
     plan = plan.withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), F.col("sid"), F.col("passes"), inverse=True))
+    plan = plan.withColumn("keys", F.transform(F.sequence(F.lit(0), F.lit(CAP)), lambda turn: round_keys(F.col("sid"), turn)))
     least = F.ceil(F.col("rest") / block)
     held = least * block - F.when(F.col("short_at") < least, block - F.col("short")).otherwise(0)
     return plan.withColumn("slots", F.col("passes") * F.col("blocks") + least + F.when(held < F.col("rest"), 1).otherwise(0))
@@ -106,16 +117,20 @@ def drawn(plan: DataFrame, shard_slots: int) -> DataFrame:
     slots = spark.range(total).select(F.floor(F.col("id") / shard_slots).alias("shard"), F.col("id").alias("slot")).withColumn("roll", rolled("slot", F.col("slot")))
     slots = slots.withColumn("cell", F.floor(F.col("roll") * cells / (1 << 32)))
     picked = slots.join(cuts, "cell").where("roll >= lo AND roll < hi").select("shard", "slot", "sid")
-    counts = picked.groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("n"))
-    base = counts.select("sid", "shard", (F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n")).alias("base"))
+    counts = picked.groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.floor(F.col("shard") / SHARDS))
+    parts = counts.groupBy("sid", "part").agg(F.sum("n").alias("all"))
+    parts = parts.select("sid", "part", (F.sum("all").over(Window.partitionBy("sid").orderBy("part")) - F.col("all")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("sid", "part").orderBy("shard")) - F.col("n")
+    base = counts.withColumn("inside", inside).join(parts, ["sid", "part"]).select("sid", "shard", (F.col("before") + F.col("inside")).alias("base"))
     seq = picked.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot")) - 1)
-    seq = stored(seq.join(base, ["sid", "shard"]).join(plan.select("sid", "slots"), "sid").select("shard", "slot", "sid", (F.col("base") + F.col("nth")).alias("seq"), "slots"), "drawn-slots")
+    seq = stored(seq.join(base, ["sid", "shard"]).join(plan.select("sid", "slots"), "sid").select("shard", "slot", "sid", (F.col("base") + F.col("nth")).alias("seq"), "slots"), "drawn-slots", compact=True)
     # Few draws miss: about the root of a source's slots.
     over = seq.where("seq >= slots").select("shard", "slot", F.row_number().over(Window.orderBy("slot")).alias("j"))
     had = counts.groupBy("sid").agg(F.sum("n").alias("n"))
     lack = plan.join(had, "sid", "left").select("sid", "slots", F.coalesce("n", F.lit(0)).alias("n")).where("n < slots").select("sid", F.explode(F.sequence(F.col("n"), F.col("slots") - 1)).alias("seq"))
     lack = lack.withColumn("j", F.row_number().over(Window.orderBy("sid", "seq")))
-    return seq.where("seq < slots").select("shard", "slot", "sid", "seq").unionByName(over.join(lack, "j").select("shard", "slot", "sid", "seq"))
+    out = seq.where("seq < slots").select("shard", "slot", "sid", "seq").unionByName(over.join(lack, "j").select("shard", "slot", "sid", "seq"))
+    return out.repartition(max(1, min(total // TASK_SLOTS, TASKS)))  # few bytes, but much to reckon: permuting them is for many tasks
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> Mix:
@@ -123,20 +138,24 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) ->
 
     takes: sid, start (of the row in its stream), turn (the pass), lo, hi: the words that a block gives, counted in the row.
     """
-    sized = stored(sizes(docs), "mix-sizes")
+    sized = stored(sizes(docs), "mix-sizes", compact=True)
     plan = stored(targets(sized), "mix-targets")
     ranked = sized.withColumnRenamed("source", "of").join(plan.select("sid", "source", "source_size", "target"), F.col("of").eqNullSafe(F.col("source"))).drop("of")
-    ranked = ranked.withColumn("range", F.coalesce(F.floor(F.col("doc_id") / RANGE), F.lit(-(1 << 62))))
-    sums = ranked.groupBy("sid", "range").agg(F.sum("size").alias("n"))
-    base = sums.select("sid", "range", (F.sum("n").over(Window.partitionBy("sid").orderBy("range")) - F.col("n")).alias("base"))
-    inside = Window.partitionBy("sid", "range").orderBy(F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranked.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(base, ["sid", "range"])
-    placed = placed.select("doc_id", "source", "size", "text_hash", "sid", "source_size", "target", (F.col("base") + F.col("inside")).alias("start"))
-    placed = stored(placed, "mix-placed")
+    same = ["sid", "doc_id", "size", "text_hash"]
+    ranked = ranked.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("source", "source_size", "target")))
+    ranked = ranked.repartitionByRange(*same).withColumn("range", F.spark_partition_id())
+    ranked = stored(ranked.withColumn("words", F.col("n") * F.col("size")), "mix-ranges")
+    sums = ranked.groupBy("sid", "range").agg(F.sum("words").alias("words"))
+    base = sums.select("sid", "range", (F.sum("words").over(Window.partitionBy("sid").orderBy("range")) - F.col("words")).alias("base"))
+    inside = Window.partitionBy("sid", "range").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranked.withColumn("inside", F.sum("words").over(inside) - F.col("words")).join(base, ["sid", "range"])
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    placed = placed.select("doc_id", "source", "size", "text_hash", "sid", "source_size", "target", (F.col("base") + F.col("inside") + F.col("copy") * F.col("size")).alias("start"))
+    placed = stored(placed, "mix-placed", compact=True)
     need = stored(needs(plan, block), "mix-needs")
-    slots = drawn(need, shard_slots).join(need.select("sid", "blocks", "short", "passes", "rest", "short_at"), "sid")
+    slots = drawn(need, shard_slots).join(need.select("sid", "blocks", "short", "passes", "rest", "short_at", "keys"), "sid")
     slots = slots.withColumn("turn", F.floor(F.col("seq") / F.col("blocks"))).withColumn("nth", F.col("seq") % F.col("blocks"))
-    slots = slots.withColumn("index", permuted(F.col("nth"), F.col("blocks"), F.col("sid"), F.col("turn")))
+    slots = slots.withColumn("index", permuted(F.col("nth"), F.col("blocks"), F.col("sid"), F.col("turn"), F.get("keys", F.col("turn").cast("int"))))
     full = F.when(F.col("index") == F.col("blocks") - 1, F.col("short")).otherwise(F.lit(block))
     before = F.col("nth") * block - F.when(F.col("short_at") < F.col("nth"), block - F.col("short")).otherwise(0)
     words = F.when(F.col("turn") < F.col("passes"), full).otherwise(F.least(full, F.col("rest") - before))
@@ -158,22 +177,25 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The mix as documents: for each pass that takes words of a document one row, with the words taken in order.
 
     A pass that takes all of a document keeps its text as it is; one that takes parts joins their words by one space.
-    Columns as they came; n_chars is the new text's. Of equal rows, columns other than these come from any one.
+    Columns as they came; n_chars, where there is one, is the new text's. Of equal rows, columns other than these come from any one.
     """
     m = mix(docs)
     part = F.sort_array(F.collect_list(F.struct("lo", "hi")))
     passes = m.takes.groupBy("sid", "start", "turn").agg(part.alias("parts"), F.sum(F.col("hi") - F.col("lo")).alias("n_taken"))
     passes = passes.join(m.sized.select("sid", "start", "doc_id", "source", "text_hash", "size").where("size > 0"), ["sid", "start"])
     # Keys without nulls, so that grouping and join share one exchange of the texts.
-    keys = {"__id": F.coalesce("doc_id", F.lit(0)), "__no_id": F.col("doc_id").isNull(), "__of": F.coalesce("source", F.lit("")), "__no_source": F.col("source").isNull()}
-    passes = passes.select(*(v.alias(k) for k, v in keys.items()), F.col("text_hash").alias("__hash"), F.when(F.col("n_taken") < F.col("size"), F.col("parts")).alias("__parts"))
-    keyed = docs.withColumns({k: v.cast(passes.schema[k].dataType) for k, v in keys.items()} | {"__hash": F.xxhash64("text")})
-    rows = keyed.groupBy(*keys, "__hash").agg(*(F.first(c).alias(c) for c in docs.columns))
-    out = rows.join(passes.hint("merge"), [*keys, "__hash"])
+    *key, parts = unused(docs, "mix_id", "mix_no_id", "mix_of", "mix_no_source", "mix_hash", "mix_parts")
+    values = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.coalesce(F.col("source").cast("string"), F.lit("")), F.col("source").isNull()]
+    passes = passes.select(*(v.alias(k) for k, v in zip(key, values, strict=False)), F.col("text_hash").alias(key[4]), F.when(F.col("n_taken") < F.col("size"), F.col("parts")).alias(parts))
+    keyed = docs.withColumns(dict(zip(key, [*values, F.xxhash64("text")], strict=True)))
+    rows = keyed.groupBy(*key).agg(*(F.first(c).alias(c) for c in docs.columns))
+    out = rows.join(passes.hint("merge"), key)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(words, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
-    out = out.withColumn("text", F.when(F.col("__parts").isNull(), F.col("text")).otherwise(cut))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    cut = F.array_join(F.flatten(F.transform(parts, lambda p: F.slice(words, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
+    out = out.withColumn("text", F.when(F.col(parts).isNull(), F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
