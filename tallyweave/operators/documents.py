@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
+from ..functions import canonical as J
 
 
 def condition(tree: dict[str, Any], content: Column, kind: Column) -> Column:
@@ -86,26 +87,96 @@ def routing_reason(confidence: Column, forced: Column, llm_available: Column, t:
 
 
 def resolve_documents(docs: DataFrame, rules: Sequence[dict[str, Any]], precedents: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """docs (key, text, document_type) with rule_id, resolution, confidence, layer_used, reason and status, by rules then equal precedents."""
-    rule = first_rule(rules, F.col("text"), F.col("document_type"))
-    out = exact_precedents(docs.withColumn("__rule", rule), precedents)
-    by_rule, by_precedent = F.col("__rule").isNotNull(), F.col("precedent").isNotNull()
-    out = out.select(
-        "key", "document_type", F.col("__rule.rule_id").alias("rule_id"), "precedent", F.coalesce(F.col("__rule.resolution"), F.when(by_precedent, F.concat(F.lit("precedent "), F.col("precedent").cast("string")))).alias("resolution"),
-        F.when(by_rule | by_precedent, 1.0).otherwise(0.0).alias("confidence"), F.when(by_rule, 1).when(by_precedent, 2).alias("layer_used"),
+    """docs (key, text, document_type) with rule_id, precedent, match_type, similarity, resolution, confidence, layer_used, reason and status.
+
+    By rules, then equal precedents, then the most similar precedent; layers above t.max_layer are left out. Only documents
+    that the layers before leave open go on.
+    """
+    rule = first_rule(rules, F.col("text"), F.col("document_type")) if t.max_layer >= 1 else F.lit(None).cast("struct<rule_id:string,resolution:string>")
+    rows = docs.withColumn("__rule", rule)
+    if t.max_layer >= 2:
+        rows = exact_precedents(rows, precedents)
+        rest = rows.where("__rule IS NULL AND precedent IS NULL").select("key", "text")
+        near = similar_precedents(rest, precedents, t.precedent_match).select("key", F.col("precedent").alias("near"), "similarity")
+        rows = rows.join(near, "key", "left")
+    else:
+        rows = rows.withColumns({"precedent": F.lit(None).cast("long"), "near": F.lit(None).cast("long"), "similarity": F.lit(None).cast("double")})
+    by_rule = F.col("__rule").isNotNull()
+    match = F.when(~by_rule, F.when(F.col("precedent").isNotNull(), "exact").when(F.col("near").isNotNull(), "fuzzy"))
+    found = F.when(~by_rule, F.coalesce("precedent", "near"))
+    similarity = F.when(match == "exact", 1.0).when(match == "fuzzy", F.col("similarity"))
+    out = rows.select(
+        "key", "document_type", F.length("text").alias("content_length"), F.col("__rule.rule_id").alias("rule_id"), found.alias("precedent"), match.alias("match_type"), similarity.alias("similarity"),
+        F.coalesce(F.col("__rule.resolution"), F.concat(F.lit("precedent "), found.cast("string"))).alias("resolution"), F.when(by_rule, 1).when(found.isNotNull(), 2).alias("layer_used"),
     )
+    out = out.withColumn("confidence", F.when(F.col("layer_used") == 1, 1.0).otherwise(clamped(F.coalesce("similarity", F.lit(0.0)))))
     reason = routing_reason(F.col("confidence"), F.lit(False), F.lit(True), t)
     return out.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), "resolved").otherwise("routed_to_review"))
 
 
-def evidence_chain(resolved: DataFrame, as_of: str) -> DataFrame:
-    """key, nodes (type, sequence, timestamp, node_hash), chain_hash, closed of resolve_documents' rows."""
-    step = lambda kind, n, data: F.struct(F.lit(kind).alias("node_type"), F.lit(n).alias("sequence"), F.lit(as_of).alias("timestamp"), node_hash(F.lit(kind), F.lit(n), F.lit(as_of), data).alias("node_hash"))
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    nodes = F.array_compact(F.array(step("source_artifact", 1, text("key")), step("transformation", 2, text("rule_id")), F.when(F.col("precedent").isNotNull(), step("retrieval_result", 3, text("precedent")))))
-    out = resolved.select("key", "status", nodes.alias("nodes"))
-    return out.withColumn("chain_hash", F.sha2(F.array_join(F.transform("nodes", lambda n: n["node_hash"]), ""), 256)).withColumn("closed", F.col("status") == "resolved").drop("status")
+def clamped(confidence: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
+
+
+#: The kinds of nodes, each with the fields of its data.
+NODE_FIELDS = {
+    "source_artifact": ["artifact_ref", "metadata"], "retrieval_result": ["match_score", "query", "results"], "transformation": ["input_hash", "output_hash", "transform_type"], "model_call": ["confidence", "latency_ms", "model", "prompt_version", "provider", "response_summary"],
+    "human_decision": ["decision", "evidence_reviewed", "notes", "reviewer_id"], "export_artifact": ["artifact_ref", "format", "hash"], "degradation_event": ["mode", "reason"],
+}
 
 
 def node_hash(kind: Column, sequence: Column, timestamp: Column, data: Column) -> Column:
-    return F.sha2(F.concat_ws("|", kind, sequence.cast("string"), timestamp, data), 256)
+    """SHA-256 of a node's canonical content. data: its canonical JSON."""
+    return F.sha2(J.record({"node_type": J.ascii_text(kind), "sequence": J.plain(sequence), "timestamp": J.ascii_text(timestamp), "data": data}), 256)
+
+
+def node(kind: str, sequence: Column, timestamp: Column, data: dict[str, Column]) -> Column:
+    """A node with its hash. data: JSON by field, all of NODE_FIELDS[kind] or those of a step of the engine."""
+    if "step" not in data and kind != "source_artifact" and sorted(data) != NODE_FIELDS[kind]:
+        raise ValueError(f"{kind} needs {', '.join(NODE_FIELDS[kind])}")
+    json = J.record(data)
+    return F.struct(F.lit(kind).alias("node_type"), sequence.cast("int").alias("sequence"), timestamp.alias("timestamp"), json.alias("data"), node_hash(F.lit(kind), sequence, timestamp, json).alias("node_hash"))
+
+
+def chain_hash(nodes: Column) -> Column:
+    """SHA-256 of the nodes' hashes in order of sequence."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.transform(nodes, lambda n: F.struct(n["sequence"].alias("s"), n["node_hash"].alias("h")))), lambda n: n["h"]), ""), 256)
+
+
+def appended(chains: DataFrame, new: Column) -> DataFrame:
+    """Open chains with one more node each (null adds none) and their new hash; closed ones raise."""
+    closed = F.when(F.col("closed"), F.raise_error(F.concat(F.lit("chain is closed: "), F.col("key").cast("string"))))
+    more = F.when(new.isNull(), F.col("nodes")).otherwise(F.array_append("nodes", new))
+    return chains.withColumn("nodes", F.coalesce(closed.cast(chains.schema["nodes"].dataType), more)).withColumn("chain_hash", chain_hash(F.col("nodes")))
+
+
+def evidence_chain(resolved: DataFrame, as_of: str, rule_set: str = "1", t: Thresholds = DEFAULT) -> DataFrame:
+    """key, nodes, chain_hash, closed of resolve_documents' rows: what came in, what matched, and how it was routed."""
+    at, step, c = F.lit(as_of), lambda name: J.text(F.lit(name)), F.col
+    kind = J.ascii_text(c("document_type"))
+    source = node("source_artifact", F.lit(1), at, {"document_type": kind, "content_length": J.plain(c("content_length")), "has_force_review": F.lit("false")})
+    by_rule = node("transformation", F.lit(2), at, {"step": step("l1_rule_match"), "rule_id": J.ascii_text(c("rule_id")), "rule_set_version": J.text(F.lit(rule_set)), "document_type": kind, "matched": F.lit("true")})
+    match = {"precedent_id": J.text(c("precedent").cast("string")), "similarity": J.plain(c("similarity")), "match_type": J.text(c("match_type"))}
+    exact = node("retrieval_result", F.lit(2), at, match | {"step": step("l2_exact_match")})
+    fuzzy = node("retrieval_result", F.lit(2), at, match | {"step": step("l2_fuzzy_match"), "threshold": J.plain(F.lit(t.precedent_match))})
+    found = F.when(c("layer_used") == 1, by_rule).when(c("match_type") == "exact", exact).when(c("match_type") == "fuzzy", fuzzy)
+    last = F.when(c("layer_used").isNull(), 2).otherwise(3)
+    routing = {"step": step("routing_decision"), "route_to_review": J.plain(c("reason").isNotNull()), "reason": J.text(c("reason")), "confidence": J.plain(c("confidence")), "review_threshold": J.plain(F.lit(t.review)), "force_review": F.lit("false"), "llm_available": F.lit("true")}
+    nodes = F.array_compact(F.array(source, found, node("transformation", last, at, routing)))
+    out = resolved.select("key", nodes.alias("nodes"), (c("status") == "resolved").alias("closed"))
+    return out.withColumn("chain_hash", chain_hash(c("nodes")))
+
+
+def checked_chains(chains: DataFrame) -> DataFrame:
+    """key, node_errors (sequences of nodes whose hash is not their content's), gap (whether sequences are not 1, 2, ...), chain_ok and valid."""
+    wrong = F.filter("nodes", lambda n: ~node_hash(n["node_type"], n["sequence"], n["timestamp"], n["data"]).eqNullSafe(n["node_hash"]))
+    own = F.array_sort(F.transform("nodes", lambda n: n["sequence"]))
+    wanted = F.when(F.size("nodes") > 0, F.sequence(F.lit(1), F.size("nodes"))).otherwise(F.array().cast("array<int>"))
+    out = chains.select("key", F.transform(wrong, lambda n: n["sequence"]).alias("node_errors"), (own != wanted).alias("gap"), chain_hash(F.col("nodes")).eqNullSafe(F.col("chain_hash")).alias("chain_ok"))
+    return out.withColumn("valid", (F.size("node_errors") == 0) & ~F.col("gap") & F.col("chain_ok"))
+
+
+def integrity_report(checked: DataFrame) -> DataFrame:
+    """Chains in all, valid ones, and those with each kind of error."""
+    n = lambda c: F.count_if(c)
+    return checked.agg(F.count(F.lit(1)).alias("chains"), n(F.col("valid")).alias("valid"), n(F.size("node_errors") > 0).alias("node_errors"), n(F.col("gap")).alias("gaps"), n(~F.col("chain_ok")).alias("chain_errors"))

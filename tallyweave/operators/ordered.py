@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 #: From a row (by column name) to what is added to it.
 Step = Callable[[dict[str, Any]], tuple]
 
@@ -58,24 +60,47 @@ def hash_chain(df: DataFrame, key: str, order: list[str], canonical: str) -> Dat
     return fold(df, key, order, start, "prev_hash string, event_hash string")
 
 
-def running_digest(df: DataFrame, key: str, order: list[str], text: str) -> DataFrame:
-    """digest: SHA-256 of the texts so far, joined by line feeds; a key's last row has that of all."""
-
-    def start() -> Step:
-        h, first = hashlib.sha256(), True
-
-        def step(row: dict[str, Any]) -> tuple[str]:
-            nonlocal first
-            h.update(("" if first else "\n").encode() + str(row[text]).encode())
-            first = False
-            return (h.copy().hexdigest(),)
-
-        return step
-
-    return fold(df, key, order, start, "digest string")
-
+def digests(df: DataFrame, key: str, order: list[str], text: str, between: str = "\n", head: str = "", tail: str = "") -> DataFrame:
+    """key and digest: SHA-256 of head, all texts of a key in order with `between` in between, and tail. One row for each key leaves a task."""
+    rows = df.select(key, *order, text).repartition(key).sortWithinPartitions(key, *order)
 
-def sliding_limiter(df: DataFrame, key: str, seconds: str, limit: int, window: float) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, h = None, None
+        for b in batches:
+            done = []
+            for k, value in zip(b[key], b[text], strict=True):
+                if h is None or k != current:
+                    if h is not None:
+                        h.update(tail.encode())
+                        done.append((current, h.hexdigest()))
+                    current, h = k, hashlib.sha256(head.encode())
+                else:
+                    h.update(between.encode())
+                h.update(str(value).encode())
+            yield pd.DataFrame(done, columns=[key, "digest"])
+        if h is not None:
+            h.update(tail.encode())
+            yield pd.DataFrame([(current, h.hexdigest())], columns=[key, "digest"])
+
+    return rows.mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, digest string")
+
+
+def placed(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """df with the column name: each row's place (from 1) in its key by order.
+
+    Rows are dealt into ranges of equal size by key and order, whatever the keys' sizes; ranges are counted first, then
+    rows are numbered inside each range. The ranges are written, so that both steps see the same.
+    """
+    rows = df.repartitionByRange(key, *order).withColumn("__range", F.spark_partition_id())
+    rows = written(rows, "ranges")
+    counts = rows.groupBy(key, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    base = counts.select(F.col(key).alias("__key"), F.col("__range").alias("__of"), (F.sum("__n").over(Window.partitionBy(key).orderBy("__range")) - F.col("__n")).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy(key, "__range").orderBy(*order))
+    out = rows.withColumn("__inside", inside).join(base, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__of")))
+    return out.withColumn(name, F.col("__base") + F.col("__inside")).select(*df.columns, name)
+
+
+def sliding_limiter(df: DataFrame, key: str, order: list[str], seconds: str, limit: int, window: float) -> DataFrame:
     """allowed, remaining: at most limit requests are let through in any window; refused ones don't count."""
 
     def start() -> Step:
@@ -92,7 +117,7 @@ def sliding_limiter(df: DataFrame, key: str, seconds: str, limit: int, window: f
 
         return step
 
-    return fold(df, key, [seconds], start, "allowed boolean, remaining long")
+    return fold(df, key, order, start, "allowed boolean, remaining long")
 
 
 def token_bucket(df: DataFrame, key: str, order: list[str], seconds: str, per_minute: float, burst: float) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, evidence, names, persons, rollups, streams, uploads
+from . import access, documents, evidence, names, persons, rollups, streams, uploads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _part in (documents, names, persons, rollups, evidence, streams, uploads):
+for _part in (access, documents, names, persons, rollups, evidence, streams, uploads):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE

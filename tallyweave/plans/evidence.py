@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import canonical as J
 from ..operators import evidence as E
 from ..operators import ordered as O
 from ..operators import review as V
+from ..shared import written
 from .inputs import RESULTS, results, table
 
 AS_OF = "2001-06-01 00:00:00"
+CHUNK_TIME, CHUNK_VERSIONS = "2024-06-01T00:00:00Z", {"config_version": "sha256:c", "sanitization_version": "1", "watchlist_version_hash": "sha256:w"}
 REVIEWERS = ["ana", "bo", "chi"]
 
 
@@ -32,29 +35,64 @@ def row_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.hash_chain(rows, "trace_id", ["pos"], "canonical").select("trace_id", "row_index", "prev_hash", "event_hash")
 
 
-def row_chain_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hashed(spark, sf_dir).select("trace_id", "pos", "canonical")
+def root_of(rows: DataFrame) -> DataFrame:
     return O.hash_chain(rows, "trace_id", ["pos"], "canonical").groupBy("trace_id").agg(F.max_by("event_hash", "pos").alias("root"), F.count(F.lit(1)).alias("n"))
 
 
+def row_chain_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return root_of(hashed(spark, sf_dir).select("trace_id", "pos", "canonical"))
+
+
 def chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains replayed under another partitioning, and their links checked: breaks per batch, none expected."""
-    rows = hashed(spark, sf_dir).select("trace_id", "pos", "canonical")
-    once = O.hash_chain(rows, "trace_id", ["pos"], "canonical")
-    w = Window.partitionBy("trace_id").orderBy("pos")
-    linked = once.withColumn("before", F.coalesce(F.lag("event_hash").over(w), F.lit(O.GENESIS)))
-    good = (F.col("before") == F.col("prev_hash")) & (F.sha2(F.concat_ws(":", "prev_hash", "canonical"), 256) == F.col("event_hash"))
-    return linked.groupBy("trace_id").agg(F.count_if(~good).alias("breaks"), F.count(F.lit(1)).alias("n"))
+    """Stored chains against their events; all batches but the first are spoiled: a hash, a link, a lost entry, a root."""
+    events = written(hashed(spark, sf_dir).select("trace_id", "pos", "canonical"), "events")
+    entries = written(O.hash_chain(events, "trace_id", ["pos"], "canonical").select("trace_id", "pos", "prev_hash", "event_hash"), "entries")
+    roots = entries.groupBy("trace_id").agg(F.max_by("event_hash", "pos").alias("root"), F.max("pos").alias("last"))
+    bad = lambda batch, at: (F.col("trace_id") == batch) & (F.col("pos") == at)
+    entries = entries.join(roots.select("trace_id", "last"), "trace_id").where(~bad("B4", F.col("last"))).drop("last")
+    entries = entries.withColumn("event_hash", F.when(bad("B2", 5), "f" * 64).otherwise(F.col("event_hash"))).withColumn("prev_hash", F.when(bad("B3", 3), "e" * 64).otherwise(F.col("prev_hash")))
+    roots = roots.select("trace_id", F.when(F.col("trace_id") == "B5", "d" * 64).otherwise(F.col("root")).alias("root"))
+    return E.checked_chain(events, entries, roots).drop("computed_root")
+
+
+def replay_determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots of three runs over rows in other orders and partitions."""
+    own = results(spark, sf_dir)
+    runs = []
+    for parts in (3, 7, 11):
+        rows = E.stable_order(own.repartition(parts, F.xxhash64(F.lit(parts), "row_index"))).withColumn("canonical", E.canonical_decision())
+        runs.append(root_of(rows.select("trace_id", "pos", "canonical")))
+    return E.replayed(runs)
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = E.stable_order(results(spark, sf_dir)).withColumn("match_type", F.when(F.col("layer") == "L1_EXACT", "EXACT_MATCH").otherwise("NO_MATCH"))
+    return E.chunk_digests(rows.select("trace_id", "pos", E.chunk_record().alias("record")), 500, CHUNK_TIME, CHUNK_VERSIONS)
+
+
+def chunk_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir)
+
+
+def chunk_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches whose chunks have digests; those of odd chunks of one batch are lost."""
+    lost = (F.col("trace_id") == "B3") & (F.col("chunk") % 2 == 1)
+    return E.chunk_coverage(chunks(spark, sf_dir).withColumn("digest", F.when(~lost, F.col("digest"))))
 
 
 def chunk_chain_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digests = E.chunk_digests(hashed(spark, sf_dir), 500)
-    return O.hash_chain(digests, "trace_id", ["chunk"], "digest").groupBy("trace_id").agg(F.max_by("event_hash", "chunk").alias("root"), F.count(F.lit(1)).alias("chunks"))
+    return O.hash_chain(chunks(spark, sf_dir), "trace_id", ["chunk"], "digest").groupBy("trace_id").agg(F.max_by("event_hash", "chunk").alias("root"), F.count(F.lit(1)).alias("chunks"))
 
 
 def dataset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = E.stable_order(results(spark, sf_dir)).select("trace_id", "pos", "original")
-    return O.running_digest(rows, "trace_id", ["pos"], "original").groupBy("trace_id").agg(F.max_by("digest", "pos").alias("dataset_hash"))
+    return O.digests(rows, "trace_id", ["pos"], "original").withColumnRenamed("digest", "dataset_hash")
+
+
+def dataset_hash_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of the originals as one canonical JSON list."""
+    rows = E.stable_order(results(spark, sf_dir)).select("trace_id", "pos", J.text(F.col("original")).alias("item"))
+    return O.digests(rows, "trace_id", ["pos"], "item", ",", "[", "]").withColumnRenamed("digest", "dataset_hash")
 
 
 def tenant_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +100,18 @@ def tenant_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def receipt_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(spark, sf_dir).select("trace_id", "row_index", F.substring(F.sha2(F.concat_ws(":", "trace_id", F.col("row_index").cast("string")), 256), 1, 32).alias("receipt_id"))
+    """A receipt for each batch and the root of its chain."""
+    return row_chain_root(spark, sf_dir).select("trace_id", E.receipt_id(F.col("trace_id"), F.col("root")).alias("receipt_id"))
+
+
+def ledger_event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(spark, sf_dir).select("row_index", E.event_id(F.col("trace_id"), F.col("row_index") % 4, F.col("original")).alias("event_id"))
+
+
+def rfc3339_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(k % 3 == 0, F.concat(F.lit("."), (k % 90 + 10).cast("string"))).otherwise(""), F.when(k % 2 == 0, "Z").otherwise("+00:00"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", E.rfc3339(text).alias("t"))
 
 
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,9 +130,8 @@ def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A proof for every leaf, each checked against the root."""
     own = leaves(spark, sf_dir)
-    height = max(1, own.count() - 1).bit_length()
-    proofs = E.inclusion_proofs(own, height)
-    root = F.broadcast(E.merkle_root(own))
+    proofs = E.inclusion_proofs(own)
+    root = E.merkle_root(own)
     checked = proofs.select("idx", F.size("proof").cast("long").alias("steps"), E.proven_root(F.col("hash"), F.col("proof")).alias("root"))
     return checked.join(root.withColumn("proven", F.lit(True)), "root", "left").select("idx", "steps", F.coalesce("proven", F.lit(False)).alias("proven"))
 
@@ -93,7 +141,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.sliding_limiter(ticks(spark, sf_dir).select("user_id", "event_id", "seconds"), "user_id", "seconds", 3, 36_000.0).select("user_id", "event_id", "allowed", "remaining")
+    return O.sliding_limiter(ticks(spark, sf_dir).select("user_id", "event_id", "seconds"), "user_id", ["seconds", "event_id"], "seconds", 3, 36_000.0).select("user_id", "event_id", "allowed", "remaining")
 
 
 def rate_limit_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +221,7 @@ def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LIST = (
-    record_hashes, stable_order_v2, row_chain, row_chain_root, chain_verify, chunk_chain_root, dataset_hash, tenant_scope, receipt_ids, merkle_level1, merkle_root, merkle_proofs, rate_limiter, rate_limit_window_counts, token_bucket, circuit_breaker,
+    record_hashes, stable_order_v2, row_chain, row_chain_root, chain_verify, replay_determinism, chunk_digest, chunk_evidence, chunk_chain_root, dataset_hash, dataset_hash_v1, tenant_scope, receipt_ids, ledger_event_ids, rfc3339_times, merkle_level1, merkle_root, merkle_proofs, rate_limiter, rate_limit_window_counts, token_bucket, circuit_breaker,
     ledger_conditional, ledger_running_balance, concurrency_slots, sla_deadlines, sla_breaches, queue_stats, stale_actions, round_robin_assignment, review_decisions,
 )
 QUERIES = {f.__name__: f for f in LIST}
@@ -182,17 +230,60 @@ _NUMBER = "CASE WHEN confidence = 0 THEN '0' ELSE rtrim(rtrim(round(confidence,
 _JSON = "'{{\"confidence\":' || " + _NUMBER + " || ',\"decision_path\":\"' || decision_path || '\",\"entity_type\":\"' || entity_type || '\",\"layer\":\"' || {layer} || '\",\"original\":\"' || original || '\",\"resolved\":' || coalesce('\"' || resolved || '\"', 'null') || '}}'"
 HASHED = f"""{RESULTS}, hashed AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY strftime(source_timestamp, '%Y-%m-%dT%H:%M:%S.%fZ'), sha256(original), row_index) AS pos,
   {_JSON.format(layer="CASE WHEN layer = 'L3_CACHED' THEN 'L3_LLM' ELSE layer END")} AS canonical, sha256({_JSON.format(layer="layer")}) AS record_hash FROM results)"""
+_RECORD = """'{"decision_path":"' || decision_path || '","entity_type":"' || entity_type || '","latency_ms":0.0,"layer":"' || layer || '","llm_used":' || starts_with(layer, 'L3')::VARCHAR || ',"match_id":null,"match_type":"' || CASE layer WHEN 'L1_EXACT' THEN 'EXACT_MATCH' ELSE 'NO_MATCH' END || '","original_input":"' || original || '","output_confidence":' || confidence::VARCHAR || ',"pii_detected":[],"resolved_output":' || coalesce('"' || resolved || '"', 'null') || ',"row_index":' || row_index || ',"sanitized_input":"' || original || '","sustainability":null}'"""
+_CHUNKS = f"""pieces AS (SELECT trace_id, (pos - 1) // 500 AS chunk, count(*)::BIGINT AS rows, string_agg({_RECORD}, ',' ORDER BY pos) AS records FROM hashed GROUP BY 1, 2),
+parts AS (SELECT *, count(*) OVER (PARTITION BY trace_id) AS chunks FROM pieces),
+chunks AS (SELECT trace_id, chunk, rows, sha256('{{"batch_id":"' || trace_id || '","chunk_count":' || chunks || ',"chunk_index":' || chunk || ',"config_version":"sha256:c","created_at_utc":"{CHUNK_TIME}","records":[' || records || '],"row_end":' || (chunk * 500 + rows) || ',"row_start":' || chunk * 500 || ',"rows_in_chunk":' || rows || ',"sanitization_version":"1","schema_version":"chunk_v1","watchlist_version_hash":"sha256:w"}}') AS digest FROM parts)"""
 _FOLD = "list_reduce({}, lambda a, b: sha256(a || ':' || b), repeat('0', 64))"
+_TICKS = "ticks AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS s, event_type = 'error' AS failed, round(value * 100)::BIGINT AS cents, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
 _LEAVES = "leaves AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS idx, sha256('\\x00'::BLOB || unhex(sha256(p_name))) AS hash FROM part)"
 _UP = "SELECT idx // 2 AS idx, CASE WHEN count(*) = 2 THEN sha256('\\x01'::BLOB || unhex(arg_min(hash, idx)) || unhex(arg_max(hash, idx))) ELSE min(hash) END AS hash FROM {} GROUP BY 1"
 ORACLE = {
     "record_hashes": f"WITH {HASHED} SELECT trace_id, row_index, record_hash FROM hashed",
     "stable_order_v2": f"WITH {HASHED} SELECT trace_id, row_index, pos::BIGINT AS pos FROM hashed",
     "row_chain_root": f"WITH {HASHED} SELECT trace_id, {_FOLD.format('list(canonical ORDER BY pos)')} AS root, count(*)::BIGINT AS n FROM hashed GROUP BY 1",
-    "chain_verify": f"WITH {HASHED} SELECT trace_id, 0::BIGINT AS breaks, count(*)::BIGINT AS n FROM hashed GROUP BY 1",
-    "chunk_chain_root": f"WITH {HASHED}, c AS (SELECT trace_id, (pos - 1) // 500 AS chunk, sha256(string_agg(record_hash, chr(10) ORDER BY pos)) AS digest FROM hashed GROUP BY ALL) SELECT trace_id, {_FOLD.format('list(digest ORDER BY chunk)')} AS root, count(*)::BIGINT AS chunks FROM c GROUP BY 1",
+    "chain_verify": f"""WITH {RESULTS}, n AS (SELECT trace_id, count(*)::BIGINT AS events FROM results GROUP BY 1)
+SELECT trace_id, trace_id = 'B1' AS valid, CASE trace_id WHEN 'B2' THEN 'event_hash_mismatch' WHEN 'B3' THEN 'prev_hash_link_broken' WHEN 'B4' THEN 'chain_length_mismatch' WHEN 'B5' THEN 'root_hash_mismatch' END AS error,
+  CASE trace_id WHEN 'B2' THEN 4::BIGINT WHEN 'B3' THEN 2::BIGINT END AS broken_at, events, events - (trace_id = 'B4')::BIGINT AS entries FROM n""",
+    "replay_determinism": f"WITH {HASHED} SELECT trace_id, 3::BIGINT AS runs, 0::BIGINT AS variance, {_FOLD.format('list(canonical ORDER BY pos)')} AS root, true AS passed FROM hashed GROUP BY 1",
+    "chunk_digest": f"WITH {HASHED}, {_CHUNKS} SELECT * FROM chunks",
+    "chunk_evidence": f"WITH {HASHED}, {_CHUNKS}, d AS (SELECT *, trace_id = 'B3' AND chunk % 2 = 1 AS lost FROM chunks) SELECT trace_id, count(*)::BIGINT AS chunk_count, sum(rows)::BIGINT AS total_records, count_if(NOT lost)::BIGINT AS chunks_with_digest, count_if(lost) = 0 AS valid FROM d GROUP BY 1",
+    "chunk_chain_root": f"WITH {HASHED}, {_CHUNKS} SELECT trace_id, {_FOLD.format('list(digest ORDER BY chunk)')} AS root, count(*)::BIGINT AS chunks FROM chunks GROUP BY 1",
     "dataset_hash": f"WITH {HASHED} SELECT trace_id, sha256(string_agg(original, chr(10) ORDER BY pos)) AS dataset_hash FROM hashed GROUP BY 1",
-    "receipt_ids": f"WITH {RESULTS} SELECT trace_id, row_index, substr(sha256(trace_id || ':' || row_index), 1, 32) AS receipt_id FROM results",
+    "dataset_hash_v1": f"WITH {HASHED} SELECT trace_id, sha256('[' || string_agg('\"' || original || '\"', ',' ORDER BY pos) || ']') AS dataset_hash FROM hashed GROUP BY 1",
+    "receipt_ids": f"WITH {HASHED}, r AS (SELECT trace_id, sha256(trace_id || ':' || {_FOLD.format('list(canonical ORDER BY pos)')}) AS h FROM hashed GROUP BY 1) SELECT trace_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS receipt_id FROM r",
+    "ledger_event_ids": f"WITH {RESULTS} SELECT row_index, sha256(trace_id || ':' || (row_index % 4)::VARCHAR || ':' || original) AS event_id FROM results",
+    "rfc3339_times": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '.' || CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 90 + 10)::VARCHAR || '0000' ELSE '000000' END || 'Z' AS t FROM orders",
+    "tenant_scope": f"""SELECT s_suppkey, substr(sha256(unhex('{bytes(b ^ 0x5C for b in b'scope'.ljust(64, bytes(1))).hex()}') || unhex(sha256(unhex('{bytes(b ^ 0x36 for b in b'scope'.ljust(64, bytes(1))).hex()}') || encode(s_name)))), 1, 16) AS scope, substr(sha256(s_name), 1, 16) AS tenant_hash FROM supplier""",
+    "merkle_proofs": """WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), up AS (
+  SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS idx, row_number() OVER (ORDER BY p_partkey) - 1 AS spot, n, 0 AS steps FROM part, n
+  UNION ALL SELECT idx, spot // 2, (n + 1) // 2, steps + CASE WHEN spot % 2 = 0 AND spot + 1 = n THEN 0 ELSE 1 END FROM up WHERE n > 1)
+SELECT idx, max(steps)::BIGINT AS steps, true AS proven FROM up GROUP BY 1""",
+    "row_chain": f"""WITH RECURSIVE {HASHED}, walk AS (
+  SELECT trace_id, row_index, pos, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || ':' || canonical) AS event_hash FROM hashed WHERE pos = 1
+  UNION ALL SELECT h.trace_id, h.row_index, h.pos, w.event_hash, sha256(w.event_hash || ':' || h.canonical) FROM walk w JOIN hashed h ON h.trace_id = w.trace_id AND h.pos = w.pos + 1)
+SELECT trace_id, row_index, prev_hash, event_hash FROM walk""",
+    "rate_limiter": f"""WITH RECURSIVE {_TICKS}, walk AS (
+  SELECT user_id, event_id, k, [s] AS past, true AS allowed, 2::BIGINT AS remaining FROM ticks WHERE k = 1
+  UNION ALL SELECT user_id, event_id, k, CASE WHEN len(kept) < 3 THEN list_append(kept, s) ELSE kept END, len(kept) < 3, greatest(0, 2 - len(kept))::BIGINT
+  FROM (SELECT t.*, list_filter(w.past, lambda x: x > t.s - 36000.0) AS kept FROM walk w JOIN ticks t ON t.user_id = w.user_id AND t.k = w.k + 1))
+SELECT user_id, event_id, allowed, remaining FROM walk""",
+    "token_bucket": f"""WITH RECURSIVE {_TICKS}, walk AS (
+  SELECT user_id, event_id, k, s, 2.0::DOUBLE AS tokens, true AS allowed, 0::BIGINT AS retry_after FROM ticks WHERE k = 1
+  UNION ALL SELECT user_id, event_id, k, s, CASE WHEN full_ >= 1 THEN full_ - 1 ELSE full_ END, full_ >= 1, CASE WHEN full_ >= 1 THEN 0 ELSE trunc((1.0::DOUBLE - full_) / (0.01::DOUBLE / 60.0::DOUBLE))::BIGINT + 1 END
+  FROM (SELECT t.*, least(3.0::DOUBLE, w.tokens + greatest(0.0::DOUBLE, t.s - w.s) * (0.01::DOUBLE / 60.0::DOUBLE)) AS full_ FROM walk w JOIN ticks t ON t.user_id = w.user_id AND t.k = w.k + 1))
+SELECT user_id, event_id, allowed, retry_after FROM walk""",
+    "circuit_breaker": f"""WITH RECURSIVE {_TICKS}, walk AS (
+  SELECT user_id, event_id, k, 'closed' AS seen, true AS let_through, 'closed' AS state, failed::INT AS bad, 0.0::DOUBLE AS opened FROM ticks WHERE k = 1
+  UNION ALL SELECT user_id, event_id, k, now, now <> 'open',
+    CASE WHEN now = 'open' THEN 'open' WHEN failed THEN CASE WHEN now = 'half_open' OR bad + 1 >= 2 THEN 'open' ELSE now END ELSE 'closed' END,
+    CASE WHEN now = 'open' THEN bad WHEN failed THEN bad + (now = 'closed')::INT ELSE 0 END, CASE WHEN now <> 'open' AND failed AND (now = 'half_open' OR bad + 1 >= 2) THEN s ELSE opened END
+  FROM (SELECT t.*, w.bad, w.opened, CASE WHEN w.state = 'open' AND t.s - w.opened >= 86400.0 THEN 'half_open' ELSE w.state END AS now FROM walk w JOIN ticks t ON t.user_id = w.user_id AND t.k = w.k + 1))
+SELECT user_id, event_id, seen AS state, let_through FROM walk""",
+    "ledger_conditional": f"""WITH RECURSIVE {_TICKS}, walk AS (
+  SELECT user_id, event_id, k, CASE WHEN cents > 20000 THEN 'rejected' ELSE 'applied' END AS status, (20000 - CASE WHEN cents BETWEEN 1 AND 20000 THEN cents ELSE 0 END)::BIGINT AS remaining FROM ticks WHERE k = 1
+  UNION ALL SELECT t.user_id, t.event_id, t.k, CASE WHEN t.cents > w.remaining AND t.cents > 0 THEN 'rejected' ELSE 'applied' END, w.remaining - CASE WHEN t.cents > 0 AND t.cents <= w.remaining THEN t.cents ELSE 0 END FROM walk w JOIN ticks t ON t.user_id = w.user_id AND t.k = w.k + 1)
+SELECT user_id, event_id, status, remaining FROM walk""",
     "merkle_level1": f"WITH {_LEAVES} {_UP.format('leaves')}",
     "merkle_root": f"WITH RECURSIVE {_LEAVES}, t AS (SELECT 0 AS level, idx, hash, count(*) OVER () AS n FROM leaves UNION ALL SELECT * FROM (SELECT level + 1 AS level, idx, hash, count(*) OVER () AS n FROM (SELECT max(level) AS level, idx // 2 AS idx, CASE WHEN count(*) = 2 THEN sha256('\\x01'::BLOB || unhex(arg_min(hash, idx)) || unhex(arg_max(hash, idx))) ELSE min(hash) END AS hash FROM t WHERE n > 1 GROUP BY idx // 2))) SELECT hash AS root FROM t WHERE n = 1",
     "rate_limit_window_counts": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)::BIGINT AS n FROM events",

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import documents as D
 from ..operators import routing
 from ..sources import files, sinks
-from ..streaming.events import shared_path
+from ..shared import shared_path
 from . import documents as docs_plan
 from .inputs import RESULTS, results, table
 
@@ -26,8 +25,7 @@ def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_rows_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chains = D.evidence_chain(D.resolve_documents(docs_plan.docs(spark, sf_dir), docs_plan.RULES, docs_plan.precedents(spark, sf_dir)), docs_plan.AS_OF)
-    return sinks.node_rows(chains).select(F.col("key").alias("doc_id"), "node_type", F.col("sequence").cast("long").alias("sequence"))
+    return sinks.node_rows(docs_plan.chains(spark, sf_dir)).select(F.col("key").alias("doc_id"), "node_type", F.col("sequence").cast("long").alias("sequence"))
 
 
 def pack_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +60,7 @@ QUERIES = {f.__name__: f for f in (csv_roundtrip, json_export, evidence_rows_exp
 ORACLE = {
     "csv_roundtrip": f"WITH {RESULTS} SELECT row_index, original, resolved, layer, confidence FROM results",
     "json_export": """SELECT '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '","nation":' || CASE WHEN s_nationkey = 15 THEN 'null' ELSE s_nationkey::VARCHAR END || '}' AS json FROM supplier""",
-    "evidence_rows_export": f"""WITH {docs_plan.RESOLVED_SQL} SELECT doc_id, 'source_artifact' AS node_type, 1::BIGINT AS sequence FROM routed UNION ALL SELECT doc_id, 'transformation', 2 FROM routed UNION ALL SELECT doc_id, 'retrieval_result', 3 FROM routed WHERE precedent IS NOT NULL""",
+    "evidence_rows_export": f"""WITH {docs_plan.CHAIN_SQL} SELECT doc_id, 'source_artifact' AS node_type, 1::BIGINT AS sequence FROM chained UNION ALL SELECT doc_id, CASE layer_used WHEN 1 THEN 'transformation' ELSE 'retrieval_result' END, 2 FROM chained WHERE layer_used IS NOT NULL UNION ALL SELECT doc_id, 'transformation', n_nodes FROM chained""",
     "pack_verify": "SELECT 'ok' AS status, true AS some",
     "dataset_routing": "SELECT * FROM (VALUES ('supplier', 'mixed', 'MIXED', 'mixed_dataset'), ('customer', 'mixed', 'MIXED', 'mixed_dataset'), ('lineitem', 'mixed', 'MIXED', 'mixed_dataset'), ('nation', 'mixed', 'MIXED', 'mixed_dataset')) v(name, mode, dataset_type, decision)",
     "file_types": "SELECT * FROM (VALUES ('csv', 1::BIGINT), ('json', 1::BIGINT)) v(kind, n)",
