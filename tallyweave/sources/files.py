@@ -1,24 +1,27 @@
 """Uploaded files as tables: type and encoding, delimiter, header row, and readers for text, JSON, ZIP and XLSX.
 
-Decisions that need a look at the file (type, encoding, delimiter, header) are made on a bounded head of it; rows are
-read by Spark.
+Any number of files is read at once: each is one binaryFile row of MAX_BYTES at most, parsed by one task into a row for
+each of its rows. A file that can't be read becomes a row that says why; nothing raises but read_table() on such a file.
 """
 
 from __future__ import annotations
 
+import csv
 import io
+import json
 import re
 import zipfile
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import PurePosixPath
+from typing import Any
 from xml.etree import ElementTree
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..shared import written
 
 #: What files begin with, and the bounds of uploads.
 MAGIC = {"89504E47": "png", "FFD8FF": "jpeg", "25504446": "pdf", "47494638": "gif", "424D": "bmp", "7F454C46": "elf", "1F8B": "gzip", "504B0304": "zip", "D0CF11E0": "xls"}
@@ -99,40 +102,10 @@ def column_names(cells: list[str | None]) -> list[str]:
     return out
 
 
-def head_of(spark: SparkSession, path: str) -> tuple[bytes, str]:
-    """The first PROBE bytes of a file, and its type; refused types and sizes raise."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, PROBE).alias("head"), "length", detected_type(F.col("content"), F.col("path")).alias("kind")).first()
-    if row is None:
-        raise FileNotFoundError(path)
-    if row["kind"] in REFUSED or row["length"] > MAX_BYTES:
-        raise ValueError(f"not a table: {row['kind']}, {row['length']} bytes")
-    return bytes(row["head"]), row["kind"]
-
-
-def read_text_table(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited file as strings under the names of its header row; ragged rows are kept, with nulls."""
-    head, _ = head_of(spark, path)
-    encoding = detected_encoding(head)
-    lines = head.decode(encoding, "replace").splitlines()[:20]
-    sep = detected_delimiter(lines)
-    rows = [line.split(sep) for line in lines[:15]]
-    at = header_row(rows)
-    names = column_names([c.strip().strip('"') for c in rows[at]]) if rows else ["column_1"]
-    java = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "utf-16": "UTF-16"}.get(encoding, "ISO-8859-1")
-    # Spark reads no Windows code page: it differs from ISO-8859-1 in what are control characters there.
-    windows = bytes(c for c in range(128, 160) if c not in (129, 141, 143, 144, 157))
-    recoded = lambda c: F.translate(c, windows.decode("latin-1"), windows.decode("cp1252")) if encoding == "cp1252" else c
-    raw = spark.read.option("encoding", java).option("sep", sep).option("mode", "PERMISSIVE").schema(", ".join(f"`_c{i}` string" for i in range(len(names)))).csv(path)
-    bom = lambda c: F.regexp_replace(c, "^﻿", "")
-    order = raw.withColumn("__at", F.monotonically_increasing_id())
-    data = order.where(F.col("__at") > at) if at or lines else order
-    return data.select(*(recoded(bom(F.col(f"_c{i}"))).alias(n) for i, n in enumerate(names))).where(F.coalesce(*(F.col(f"`{n}`") for n in names)).isNotNull())
-
-
 def read_json_table(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON file as rows: a list, the list under a well-known key, or one object."""
+    """A JSON file as rows: a list, the list under a well-known key or else the first one, or one object."""
     df = spark.read.option("multiLine", True).json(path)
-    for key in LIST_KEYS:
+    for key in [*LIST_KEYS, *df.columns]:
         if key in df.columns and df.schema[key].dataType.typeName() == "array":
             inner = df.select(F.explode(key).alias("r"))
             return inner.select("r.*") if inner.schema["r"].dataType.typeName() == "struct" else inner.toDF("value")
@@ -145,22 +118,6 @@ def read_list(spark: SparkSession, path: str, header: str = "name") -> DataFrame
     return spark.read.text(path).where((value != "") & (F.lower(value) != header)).select(value.alias("value"))
 
 
-def unzipped(spark: SparkSession, path: str) -> DataFrame:
-    """archive, member, content of the first supported member of each archive; what unpacks to too much is refused."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for archive, content in zip(b["path"], b["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    if sum(i.file_size for i in z.infolist()) > ZIP_BYTES:
-                        raise ValueError(f"{archive} unpacks to more than {ZIP_BYTES} bytes")
-                    first = next((n for n in z.namelist() if PurePosixPath(n).suffix.lower() in EXTENSIONS and not n.startswith("__MACOSX")), None)
-                    if first:
-                        yield pd.DataFrame({"archive": [archive], "member": [first], "content": [z.read(first)]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, content binary")
-
-
 def best_column(df: DataFrame) -> tuple[str, str]:
     """The column to resolve, and how it was chosen: a well-known name, else the one most like names, else the first."""
     by_name = {c.strip().lower().replace(" ", "_"): c for c in df.columns}
@@ -227,58 +184,164 @@ def alike_sheets(sheets: dict[str, list[list[str | None]]]) -> list[str]:
     return [best, *(k for k in sheets if k != best and dense[k] >= 0.8 * dense[best] and share(k) >= 0.5)]
 
 
-class Sheet(InputPartition):
-    def __init__(self, content: bytes):
-        self.content = content
-
-
-class WorkbookReader(DataSourceReader):
-    def __init__(self, names: list[str], content: bytes):
-        self.names, self.content = names, content
-
-    def partitions(self) -> list[Sheet]:
-        return [Sheet(self.content)]
-
-    def read(self, partition: Sheet) -> Iterator[pa.RecordBatch]:
-        sheets = workbook(partition.content)
-        for k in alike_sheets(sheets):
-            rows = sheets[k]
-            at = header_row(rows)
-            own = column_names(rows[at]) if rows else []
-            cols = [pa.array([r[own.index(n)] if n in own and own.index(n) < len(r) else None for r in rows[at + 1 :]], pa.string()) for n in self.names]
-            yield pa.RecordBatch.from_arrays(cols, names=self.names)
-
-
-class WorkbookDataSource(DataSource):
-    """Format workbook: the alike sheets of an XLSX file, whose bytes come hex-coded in the option content (uploads are small)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "workbook"
-
-    def _names(self) -> list[str]:
-        sheets = workbook(bytes.fromhex(self.options["content"]))
-        out: list[str] = []
-        for k in alike_sheets(sheets):
-            out += [n for n in column_names(sheets[k][header_row(sheets[k])]) if n not in out]
-        return out
-
-    def schema(self) -> str:
-        return ", ".join(f"`{n}` string" for n in self._names())
-
-    def reader(self, schema) -> WorkbookReader:
-        return WorkbookReader(self._names(), bytes.fromhex(self.options["content"]))
-
-
-def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    row = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_BYTES).select("content").first()
-    spark.dataSource.register(WorkbookDataSource)
-    return spark.read.format("workbook").option("content", bytes(row["content"]).hex()).load()
+def kind_of(content: bytes, name: str) -> str:
+    """detected_type of one file, for members of archives."""
+    head, ext = content[:8].hex().upper(), PurePosixPath(name).suffix.lower()
+    magic = next((v for k, v in MAGIC.items() if head.startswith(k)), None)
+    if magic == "zip" and ext == ".xlsx":
+        return "xlsx"
+    if magic:
+        return magic
+    try:
+        text = bool(content[:PROBE].decode()) or True
+    except UnicodeDecodeError as e:
+        text = len(content) >= PROBE and e.reason == "unexpected end of data"
+    return EXTENSIONS.get(ext, "txt" if text else "unknown")
+
+
+class Unreadable(ValueError):
+    """A file that is no table."""
+
+
+def delimiter_of(text: str) -> str:
+    """By the csv module's sniffer, else by how evenly the delimiters come."""
+    try:
+        return csv.Sniffer().sniff(text[:16_384], delimiters="".join(DELIMITERS)).delimiter
+    except csv.Error:
+        return detected_delimiter(text[:16_384].splitlines()[:20])
+
+
+def _records(text: str, sep: str) -> list[list[str]]:
+    return [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if any(c.strip() for c in r)]
+
+
+def text_rows(content: bytes) -> tuple[dict[str, Any], list[list[str | None]]]:
+    """A text file's rows, header first, and how they were found.
+
+    A file of one column is read again from the first of 15 lines with two delimiters; without such a line it is a list,
+    whose first line is a header only if it is one's name.
+    """
+    encoding = detected_encoding(content[:PROBE])
+    text = content.decode(encoding, "replace").lstrip("\ufeff")
+    sep, how = delimiter_of(text), "delimited"
+    rows = _records(text, sep)
+    if rows and max(map(len, rows[:50])) == 1:
+        lines, how = text.splitlines(), "list"
+        for i, line in enumerate(lines[:15]):
+            found = next((d for d in DELIMITERS if line.count(d) >= 2), None)
+            if found:
+                sep, how = found, "header_scan"
+                rows = _records("\n".join(lines[i:]), sep)
+                break
+    if not rows:
+        raise Unreadable("empty file")
+    width = max(map(len, rows[:15]))
+    at = 0 if how == "list" else header_row([[*r, *[None] * (width - len(r))] for r in rows[:15]])
+    if how == "list":
+        named = rows[0][0].strip().lower().replace(" ", "_") in TARGETS
+        rows = [[rows[0][0] if named else "name"], *rows[named:]]
+    return {"encoding": encoding, "delimiter": sep, "method": how, "header_at": at}, rows[at:]
+
+
+def json_rows(content: bytes) -> tuple[dict[str, Any], list[list[str | None]]]:
+    """A JSON file's rows as text, header first: a list, the first list under a known or any key, or one object."""
+    data = json.loads(content.decode(detected_encoding(content[:PROBE])))
+    if isinstance(data, dict):
+        key = next((k for k in [*LIST_KEYS, *data] if isinstance(data.get(k), list)), None)
+        data = data[key] if key else [data]
+    if not isinstance(data, list) or not data:
+        raise Unreadable("no rows")
+    rows = [r if isinstance(r, dict) else {"value": r} for r in data]
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+    return {"encoding": "utf-8", "delimiter": None, "method": "json", "header_at": 0}, [names, *([text(r.get(n)) for n in names] for r in rows)]
+
+
+def sheet_rows(content: bytes) -> tuple[dict[str, Any], list[list[str | None]]]:
+    """The rows of a workbook's alike sheets under the union of their columns, header first."""
+    sheets = workbook(content)
+    if not any(sheets.values()):
+        raise Unreadable("empty workbook")
+    names, parts = [], []
+    for k in alike_sheets(sheets):
+        at = header_row(sheets[k])
+        own = column_names(sheets[k][at])
+        names += [n for n in own if n not in names]
+        parts.append((own, sheets[k][at + 1 :]))
+    rows = [[dict(zip(own, r, strict=False)).get(n) for n in names] for own, part in parts for r in part]
+    return {"encoding": None, "delimiter": None, "method": "workbook", "header_at": 0}, [names, *rows]
+
+
+def rows_of(content: bytes, name: str) -> tuple[dict[str, Any], list[list[str | None]]]:
+    """The rows of any file that is a table, header first."""
+    kind = kind_of(content, name)
+    if kind == "zip":
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            if sum(i.file_size for i in z.infolist()) > ZIP_BYTES:
+                raise Unreadable(f"unpacks to more than {ZIP_BYTES} bytes")
+            member = next((n for n in z.namelist() if PurePosixPath(n).suffix.lower() in EXTENSIONS and not n.startswith("__MACOSX")), None)
+            if member is None:
+                raise Unreadable("no supported file in the archive")
+            return rows_of(z.read(member), member)
+    if kind == "xls":
+        raise Unreadable("legacy XLS needs a reader that is not at hand; save it as XLSX or CSV")
+    if kind in REFUSED or kind == "unknown":
+        raise Unreadable(f"not a table: {kind}")
+    if not content.strip():
+        raise Unreadable("empty file")
+    how, rows = {"json": json_rows, "xlsx": sheet_rows}.get(kind, text_rows)(content)
+    return how | {"kind": kind}, rows
+
+
+INGESTED = "path string, kind string, encoding string, delimiter string, method string, header_at long, error string, head string, names array<string>, at long, cells array<string>"
+#: Rows that leave a task together.
+_TOGETHER = 10_000
+
+
+def _ingest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in INGESTED.split(", ")]
+    for b in batches:
+        for path, length, content in zip(b["path"], b["length"], b["content"], strict=True):
+            base = dict.fromkeys(columns) | {"path": path, "head": content[:256].hex()}
+            try:
+                if length > MAX_BYTES:
+                    raise Unreadable("max_file_size")
+                how, rows = rows_of(content, path)
+            except Exception as e:  # a file may fail in any way; it says so in its row
+                yield pd.DataFrame([base | {"kind": kind_of(content, path), "error": f"{e}"[:200]}])
+                continue
+            width = max(map(len, rows[: MAX_ROWS + 1]))
+            names = column_names([*rows[0], *[None] * (width - len(rows[0]))])
+            data = [[*r, *[None] * (width - len(r))] for r in rows[1 : MAX_ROWS + 1]]
+            for k in range(0, max(1, len(data)), _TOGETHER):
+                part = data[k : k + _TOGETHER]
+                yield pd.DataFrame([base | how | {"names": names, "at": k + i if part else None, "cells": r} for i, r in enumerate(part or [None])])
+
+
+def ingested(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each row of every file under path (INGESTED); a file without rows, or with an error, has one without cells."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    content = F.when(F.col("length") <= MAX_BYTES, F.col("content")).otherwise(F.substring("content", 1, PROBE))
+    # Spark passes over files without bytes; its own list of the files still has them.
+    same = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").withColumn("same", same).join(files.select(same.alias("same")), "same", "left_anti")
+    empty = listed.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    return files.select("path", "length", content.alias("content")).unionByName(empty).mapInPandas(_ingest, INGESTED)
+
+
+def log_failures(table: DataFrame, path: str) -> None:
+    """Append what could not be read to a log of JSON lines: path, kind, error and the first 256 bytes in hex."""
+    table.where("error IS NOT NULL").select("path", "kind", "error", "head").write.mode("append").json(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A file by its type."""
-    _, kind = head_of(spark, path)
-    if kind == "xls":
-        raise ValueError("legacy XLS needs a reader that is not at hand; save it as XLSX or CSV")
-    return {"json": read_json_table, "xlsx": read_workbook, "txt": read_text_table, "csv": read_text_table, "tsv": read_text_table}.get(kind, read_text_table)(spark, path)
+    """One file as a table of text under the names of its header; a JSON file with the types of its values."""
+    table = written(ingested(spark, path), "upload")
+    first = table.orderBy(F.col("at").asc_nulls_first()).select("kind", "error", "names").first()
+    if first is None:
+        raise FileNotFoundError(path)
+    if first["error"]:
+        raise ValueError(f"{first['kind']}: {first['error']}")
+    if first["kind"] == "json":
+        return read_json_table(spark, path)
+    return table.where("cells IS NOT NULL").select(*(F.col("cells")[i].alias(n) for i, n in enumerate(first["names"])))

@@ -53,7 +53,7 @@ def write_once(df: DataFrame, path: str) -> str:
 def manifest(spark, path: str) -> DataFrame:
     """path, size and sha256 of the files under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -54,13 +54,52 @@ def test_json_and_lists(spark, tmp_path):
     assert [r["value"] for r in files.read_list(spark, put(tmp_path, "n.txt", "name\n\n A \nB\n")).collect()] == ["A", "B"]
 
 
-def test_zip(spark, tmp_path):
+def zipped(**members):
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
-        z.writestr("readme.md", "x")
-        z.writestr("in/a.csv", CSV)
-    (row,) = files.unzipped(spark, put(tmp_path, "a.zip", buf.getvalue())).collect()
-    assert row["member"] == "in/a.csv" and bytes(row["content"]).decode() == CSV
+        for name, data in members.items():
+            z.writestr(name.replace("__", "/").replace("_", "."), data)
+    return buf.getvalue()
+
+
+def test_zip(spark, tmp_path):
+    df = files.read_table(spark, put(tmp_path, "a.zip", zipped(readme_md="x", in__a_csv=CSV)))
+    assert df.columns == ["Name", "Company", "Email"] and df.count() == 2
+    book = xlsx({"One": [["Name", "City"], ["Ann", "Rome"]]})
+    assert files.read_table(spark, put(tmp_path, "b.zip", zipped(d_xlsx=book))).collect()[0]["City"] == "Rome"
+    with pytest.raises(ValueError, match="no supported file"):
+        files.read_table(spark, put(tmp_path, "c.zip", zipped(image_png=b"\x89PNG")))
+
+
+@pytest.mark.parametrize(
+    ("data", "columns", "rows"),
+    [
+        ("\n\nName,Company\nAnn Roe,Acme\nBo Li,Beta", ["Name", "Company"], [("Ann Roe", "Acme"), ("Bo Li", "Beta")]),
+        ('"LastName, FirstName",Phone,Status\n"Roe, Ann",1,ok\n"Li, Bo",2,no\n', ["LastName, FirstName", "Phone", "Status"], [("Roe, Ann", "1", "ok"), ("Li, Bo", "2", "no")]),
+        ('Name,Note\nAnn,"two\nlines"\nBo,one\n', ["Name", "Note"], [("Ann", "two\nlines"), ("Bo", "one")]),
+        ("Name,City\nAnn,Rome\nBo,Oslo\n".encode("utf-16"), ["Name", "City"], [("Ann", "Rome"), ("Bo", "Oslo")]),
+        ("Ann Roe\nBo Li\nCy Doe\n", ["name"], [("Ann Roe",), ("Bo Li",), ("Cy Doe",)]),
+        ("company\nAcme\nBeta\n", ["company"], [("Acme",), ("Beta",)]),
+        ("Name,City\nAnn,Rome,extra\nBo\n", ["Name", "City", "column_3"], [("Ann", "Rome", "extra"), ("Bo", None, None)]),
+        (b"Name,Note\nAnn,\x93x\x94\n", ["Name", "Note"], [("Ann", "“x”")]),
+    ],
+)
+def test_ordinary_uploads(spark, tmp_path, data, columns, rows):
+    df = files.read_table(spark, put(tmp_path, "u.csv", data))
+    assert df.columns == columns and [tuple(r) for r in df.collect()] == rows
+
+
+def test_many_files_at_once_and_the_log_of_failures(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, data in (("a.csv", CSV), ("empty.csv", b""), ("b.png", b"\x89PNG\r\n"), ("c.json", json.dumps({"total": 2, "people": [{"name": "A"}, {"name": "B", "age": 3}]})), ("broken.xlsx", b"PK\x03\x04x"), ("old.xls", b"\xd0\xcf\x11\xe0")):
+        put(folder, name, data)
+    table = files.ingested(spark, str(folder))
+    got = {r["name"]: (r["n"], r["error"] is None) for r in table.groupBy(F.regexp_extract("path", "([^/]+)$", 1).alias("name")).agg(F.count("cells").alias("n"), F.max("error").alias("error")).collect()}
+    assert got == {"a.csv": (2, True), "empty.csv": (0, False), "b.png": (0, False), "c.json": (2, True), "broken.xlsx": (0, False), "old.xls": (0, False)}
+    files.log_failures(table, str(tmp_path / "log"))
+    log = spark.read.json(str(tmp_path / "log")).collect()
+    assert len(log) == 4 and all(r["error"] for r in log) and {r["head"] for r in log} >= {"89504e470d0a", "d0cf11e0"}
 
 
 def xlsx(sheets):
