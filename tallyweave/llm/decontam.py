@@ -5,14 +5,17 @@ underscores; a window may pass the text's end) is within floor(MAX_EDIT * m) wor
 CGK embeddings: a walk over the words emits the word at its place and moves on or stays by a random bit of step and
 word, which turns few edits into few differing places. Each repetition has a walk of its own and samples BITS places
 as a key; windows and items with equal keys are compared by the exact edit distance. The number of repetitions is
-the smallest that reaches RECALL on items edited up to the threshold. Windows that share too few words or word pairs
-with all items for that distance (a lossless bound) are not hashed.
+sought for each band of item lengths (a band's longest items are a quarter longer than its shortest): the smallest that
+reaches RECALL on the band's items edited up to the threshold. A band that MOST_REPEATS don't bring there is compared
+exactly. Windows that share too few words or word pairs with all items for that distance (a lossless bound) are neither
+hashed nor compared.
 
-The items are taken in blocks of BLOCK_ITEMS rows and BLOCK_CHARS characters about, each block over all documents.
+The distinct items are taken in blocks of BLOCK_ITEMS rows and BLOCK_CHARS characters about, each block over all documents.
 
 Defined cases: null, empty and wordless texts and items match nothing; items of fewer than 1/MAX_EDIT words match
-exact windows only; repeated rows each report their matches; an empty table of either kind gives no match; other
-columns are ignored.
+exact windows only; repeated rows of documents each report their matches, those of items count once; of an item's equally
+near windows the first is reported; very long texts are looked at in parts of bounded size, and one text's words at once;
+an empty table of either kind gives no match; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-MAX_EDIT, RECALL, BITS, MOST_REPEATS, TRIALS = 0.2, 0.998, 2, 96, 500
+MAX_EDIT, RECALL, BITS, MOST_REPEATS, TRIALS = 0.2, 0.998, 2, 128, 500
+BAND = 1.25
 BLOCK_ITEMS, BLOCK_CHARS = 5000, 8_000_000
 #: Words of documents that are looked at together.
-BATCH_WORDS = 1 << 20
+BATCH_WORDS = 1 << 18
 _WORDS = re.compile(r"\w+")
 
 
@@ -85,14 +89,15 @@ class Items:
             self.sized.setdefault(len(a), []).append(k)
         self.longest = max(self.sized, default=0)
         self.seed = seed
+        #: For each length its repetitions; 0: every window that passes the bound is compared.
         self.repeats = self._repeats()
         #: For each length and repetition: the keys of its items, sorted, and the items.
         self.keys = {}
         flat = np.concatenate([*self.items, np.full(self.longest, -1, dtype=np.int64)]) if self.items else np.zeros(0, np.int64)
         begins = np.cumsum([0, *map(len, self.items)])
         starts, of = begins[:-1], {m: np.array(k) for m, k in self.sized.items()}
-        for r in range(self.repeats):
-            for m, key in self.sampled(flat, starts, of, r):
+        for r in range(max(self.repeats.values(), default=0)):
+            for m, key in self.sampled(flat, starts, {m: k for m, k in of.items() if r < self.repeats[m]}, r):
                 order = np.argsort(key, kind="stable")
                 self.keys[m, r] = key[order], of[m][order]
 
@@ -144,32 +149,39 @@ class Items:
                 key = _mixed(key ^ seen[p][of].astype(np.uint64), p)
             yield m, key
 
-    def _repeats(self) -> int:
-        """The repetitions that reach RECALL on items with as many edits as the limit allows."""
-        rng = np.random.default_rng(self.seed)
-        tried = []
-        some = [a for a in self.items if self.limit(len(a))]
-        for k in range(TRIALS if some else 0):
-            a = some[k % len(some)]
-            m = len(a)
-            b = a.copy()
-            for kind in rng.integers(0, 4, self.limit(m)).tolist():
-                p = int(rng.integers(0, m))
+    def _edited(self, a: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """An item's words with as many edits as the limit allows, or fewer where edits move the window's end."""
+        m = len(a)
+        while True:
+            b = a
+            for kind, p in zip(rng.integers(0, 4, self.limit(m)).tolist(), rng.integers(0, m, self.limit(m)).tolist(), strict=True):
                 # Half of the edits are put for a word; words put in or left out move the window's end, which costs an edit more.
-                b = np.concatenate([b[:p], [0], b[p:]])[:m] if kind == 0 else np.concatenate([np.delete(b, p), [0]]) if kind == 1 else np.where(np.arange(m) == p, 0, b)
+                b = np.concatenate([b[:p], [0], b[p:]])[:m] if kind == 0 else np.concatenate([b[:p], b[p + 1 :], [0]]) if kind == 1 else np.concatenate([b[:p], [0], b[p + 1 :]])
             if edit_distances(a[None], b[None])[0] <= self.limit(m):
-                tried.append((a, b))
-        if not tried:
-            return 1
-        found, gap = np.zeros(len(tried), dtype=bool), np.full(self.longest, -1)
-        for r in range(MOST_REPEATS):
-            for k, (a, b) in enumerate(tried):
-                if not found[k]:
-                    ((_, (one, two)),) = self.sampled(np.concatenate([a, b, gap]), np.array([0, len(a)]), {len(a): np.arange(2)}, r)
-                    found[k] = one == two
-            if found.mean() >= RECALL:
-                return r + 1
-        return MOST_REPEATS
+                return b
+
+    def _repeats(self) -> dict[int, int]:
+        """For each length the repetitions that reach RECALL on edited items of its band, all of the band's items in turn."""
+        rng, out = np.random.default_rng(self.seed), {m: 1 for m in self.sized if not self.limit(m)}
+        bands: dict[int, list[int]] = {}
+        for m in sorted(set(self.sized) - set(out)):
+            bands.setdefault(int(np.log(m) / np.log(BAND)), []).append(m)
+        for lengths in bands.values():
+            of = [k for m in lengths for k in self.sized[m]]
+            tried = [(self.items[k], self._edited(self.items[k], rng)) for k in np.resize(of, max(TRIALS, len(of))).tolist()]
+            pairs: dict[int, list[int]] = {}
+            for t, (a, _) in enumerate(tried):
+                pairs.setdefault(len(a), []).append(t)
+            flat = np.concatenate([*(x for pair in tried for x in pair), np.full(self.longest, -1)])
+            starts = np.cumsum([0, *(len(a) for a, _ in tried for _ in range(2))])[:-1]
+            sets = {m: np.array([2 * t + side for t in ts for side in (0, 1)]) for m, ts in pairs.items()}
+            found, used = np.zeros(len(tried), dtype=bool), 0
+            while found.mean() < RECALL and used < MOST_REPEATS:
+                for m, key in self.sampled(flat, starts, sets, used):
+                    found[pairs[m]] |= key[::2] == key[1::2]
+                used += 1
+            out |= {m: used if found.mean() >= RECALL else 0 for m in lengths}
+        return out
 
     def _near(self, hit: np.ndarray, q: int) -> np.ndarray | None:
         """Where a window may begin: in reach before a stretch with as many hits as any window must have in one of its stretches. None: anywhere."""
@@ -200,6 +212,18 @@ class Items:
                 held, n = [], 0
         yield from self._find(held)
 
+    def _pairs(self, windows: np.ndarray, m: int, found: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows and items of m words to compare, in parts: those with equal keys, or all where keys don't reach the recall."""
+        if self.repeats[m]:
+            both = np.unique(np.concatenate(found))
+            for c in range(0, len(both), 20_000):
+                yield both[c : c + 20_000] // len(self.items), both[c : c + 20_000] % len(self.items)
+        else:
+            for k in self.sized[m]:
+                for c in range(0, len(windows), 20_000):
+                    part = windows[c : c + 20_000]
+                    yield part, np.full(len(part), k)
+
     def _find(self, held: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, int, int]]:
         if not held or not self.items:
             return
@@ -226,17 +250,16 @@ class Items:
         starts = np.unique(np.concatenate(list(windows.values())))
         sets = {m: np.searchsorted(starts, s) for m, s in windows.items()}
         pairs: dict[int, list[np.ndarray]] = {m: [] for m in windows}
-        for r in range(self.repeats):
-            for m, key in self.sampled(flat, starts, sets, r):
+        for r in range(max(self.repeats[m] for m in windows)):
+            for m, key in self.sampled(flat, starts, {m: s for m, s in sets.items() if r < self.repeats[m]}, r):
                 keys, of = self.keys[m, r]
                 lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                 i, j = _expanded(lo, hi - lo)
                 pairs[m].append(windows[m][i] * len(self.items) + of[j])
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for m, found in pairs.items():
-            limit, both = self.limit(m), np.unique(np.concatenate(found))
-            for c in range(0, len(both), 20_000):
-                start, item = both[c : c + 20_000] // len(self.items), both[c : c + 20_000] % len(self.items)
+            limit = self.limit(m)
+            for start, item in self._pairs(windows[m], m, found):
                 dist = edit_distances(np.stack([self.items[k] for k in item.tolist()]), flat[start[:, None] + np.arange(m)])
                 ok = dist <= limit
                 for p, k, d in zip(start[ok].tolist(), item[ok].tolist(), dist[ok].tolist(), strict=True):
@@ -249,10 +272,11 @@ class Items:
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
     """The items in blocks of bounded size."""
-    n, chars = benchmark.agg(F.count("text"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    known = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").distinct()
+    n, chars = known.agg(F.count("text"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(-(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
     for k in range(blocks):
-        rows = benchmark.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)).select("item_id", "text").collect()
+        rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         yield Items(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
