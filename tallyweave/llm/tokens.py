@@ -13,7 +13,7 @@ exceptions. The last block is filled up with its minimum. The block index lets r
 alone. Spark writes the images as rows of a table in the shared folder, so that lost tasks are simply run again.
 
 Defined cases: a null or empty text has the end id alone; null doc_ids come first; rows that repeat a doc_id are
-written one after the other by text; an empty table gives an empty result; other columns are ignored.
+written one after the other by the hash of their text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,8 @@ from .common import new_path, table
 
 BLOCK, PERCENTILE = 256, 90
 SEGMENT_IDS = 1 << 20
-#: Words, and runs of letters, whose ids each Python worker remembers.
-KNOWN_WORDS, KNOWN_RUNS = 300_000, 600_000
+#: Bytes of frequent words and their ids that a worker may remember, and what Python needs besides for each of them.
+KNOWN_BYTES, ENTRY_BYTES = 96 << 20, 200
 #: Bytes of text that are split into words together.
 SLICE = 1 << 22
 END_ID = 1
@@ -61,7 +61,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known, self.runs = {"": b""}, {}
+        self.known, self.runs, self.room = {"": b""}, {}, KNOWN_BYTES
         mark = self._ids(_MARK)
         self.mark = mark[0] if len(mark) == 1 else None
         vocab = self.tokenizer.get_vocab()
@@ -103,11 +103,17 @@ class WordEncoder:
             out |= self._cut(part, ids, np.append(0, stops[:-1]), stops) if len(stops) == len(part) and stops[-1] == len(ids) else self._any(part)
         return out
 
-    def _kept(self, keep: dict[str, bytes], bound: int, words: list[str], encode) -> list[bytes]:
-        """The ids of distinct words, from those that are kept or else by encode."""
+    def _kept(self, keep: dict[str, bytes], words: list[str], times: np.ndarray, encode) -> list[bytes]:
+        """The ids of distinct words, from those that are kept or else by encode. Only words that came more than once are kept then."""
         ids = list(map(keep.get, words))
         fresh = encode([w for w, i in zip(words, ids, strict=True) if i is None])
-        keep.update(islice(fresh.items(), max(0, bound - len(keep))))
+        for k in np.flatnonzero(times > 1).tolist() if fresh else ():
+            if self.room <= 0:
+                break
+            if ids[k] is None:
+                w = words[k]
+                keep[w] = fresh[w]
+                self.room -= 4 * len(w) + len(fresh[w]) + ENTRY_BYTES
         return [fresh[w] if i is None else i for w, i in zip(words, ids, strict=True)] if fresh else ids
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
@@ -126,30 +132,34 @@ class WordEncoder:
         plain = parts.is_valid()
         run, tail = (pc.struct_field(parts, k).filter(plain).dictionary_encode() for k in ("run", "tail"))
         other = coded.dictionary.filter(pc.invert(plain))
+        plain = plain.to_numpy(zero_copy_only=False)
+        times = np.bincount(coded.indices.to_numpy(), minlength=len(plain))
+        count = lambda part: np.bincount(part.indices.to_numpy(), weights=times[plain], minlength=len(part.dictionary))
         pieces = [
-            *self._kept(self.runs, KNOWN_RUNS, run.dictionary.to_pylist(), self._letters),
-            *self._kept(self.known, KNOWN_WORDS, tail.dictionary.to_pylist(), self._any),
-            *self._kept(self.known, KNOWN_WORDS, other.to_pylist(), self._any),
+            *self._kept(self.runs, run.dictionary.to_pylist(), count(run), self._letters),
+            *self._kept(self.known, tail.dictionary.to_pylist(), count(tail), self._any),
+            *self._kept(self.known, other.to_pylist(), times[~plain], self._any),
             b"",
         ]
-        plain = plain.to_numpy(zero_copy_only=False)
-        two = np.full((len(plain), 2), len(pieces) - 1)
+        two = np.full((len(plain), 2), len(pieces) - 1, dtype=np.int32)
         two[plain, 0] = run.indices.to_numpy()
         two[plain, 1] = tail.indices.to_numpy() + len(run.dictionary)
         two[~plain, 0] = np.arange(len(other)) + len(run.dictionary) + len(tail.dictionary)
-        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
-        starts = np.cumsum(sizes) - sizes
+        # A slice's ids are few enough for numbers of 32 bits, which are moved twice as fast.
+        sizes = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces)) // 4
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         at = two[coded.indices.to_numpy()].reshape(-1)
         many = sizes[at]
-        before = np.append(0, np.cumsum(many))
-        ids = np.frombuffer(b"".join(pieces), dtype="<u4")[np.repeat(starts[at] - before[:-1], many) + np.arange(before[-1])]
-        data, ends = ids.tobytes(), (4 * before[2 * lists.offsets.to_numpy()]).tolist()
+        before = np.append(0, np.cumsum(many, dtype=np.int64))
+        kind = np.int32 if before[-1] < 1 << 31 else np.int64
+        places = np.repeat((starts[at] - before[:-1]).astype(kind), many) + np.arange(before[-1], dtype=kind)
+        data, ends = np.frombuffer(b"".join(pieces), dtype="<u4").take(places).tobytes(), (4 * before[2 * lists.offsets.to_numpy()]).tolist()
         return [data[i:j] for i, j in pairwise(ends)]
 
 
 @cache
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process."""
+    """One encoder for each worker process; it remembers KNOWN_BYTES of words at most from task to task."""
     return WordEncoder(path)
 
 
@@ -259,8 +269,9 @@ def _encode(path: str, end_id: int, segment_ids: int):
         def image() -> pa.RecordBatch:
             return pa.record_batch({"shard": pa.array([shard], pa.int32()), "seg": pa.array([seg], pa.int64()), "n_ids": pa.array([held], pa.int64()), "image": pa.array([write_segment(doc_ids, ids)], pa.binary())})
 
+        words = encoder(path)
         for b in batches:
-            for d, i in zip(b.column("doc_id").to_pylist(), encoder(path).encode(b.column("text")), strict=True):
+            for d, i in zip(b.column("doc_id").to_pylist(), words.encode(b.column("text")), strict=True):
                 doc_ids.append(d)
                 ids.append(i + end)
                 held += len(ids[-1]) // 4
@@ -276,7 +287,9 @@ def _encode(path: str, end_id: int, segment_ids: int):
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> str:
     """Encode the text of docs in ascending doc_id order and write the ids; returns the folder of the table of images."""
     out = new_path(docs.sparkSession, "token-ids")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # A third of the rows may share a doc_id, or have none: ranges go by the text's hash next, and so does the order.
+    rows = rows.withColumn("of", F.xxhash64("text")).repartitionByRange("doc_id", "of").sortWithinPartitions("doc_id", "of", "text").drop("of")
     rows.mapInArrow(_encode(tokenizer_path, end_id, segment_ids), "shard int, seg long, n_ids long, image binary").write.option("compression", "none").parquet(out)
     return out
 
