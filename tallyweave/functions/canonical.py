@@ -33,3 +33,10 @@ def record(fields: dict[str, Column]) -> Column:
 def items(values: Column) -> Column:
     """A list of values that are JSON already."""
     return F.concat(F.lit("["), F.array_join(values, ","), F.lit("]"))
+
+
+def record_of(values: Column, keys: Column, raw: Column) -> Column:
+    """An object of text and numbers rebuilt with its keys in order. values: its values as text by key; raw tells text from numbers by its quotes."""
+    quoted = lambda k: F.contains(raw, F.concat(F.lit('"'), k, F.lit('":"')))
+    one = lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.when(quoted(k), text(values[k])).otherwise(F.coalesce(values[k], F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(keys), one), ","), F.lit("}"))

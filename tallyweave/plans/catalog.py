@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import access, control, documents, evidence, names, persons, publish, rollups, streams, uploads
+from . import access, companies, control, documents, evidence, manifests, names, persons, publish, rollups, streams, uploads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _part in (access, control, documents, names, persons, publish, rollups, evidence, streams, uploads):
+for _part in (access, companies, control, documents, manifests, names, persons, publish, rollups, evidence, streams, uploads):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
