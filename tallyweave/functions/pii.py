@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,15 +57,39 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return kept
 
 
+def found_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, category, value, start and end of every find in a text column, overlapping ones too; start counts characters from 0."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, c, m[0], m.start(), m.end()) for k, t in zip(b[key], b[text], strict=True) if t for c, p in _FOUND for m in p.finditer(t)]
+            yield pd.DataFrame(rows, columns=[key, "category", "value", "start", "end"])
+
+    return df.select(key, text).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, category string, value string, start long, end long")
+
+
+#: Keys of logged objects whose values are never shown.
+RESTRICTED = ("content", "document_content", "masked_content", "raw_content", "raw_prompt", "raw_response", "password", "secret", "token", "authorization")
+
+
+def scrub_fields(fields: Column) -> Column:
+    """A logged object (a map of text) with every value scrubbed, those of restricted keys as a whole."""
+    return F.transform_values(fields, lambda k, v: F.when(F.lower(k).isin(*RESTRICTED), "[REDACTED]").otherwise(scrub_log(v)))
+
+
 def mask_text(text: str) -> tuple[str, list[tuple[str, str]]]:
     """The text with a token for each find, and the tokens' values. Numbers run from the text's end; equal values share a token."""
     tokens: dict[tuple[str, str], str] = {}
+    n: Counter[str] = Counter()
+    parts, upto = [], len(text)
     for start, end, kind in reversed(find(text)):
-        value = text[start:end]
-        n = sum(k == kind for k, _ in tokens) + 1
-        token = tokens.setdefault((kind, value), f"[{PREFIXES[kind]}_{n}]")
-        text = text[:start] + token + text[end:]
-    return text, [(t, v) for (_, v), t in tokens.items()]
+        key = kind, text[start:end]
+        if key not in tokens:
+            n[kind] += 1
+            tokens[key] = f"[{PREFIXES[kind]}_{n[kind]}]"
+        parts += [text[end:upto], tokens[key]]
+        upto = start
+    return text[:upto] + "".join(reversed(parts)), [(t, v) for (_, v), t in tokens.items()]
 
 
 def mask(df: DataFrame, text: str = "text") -> DataFrame:

@@ -39,10 +39,15 @@ def initial(rows: DataFrame, persons: DataFrame, t: Thresholds = DEFAULT) -> Dat
     return near.groupBy("row_index").agg(F.min_by("id", "ordinal").alias("id"))
 
 
-def similarity(name: Column, other: Column, last: Column, other_last: Column, t: Thresholds = DEFAULT) -> Column:
-    """Weighted likeness of two match names, their last names and their sound."""
-    a, b = F.replace(name, F.lit(" "), F.lit("")), F.replace(other, F.lit(" "), F.lit(""))
-    sound = F.when(F.soundex(a) == F.soundex(b), 1.0).when(metaphone(a) == metaphone(b), 0.5).otherwise(0.0)
+def sounds(name: Column) -> Column:
+    """How a match name sounds, in two ways."""
+    joined = F.replace(name, F.lit(" "), F.lit(""))
+    return F.struct(F.soundex(joined).alias("soundex"), metaphone(joined).alias("metaphone"))
+
+
+def similarity(name: Column, other: Column, last: Column, other_last: Column, own: Column, theirs: Column, t: Thresholds = DEFAULT) -> Column:
+    """Weighted likeness of two match names, their last names and their sounds."""
+    sound = F.when(own["soundex"] == theirs["soundex"], 1.0).when(own["metaphone"] == theirs["metaphone"], 0.5).otherwise(0.0)
     lasts = F.when((last != "") & (other_last != ""), jaro_winkler(last, other_last)).otherwise(0.0)
     return jaro_winkler(name, other) * t.weight_full + lasts * t.weight_last + sound * t.weight_phonetic
 
@@ -62,11 +67,14 @@ def candidates(names: DataFrame, persons: DataFrame, t: Thresholds = DEFAULT) ->
 
     A pair goes only where a bound on its score, with every likeness at its highest, stays below; so none is lost.
     """
-    p = persons.select("id", "ordinal", N.match_name(F.col("canonical_name")).alias("p_norm"), N.last_name(F.col("canonical_name")).alias("p_last")).where("p_norm <> ''")
+    p = persons.select("id", "ordinal", N.match_name(F.col("canonical_name")).alias("p_norm"), N.last_name(F.col("canonical_name")).alias("p_last")).where("p_norm <> ''").withColumn("p_sounds", sounds(F.col("p_norm")))
+    names = names.withColumn("sounds", sounds(F.col("norm")))  # once a name, not once a pair
     same = names.join(p, names["last"] == p["p_last"])
     rest = names.join(p.select(F.col("p_last").alias("last")).distinct(), "last", "left_anti").crossJoin(p)
-    pairs = same.select("norm", "last", "id", "ordinal", "p_norm", "p_last").unionByName(rest.select("norm", "last", "id", "ordinal", "p_norm", "p_last"))
-    sound = F.when(F.soundex(F.replace("norm", F.lit(" "), F.lit(""))) == F.soundex(F.replace("p_norm", F.lit(" "), F.lit(""))), 1.0).otherwise(0.5)
+    both = ["norm", "last", "sounds", "id", "ordinal", "p_norm", "p_last", "p_sounds"]
+    pairs = same.select(*both).unionByName(rest.select(*both))
+    own, theirs = F.col("sounds"), F.col("p_sounds")
+    sound = F.when(own["soundex"] == theirs["soundex"], 1.0).when(own["metaphone"] == theirs["metaphone"], 0.5).otherwise(0.0)
     most = bound(F.col("norm"), F.col("p_norm")) * t.weight_full + bound(F.col("last"), F.col("p_last")) * t.weight_last + sound * t.weight_phonetic
     return pairs.where(most >= t.person_least - 1e-9)
 
@@ -77,7 +85,7 @@ def fuzzy(rows: DataFrame, persons: DataFrame, top: int = 5, t: Thresholds = DEF
     Each different name is scored once.
     """
     names = rows.where("norm <> ''").select("norm", "last").distinct()
-    scored = candidates(names, persons, t).withColumn("score", similarity(F.col("norm"), F.col("p_norm"), F.col("last"), F.col("p_last"), t))
+    scored = candidates(names, persons, t).withColumn("score", similarity(F.col("norm"), F.col("p_norm"), F.col("last"), F.col("p_last"), F.col("sounds"), F.col("p_sounds"), t))
     best = Window.partitionBy("norm", "last").orderBy(F.desc("score"), "ordinal")
     found = scored.where(F.col("score") >= t.person_least).withColumn("k", F.row_number().over(best)).where(F.col("k") <= top)
     return rows.join(found.select("norm", "last", "k", "id", "score"), ["norm", "last"]).select("row_index", "k", "id", "score")

@@ -18,6 +18,17 @@ def looked_up(values: dict, key: Column, default: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[key], default)
 
 
+def priority_of(reason: Column) -> Column:
+    """A case's priority by the reason of its review."""
+    return looked_up(PRIORITY, reason, F.lit("standard"))
+
+
+def opened(resolved: DataFrame, created: Column) -> DataFrame:
+    """A pending case with priority and deadline for each resolution (key, reason, status) that goes to review."""
+    rows = resolved.where("status = 'routed_to_review'").select("key", "reason", priority_of(F.col("reason")).alias("priority"), F.lit("pending").alias("status"), created.alias("created_at"))
+    return rows.withColumn("due", deadline(F.col("priority"), F.col("created_at")))
+
+
 def deadline(priority: Column, created: Column) -> Column:
     return F.timestamp_seconds(F.unix_timestamp(created) + looked_up(HOURS, priority, F.lit(HOURS["standard"])) * 3600)
 

@@ -198,11 +198,10 @@ def audit_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders and order keys of customers that don't exist."""
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    idle = c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"))
-    lost = o.join(c, c["c_custkey"] == o["o_custkey"], "left_anti").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"))
-    return idle.unionByName(lost)
+    """Chains without resolution and resolutions without chain, of customers that have one, the other, or both."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    chains, resolutions = c.where("id % 5 <> 0"), c.where("id % 7 <> 0")
+    return chains.join(resolutions, "id", "left_anti").select(F.lit("chain").alias("kind"), "id").unionByName(resolutions.join(chains, "id", "left_anti").select(F.lit("resolution").alias("kind"), "id"))
 
 
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +271,7 @@ SELECT o_orderkey AS trace_id, 4::BIGINT AS expected, coalesce(n, 0)::BIGINT AS
     "results_filtered": f"WITH {RESULTS} SELECT trace_id, row_index, original, layer FROM results WHERE starts_with(upper(layer), 'L1') AND confidence >= 0.8 AND contains(lower(original), '00012')",
     "audit_timeline": f"""WITH {RESULTS}, a AS (SELECT trace_id, row_index, CASE WHEN layer LIKE 'L4%' THEN 'review' ELSE 'model_call' END AS kind, source_timestamp AS at_ FROM results WHERE layer LIKE 'L4%' OR layer LIKE 'L3%')
 SELECT trace_id, row_index, kind, at_ AS "at", row_number() OVER (PARTITION BY trace_id ORDER BY at_ DESC, row_index, kind)::BIGINT AS k FROM a""",
-    "orphans": "SELECT 'customer' AS kind, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'order', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)",
+    "orphans": "SELECT 'chain' AS kind, c_custkey AS id FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 = 0 UNION ALL SELECT 'resolution', c_custkey FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 = 0",
     "set_difference": "SELECT o_orderkey AS key, 'without_lines' AS kind FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'without_order' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
     "column_profile": """WITH s AS (SELECT 'c_name' AS name, c_name AS v FROM customer UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer)
 SELECT name, count(*)::BIGINT AS n, round(count_if(regexp_full_match(v, '-?[0-9.,]+'))::DOUBLE / count(*), 6) AS numeric_ratio, round(count_if(regexp_matches(v, '[A-Za-z]'))::DOUBLE / count(*), 6) AS alpha_ratio, round(count_if(v IS NULL)::DOUBLE / count(*), 6) AS null_ratio, round(count(DISTINCT v)::DOUBLE / count(*), 6) AS unique_ratio FROM s GROUP BY 1""",

@@ -90,7 +90,7 @@ def pack_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _routed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Tables that are routed in every way."""
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    firm = F.concat("s_name", F.when(F.col("s_suppkey") % 2 == 0, " LLC").otherwise(" trading"))
+    firm = F.concat("s_name", F.when(F.col("s_suppkey") % 2 == 0, " LLC").otherwise(" north"))
     return {
         "supplier": s, "customer": c, "firms": s.select(firm.alias("who"), "s_acctbal"), "vendors": s.select(F.col("s_name").alias("Vendor Name")), "people": c.select(F.col("c_name").alias("First Name"), F.col("c_mktsegment").alias("last_name")),
         "numbers": table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"), "nothing": s.limit(0),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CSV_COLUMNS = {
@@ -37,6 +37,34 @@ def as_report(chains: DataFrame) -> DataFrame:
     return chains.select("key", F.concat_ws("\n", F.concat(F.lit("Evidence for "), F.col("key").cast("string")), F.array_join(line, "\n")).alias("value"))
 
 
+def exported(chains: DataFrame, form: str) -> DataFrame:
+    """Evidence chains as value rows of a form: json, text (for a page) or csv."""
+    forms = {"json": lambda: as_json(chains), "text": lambda: as_report(chains).select("value"), "csv": lambda: node_rows(chains).select(F.concat_ws(",", *(csv_cell(F.col(c).cast("string")) for c in ("key", "node_type", "sequence", "node_hash"))).alias("value"))}
+    if form not in forms:
+        raise ValueError(f"unknown form: {form}")
+    return forms[form]()
+
+
+def csv_cell(c: Column) -> Column:
+    """A cell as CSV has it: quoted where it holds a comma, a quote or a line break."""
+    return F.when(c.rlike('[,"\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+
+
+def escape_html(c: Column) -> Column:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(char), F.lit(entity))
+    return c
+
+
+def strip_html(c: Column) -> Column:
+    return F.regexp_replace(c, "<[^>]*>", "")
+
+
+def append_audit(df: DataFrame, path: str) -> None:
+    """Append audit rows; what is written stays."""
+    df.write.mode("append").parquet(path)
+
+
 def write_once(df: DataFrame, path: str) -> str:
     """Write df unless equal rows are there already; other rows there raise. Returns written or skipped."""
     spark = df.sparkSession

@@ -177,7 +177,7 @@ def test_similar_persons_are_those_of_the_whole_list(spark):
     names = ["cuis windqvist", "dmitri janokwski", "Luis Lindqvist", "LINDQVIST, Luiz", "Ingrid Jnakowski", "jorge", "Dr. Farid Derreira", "8", "Customer#000000007", "Jankowski", "", None, "cuis windqvist", "Xmara Bbernathy"]
     rows = P.keyed(spark.createDataFrame(list(enumerate(names)), "row_index long, original string"))
     people = plans.watchlist(spark).select("id", "ordinal", "canonical_name", N.match_name(F.col("canonical_name")).alias("p_norm"), N.last_name(F.col("canonical_name")).alias("p_last"))
-    pairs = rows.crossJoin(people).withColumn("score", P.similarity(F.col("norm"), F.col("p_norm"), F.col("last"), F.col("p_last"))).collect()
+    pairs = rows.crossJoin(people).withColumn("score", P.similarity(F.col("norm"), F.col("p_norm"), F.col("last"), F.col("p_last"), P.sounds(F.col("norm")), P.sounds(F.col("p_norm")))).collect()
     lasts = {r["p_last"] for r in pairs}
     want = []
     for i in range(len(names)):
