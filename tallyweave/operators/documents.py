@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..functions import canonical as J
+from ..shared import written
 
 
 def condition(tree: dict[str, Any], content: Column, kind: Column) -> Column:
@@ -40,9 +41,7 @@ def normal_text(text: Column) -> Column:
 
 def bigrams(text: Column) -> Column:
     """The set of a text's pairs of neighbouring characters; of a text of one character, that character."""
-    chars = F.split(text, "")
-    pairs = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    many = F.array_distinct(F.slice(pairs, 1, F.greatest(F.length(text) - 1, F.lit(0))))
+    many = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1)))
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) == 1, F.array(text)).otherwise(many)
 
 
@@ -66,16 +65,18 @@ def similar_precedents(docs: DataFrame, precedents: DataFrame, least: float) ->
     share = least / (2.0 - least)
 
     def prefixes(df: DataFrame, *keep: str) -> DataFrame:
-        sets = df.withColumn("set", F.array_sort(F.transform("set", lambda g: F.concat(F.md5(g), g))))
         kept = F.slice("set", F.lit(1), (F.size("set") - F.ceil(F.lit(share) * F.size("set") - 1e-9) + 1).cast("int"))
-        return sets.select(*keep, F.explode(kept).alias("gram"))
+        return df.select(*keep, F.explode(kept).alias("gram"))
 
-    a = docs.select("key", bigrams(normal_text(F.col("text"))).alias("set")).where("size(set) > 0")
-    b = precedents.select("precedent", "ordinal", bigrams(normal_text(F.col("content"))).alias("set")).where("size(set) > 0")
-    a, b = a.withColumn("n", F.size("set")), b.withColumn("m", F.size("set"))
+    # Bigrams as 64-bit hashes in order: there are too few kinds of them to collide, and numbers sort and meet much faster.
+    hashed = lambda text: F.array_sort(F.transform(bigrams(normal_text(F.col(text))), lambda g: F.xxhash64(g)))
+    a = docs.select("key", hashed("text").alias("set")).where("size(set) > 0")
+    b = precedents.select("precedent", "ordinal", hashed("content").alias("set")).where("size(set) > 0")
+    a, b = written(a.withColumn("n", F.size("set")), "bigrams"), written(b.withColumn("m", F.size("set")), "bigrams")  # each is read twice
     close = (F.col("n") >= share * F.col("m") - 1e-9) & (F.col("m") >= share * F.col("n") - 1e-9)
-    pairs = prefixes(a, "key", "n").join(prefixes(b, "precedent", "ordinal", "m"), "gram").where(close).select("key", "precedent", "ordinal").distinct()
-    scored = pairs.join(a, "key").join(b.select("ordinal", F.col("set").alias("other")), "ordinal").select("key", "precedent", "ordinal", dice(F.col("set"), F.col("other")).alias("similarity"))
+    met = prefixes(a, "key", "n").join(prefixes(b, "precedent", "ordinal", "m"), "gram").where(close).select("key", "ordinal").distinct()
+    pairs = met.join(a, "key").join(b.select("precedent", "ordinal", F.col("set").alias("other")), "ordinal")
+    scored = pairs.select("key", "precedent", "ordinal", dice(F.col("set"), F.col("other")).alias("similarity"))
     best = Window.partitionBy("key").orderBy(F.desc("similarity"), "ordinal")
     return scored.where(F.col("similarity") >= least).withColumn("__k", F.row_number().over(best)).where("__k = 1").select("key", "precedent", "similarity")
 
