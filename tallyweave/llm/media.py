@@ -4,13 +4,15 @@ A payload is padded to rows of 64 bytes and stored as an 8-bit grey PNG of width
 archives, stored without a second compression; the member's name holds doc_id and the payload's own length. Writing
 tasks close an archive at ARCHIVE_BYTES or ARCHIVE_MEMBERS; a finished write adds a manifest that lists the archives of
 the tasks that succeeded with the offset of a member about every SPLIT_BYTES, so that archives of failed attempts are
-never read. The reader plans byte ranges from the manifests, walks the members of its range, gives them on as Arrow
-batches, and reads a member that fails again from its own offset.
+never read; archives without any manifest raise. The reader plans byte ranges from the manifests, PARTITIONS of them at
+most for large directories, walks the members of its ranges, gives them on as Arrow batches, and reads a member that fails
+again from its own offset.
 
 Paths are opened by their file-system scheme (pyarrow.fs), so archives may lie in any store that it knows.
 
 Defined cases: null and empty texts are 64 zero bytes; null doc_ids come back null; repeated rows are members of their
-own; equal payloads give equal images; an empty directory gives no rows.
+own; equal payloads give equal images; an empty directory gives no rows; a very long text is a tall image, held whole by
+one task; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .common import new_path, table
 
 WIDTH = 64
-ARCHIVE_BYTES, ARCHIVE_MEMBERS, SPLIT_BYTES = 256 << 20, 60_000, 8 << 20
+ARCHIVE_BYTES, ARCHIVE_MEMBERS, SPLIT_BYTES, PARTITIONS = 256 << 20, 60_000, 16 << 20, 20_000
 RETRIES, WINDOW = 4, 1 << 20
 BATCH_BYTES = 8 << 20
 SCHEMA = "doc_id long, n_bytes long, media binary"
@@ -156,9 +158,26 @@ class ArchiveWriter(DataSourceArrowWriter):
 
 @dataclass
 class ByteRange(InputPartition):
-    name: str
-    start: int
-    end: int
+    """Stretches of archives: name, start and end of each."""
+
+    stretches: list[tuple[str, int, int]]
+
+
+def planned(archives: list[tuple[str, int, list[int]]], most: int = PARTITIONS) -> list[ByteRange]:
+    """Byte ranges of archives (name, size, offsets of members): a split each, or as many splits together as keep their number down."""
+    target = max(SPLIT_BYTES, -(-sum(size for _, size, _ in archives) // most))
+    out, held, n = [], [], 0
+    for name, size, splits in archives:
+        for start, end in zip(splits, [*splits[1:], size], strict=True):
+            if held and held[-1][0] == name and held[-1][2] == start:
+                held[-1] = (name, held[-1][1], end)
+            else:
+                held.append((name, start, end))
+            n += end - start
+            if n >= target:
+                out.append(ByteRange(held))
+                held, n = [], 0
+    return [*out, ByteRange(held)] if held or not out else out
 
 
 class MemberReader:
@@ -211,25 +230,34 @@ class ArchiveReader(DataSourceReader):
         from pyarrow.fs import FileSelector
 
         fs, base = _filesystem(self.path)
-        out = []
-        for info in sorted(fs.get_file_info(FileSelector(base, allow_not_found=True)), key=lambda i: i.base_name):
-            if info.base_name.startswith("manifest-"):
-                with fs.open_input_stream(info.path) as f:
-                    for name, size, splits in json.loads(f.read()):
-                        out += [ByteRange(name, a, b) for a, b in zip(splits, [*splits[1:], size], strict=True)]
-        return out or [ByteRange("", 0, 0)]
+        files = sorted(fs.get_file_info(FileSelector(base, allow_not_found=True)), key=lambda i: i.base_name)
+        manifests, archives = [i for i in files if i.base_name.startswith("manifest-")], []
+        if not manifests and any(i.base_name.endswith(".zip") for i in files):
+            raise FileNotFoundError(f"{self.path} holds archives but no manifest: its write did not finish")
+        for info in manifests:
+            with fs.open_input_stream(info.path) as f:
+                archives += json.loads(f.read())
+        return planned(archives)
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         fs, base = _filesystem(self.path)
-        reader, at, rows, held = MemberReader(fs, f"{base}/{partition.name}"), partition.start, [], 0
-        while at < partition.end:
-            name, data, at = reader.member(at)
-            doc_id, n_bytes, _ = name.decode().split(".")
-            rows.append((None if doc_id == "null" else int(doc_id), int(n_bytes), data))
-            held += len(data)
-            if held >= BATCH_BYTES or at >= partition.end:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
-                rows, held = [], 0
+        rows, held = [], 0
+        for name, at, end in partition.stretches:
+            reader = MemberReader(fs, f"{base}/{name}")
+            while at < end:
+                member, data, at = reader.member(at)
+                doc_id, n_bytes, _ = member.decode().split(".")
+                rows.append((None if doc_id == "null" else int(doc_id), int(n_bytes), data))
+                held += len(data)
+                if held >= BATCH_BYTES:
+                    yield self._batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
 class ArchiveDataSource(DataSource):
