@@ -3,14 +3,15 @@
 List entries (pattern, action, since) say from when on a host pattern is blocked or allowed. Each entry is valid until
 the pattern's next one; of entries of the same time `block` holds. A capture is judged by the entries that are valid
 at its fetch time for its host and the host's parent domains; the longest pattern decides. The as-of join is an equi-join
-on pattern and month: validity intervals are split by the months that they cover, so neither side gathers a pattern's
-whole history. Decisions are made once for each host and fetch time.
+on pattern and year: validity intervals are split by the years that they cover, so neither side gathers a pattern's
+whole history; intervals are a table, so that Spark can split the captures of a frequent domain. Hosts ask for no shorter
+pattern than the list has. Decisions are made once for each host and fetch time.
 
 Only DataFrame functions are used.
 
 Defined cases: a null url, or one without a host, has no host and is not blocked; a null fetch time is before all
 entries; entries without pattern, action or time are ignored; repeated captures each have a row; an empty list
-blocks nothing; other columns are ignored.
+blocks nothing; a very long url is read as any other; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
-#: Parts that captures of the same domain and month are dealt into, as top-level domains are those of many hosts.
-SALTS = 16
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
@@ -36,23 +35,20 @@ def validity(entries: DataFrame) -> DataFrame:
     return known.withColumn("until", nxt).where("until IS NULL OR until > since")
 
 
-def _month(t: Column) -> Column:
-    return (F.year(t) * 12 + F.month(t)).cast("int")
-
-
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """All rows of captures (page_id, url, fetched) with host, pattern, action, since, until of the entry that decides, and blocked."""
     rows = captures.select("page_id", "url", "fetched", host_of(F.col("url")).alias("host"))
     last = rows.agg(F.max("fetched").alias("last")).scalar()
     spans = validity(entries).withColumn("last", last).where("since <= last")
-    to = F.least(_month(F.coalesce("until", "last")), _month(F.col("last")))
-    spans = spans.withColumn("month", F.explode(F.sequence(_month(F.col("since")), to))).drop("last")
-    spans = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    to = F.year(F.least(F.coalesce("until", "last"), "last"))
+    spans = stored(spans.withColumn("year", F.explode(F.sequence(F.year("since"), to))).drop("last"), "list-intervals", compact=True)
+    labels = lambda c: F.size(F.split(c, r"\."))
+    least = F.coalesce(spans.agg(F.min(labels(F.col("pattern"))).alias("least")).scalar(), F.lit(1))
     times = rows.where("host IS NOT NULL AND fetched IS NOT NULL").select("host", "fetched").distinct()
-    parts = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    asked = times.withColumn("pattern", F.explode(parents)).withColumn("month", _month(F.col("fetched"))).withColumn("salt", F.pmod(F.xxhash64("host", "fetched"), F.lit(SALTS)).cast("int"))
-    met = asked.join(spans, ["pattern", "month", "salt"]).where("since <= fetched AND (until IS NULL OR fetched < until)")
+    times = times.withColumn("parts", F.split("host", r"\.")).withColumn("most", F.size("parts") - least + 1).where("most > 0")
+    parents = F.transform(F.sequence(F.lit(1), F.col("most")), lambda i: F.array_join(F.slice("parts", i, F.size("parts")), "."))
+    asked = times.select("host", "fetched", F.explode(parents).alias("pattern"), F.year("fetched").alias("year"))
+    met = asked.join(spans, ["pattern", "year"]).where("since <= fetched AND (until IS NULL OR fetched < until)")
     entry = F.max_by(F.struct("pattern", "action", "since", "until"), F.length("pattern")).alias("e")
     found = met.groupBy("host", "fetched").agg(entry)
     out = rows.join(found, ["host", "fetched"], "left")
