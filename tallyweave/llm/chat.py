@@ -3,11 +3,13 @@
 The two conversations of a pair are compared turn by turn; their longest common prefix is rendered once as the prompt,
 and what follows it in each as its completion. A mask lists the characters of a completion that count for training:
 the texts of assistant turns. Long conversations come in chunks of CHUNK turns, so that no row and no task gathers a
-conversation without bound; turns are numbered over ranges of turn numbers first and inside each range then.
+conversation without bound; turns are numbered over ranges of turn numbers first and inside each range then, and written
+once for the steps that read them.
 
 Defined cases: a null text is empty and a null role is `user`; turns of equal number are ordered by role and text, and
 repeated rows are turns of their own; a side that is missing has an empty completion; a pair whose sides are equal has
-two empty completions; null pair_ids are one pair; an empty table gives an empty result; other columns are ignored.
+two empty completions; null pair_ids are one pair; a very long text is a row of its own size, a very long conversation
+many chunks; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 CHUNK, RANGE = 256, 4096
 #: Stands for a null pair_id while rows are joined.
@@ -41,7 +43,7 @@ def _joined(part: str, what: str) -> Column:
 def preferences(turns: DataFrame) -> DataFrame:
     """From pair_id, side (chosen or rejected), turn, role, text: for each pair and chunk the prompt and both completions with their masks (start-end in characters of the row's completion)."""
     rows = turns.select(F.coalesce(F.col("pair_id").cast("long"), F.lit(NONE)).alias("pair_id"), "side", F.col("turn").cast("long"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = numbered(rows, ["pair_id", "side"])
+    rows = stored(numbered(stored(rows, "turns"), ["pair_id", "side"]), "numbered-turns")  # each is read more than once
     chosen, rejected = (rows.where(F.col("side") == s) for s in ("chosen", "rejected"))
     other = rejected.select("pair_id", "pos", F.col("role").alias("role2"), F.col("text").alias("text2"))
     same = (F.col("role") == F.col("role2")) & (F.col("text") == F.col("text2"))
