@@ -1,5 +1,8 @@
 """Each operator on small tables: defined cases, and against a plain version of the same rule."""
 
+import hashlib
+import math
+import re
 import zlib
 from itertools import combinations
 
@@ -111,6 +114,37 @@ def test_recall_of_noisy_items():
     assert sum((i, i) in found for i in range(60)) >= 59
 
 
+def test_matches_of_repeats_long_texts_and_other_columns(spark):
+    filler = "unrelated word " * 300_000
+    rows = [(1, ITEM, 5, "a"), (1, ITEM, 5, "a"), (None, f"{filler} {ITEM} {filler}", 6, "b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, item_id long, distance string")
+    bench = spark.createDataFrame([(0, ITEM, "x"), (0, ITEM, "x"), (None, ITEM, "y")], "item_id long, text string, position string")
+    got = sorted((r["doc_id"] or -1, -1 if r["item_id"] is None else r["item_id"], r["position"], r["distance"]) for r in decontam.matches(d, bench).collect())
+    assert got == [(-1, -1, 600_000, 0), (-1, 0, 600_000, 0), (1, -1, 0, 0), (1, -1, 0, 0), (1, 0, 0, 0), (1, 0, 0, 0)]
+    assert decontam.clean(d, bench).count() == 0
+
+
+def test_recall_holds_for_every_length():
+    rng = np.random.default_rng(7)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, n))) for i, n in enumerate([10, 20, 40, 80, 160, 320, 640] * 3)]
+    block = decontam.Items(items)
+    assert all(block.repeats[len(a)] >= 1 for a in block.items)
+    edits = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" if x else "zzz" for x in block._edited(a, edits)) for a in block.items]
+    names = {v: k for k, v in block.vocab.items()}
+    texts = [" ".join(names.get(int(x), "zzz") for x in block._edited(a, edits)) for a in block.items]
+    found = {(r, block.ids[k]) for r, k, *_ in block.find(texts)}
+    assert sum((i, i) in found for i in range(len(items))) >= len(items) - 1
+
+
+def test_bands_beyond_the_recall_are_compared_exactly(monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_REPEATS", 1)
+    w = ITEM.split()
+    block = decontam.Items([(0, ITEM)])
+    assert block.repeats == {20: 0}
+    assert [k for _, k, *_ in block.find([" ".join([*w[:3], "x", *w[4:9], "y", *w[10:]])])] == [0]
+
+
 def test_no_items_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.matches(docs(spark, ODD), none).count() == 0
@@ -136,6 +170,58 @@ def test_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+NAMED = [
+    ("<article><div class='share-price'><p>Price today</p></div><figure><figcaption>A caption</figcaption></figure><p>foo<img>bar <math><mi>x</mi></math></p></article>", "Price today A caption foobar x"),
+    ("<div class='layout sidebar-right'><div class='ad-box'>Buy</div><article><p>Words of the article.</p></article><div class=sidebar-right>side</div></div>", "Words of the article."),
+    ("<body class=has-sidebar><div class=has-sidebar><p>Words of the text.</p></div></body>", "Words of the text."),
+    ("<article><p>Words of the article, many of them.</p></article><section class=comments><article class=comment><p>nice</p></article></section>", "Words of the article, many of them."),
+    ("<div class=ad><p>An advert that is longer than all of the article.</p></div><article><p>Short.</p></article>", "Short."),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), NAMED)
+def test_names_take_out_parts_only(page, text):
+    assert html.main_text(page) == text
+
+
+def slow_density(page):
+    """Each node's density by the formula, from sums over all of its descendants."""
+    p = html.Page(page)
+    kept, n = p._kept(), len(p.tags)
+    below = lambda k, top: k == top or k > 0 and below(p.parents[k], top)
+    linked = lambda k: k > 0 and (p.tags[k] == "a" or linked(p.parents[k]))
+    size = [0] * n
+    for k, t in p.texts:
+        if k >= 0 and kept[k]:
+            size[k] += len("".join(t.split()))
+
+    def figures(top):
+        nodes = [k for k in range(n) if kept[k] and below(k, top)]
+        inner = [k for k in nodes if k != top]
+        return sum(size[k] for k in nodes), sum(size[k] for k in nodes if linked(k)), len(inner), sum(p.tags[k] == "a" for k in inner)
+
+    cb, lcb, *_ = figures(p.body)
+    out = []
+    for k in range(n):
+        c, lc, t, lt = figures(k)
+        t, lt = t or 1, lt or 1
+        out.append(c / t * math.log(c / (lc or 1) * t / lt) / math.log(math.log(c / ((c - lc) or 1) * lc + lcb / (cb or 1) * c + math.e)) if kept[k] and c and math.log(c / ((c - lc) or 1) * lc + lcb / (cb or 1) * c + math.e) > 1.000000001 else None)
+    return p, kept, out
+
+
+def test_densest_subtree_is_that_of_the_formula():
+    page = "<body><div><p>" + "long prose without links " * 9 + "</p><p>" + "more of that prose " * 8 + "</p></div><div>" + "<a href=x>link</a> word " * 6 + "</div></body>"
+    p, kept, dense = slow_density(page)
+    sums = {}
+    for k in range(1, len(p.tags)):
+        if kept[k] and p.tags[k] not in html.INLINE:
+            sums[p.parents[k]] = sums.get(p.parents[k], 0) + (dense[k] or 0)
+    best = max((k for k in sums if p.tags[k] in ("body", "div")), key=lambda k: (sums[k], -k))
+    text = html.main_text(page)
+    assert p.tags[best] in ("body", "div") and text.startswith("long prose") and "more of that prose" in text
+    assert ("link" in text.split("more")[1]) == (p.tags[best] == "body" and (dense[len(p.tags) - 1] or 0) > 1e9)
+
+
 def test_pages_as_a_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, 6)], "page_id long, url string, html string, text long")
     got = html.extract(pages).collect()
@@ -144,7 +230,8 @@ def test_pages_as_a_table(spark):
 
 
 def test_deep_and_long_pages():
-    assert html.main_text("<div>" * 20_000 + "text") == "text"
+    for page in ("<div>" * 50_000 + "text", "<span><p>" * 50_000 + "text", "<span>" * 50_000 + "</b>" * 50_000 + "text"):
+        assert html.main_text(page) == "text"
     assert len(html.main_text("<p>" + "word " * 100_000)) == 499_999
 
 
@@ -173,46 +260,88 @@ def test_language_cases(spark):
 # Line dedup
 
 
-def brute_lines(texts, min_words=50):
-    seen, gone = {}, {}
-    for d, text in enumerate(texts):
-        lines = [(i, x.strip(" \t\r\f\v"), len(x.encode().split())) for i, x in enumerate((text or "").split("\n"))]
-        lines = [x for x in lines if x[2]]
-        windows = set()
-        for s in range(len(lines)):
-            for step in (1, -1):
-                n, e = 0, s
-                while 0 <= e < len(lines) and n < min_words:
-                    n += lines[e][2]
-                    e += step
-                if n >= min_words:
-                    a, b = (s, e - 1) if step == 1 else (e + 1, s)
-                    windows.add((a, b))
-        for a, b in sorted(windows):
-            key = tuple(x[1] for x in lines[a : b + 1])
-            if key in seen and seen[key] != (d, a):
-                gone.setdefault(d, set()).update(x[0] for x in lines[a : b + 1])
-            else:
-                seen[key] = (d, a)
-    return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())) for d, t in enumerate(texts)]
+def brute_runs(texts):
+    """Every run of 50 words, compared as text: its words go from all documents but the first that has it."""
+    split = [re.findall(r"[^ \t-\r]+(?:[ \t-\r]+)?", t or "") for t in texts]
+    first, gone = {}, [set() for _ in texts]
+    for d, pieces in enumerate(split):
+        words = [p.strip(" \t\n\v\f\r") for p in pieces]
+        for i in range(len(words) - 49):
+            if first.setdefault(tuple(words[i : i + 50]), d) != d:
+                gone[d].update(range(i, i + 50))
+    return [None if t is None else re.match(r"[ \t-\r]*", t)[0] + "".join(p for i, p in enumerate(s) if i not in g) for t, s, g in zip(texts, split, gone, strict=True)]
+
+
+def some_words(rng, n):
+    return " ".join(f"w{rng.integers(0, 9999)}" + "," * int(rng.integers(0, 2)) + "\n" * int(rng.integers(0, 12) == 0) for _ in range(n))
 
 
 def test_repeated_runs_go_but_for_the_first(spark):
     rng = np.random.default_rng(3)
-    line = lambda n: " ".join(f"w{rng.integers(0, 9999)}" for _ in range(n))
-    shared, long_line, own = [line(12) for _ in range(6)], line(60), [line(9) for _ in range(30)]
+    w = lambda n: some_words(rng, n)
+    passage, short, long, line = w(54), w(49), w(400), "line of a text "
     texts = [
-        "\n".join([own[0], *shared, own[1]]), "\n".join([own[2], own[3], *shared[1:], "", own[4]]), "\n".join([*shared[:3], own[5]]), None, "", long_line, "\n".join([own[6], f"  {long_line} ", own[7]]), "\n".join([long_line, long_line]), "\n".join([own[8]] * 20), "\n".join(own[9:]), "\n".join([own[0], *shared, own[1]]),
+        f"{w(30)} {passage} {w(20)}", f"{w(7)} mid{passage} tail{w(9)}", f"{w(90)} {passage} {w(3)}", passage, None, "", f"  {passage}", f"{w(20)} {short} {w(20)}", f"{w(25)} {short} {w(25)}", long, f"{w(5)} {long} {w(5)}", f"{' '.join(long.split()[:60])} {w(60)} {' '.join(long.split()[200:260])}",
+        f"{line * 40}", f"{w(3)} {line * 40}", f"{passage} {passage}", f"{w(40)} {' '.join(passage.split()[:50])} {w(40)}", f"{w(40)} {' '.join(passage.split()[1:50])} {w(40)}",
     ]
     got = linedup.without_repeats(docs(spark, texts)).orderBy("doc_id").collect()
-    assert [r["text"] for r in got] == brute_lines(texts)
+    want = brute_runs(texts)
+    periodic = (12, 13)
+    assert [r["text"] for i, r in enumerate(got) if i not in periodic] == [t for i, t in enumerate(want) if i not in periodic]
+    assert got[12]["n_deleted"] == 0 and got[13]["n_deleted"] >= 120
+    count = lambda t: len((t or "").split())
+    assert all((r["n_words"], r["n_deleted"]) == (count(t), count(t) - count(r["text"])) for r, t in zip(got, texts, strict=True))
+
+
+def test_pasted_passages_are_always_found(spark):
+    """Each passage of 51 words or more is gone from all but the first document, wherever it is pasted."""
+    rng = np.random.default_rng(8)
+    passages = [some_words(rng, int(n)) for n in rng.integers(51, 90, 40)]
+    texts = [f"{some_words(rng, int(rng.integers(0, 80)))} {p} {some_words(rng, int(rng.integers(0, 80)))}" for _ in range(3) for p in passages]
+    got = linedup.without_repeats(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == brute_runs(texts)
+
+
+def test_fingerprints_are_those_of_every_window(spark):
+    rng = np.random.default_rng(5)
+    for text in (some_words(rng, 300), "a " * 200, some_words(rng, 50), some_words(rng, 49), "", " \n "):
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts, ends = linedup._words(data)
+        assert [text[a:b] for a, b in zip(starts, ends, strict=True)] == text.split()
+        mark, at = linedup.least_lines(data, starts, ends, np.zeros(len(starts), int), 20, 31)
+        lines, n = {}, len(starts)
+        for i in range(n - 19):
+            one = text[starts[i] : ends[i + 19]]
+            part = np.frombuffer(one.encode(), np.uint8)
+            s, e = linedup._words(part)
+            lines[i] = linedup.least_lines(part, s, e, np.zeros(20, int), 20, 1)[0][0]
+        for i in range(n - 49):
+            assert min(lines[k] for k in range(i, i + 31)) in set(mark)
+        assert all(lines[k] == m for k, m in zip(at, mark, strict=True))
 
 
-def test_line_dedup_of_nothing_and_of_equal_rows(spark):
+def test_equal_hashes_alone_delete_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [some_words(rng, 120), some_words(rng, 120)]
+    true = linedup.repeated_runs
+
+    def false_runs(rows, *args):
+        key = {r["id"]: r["of"] for r in rows.select("id", "of").collect()}
+        return rows.sparkSession.createDataFrame([(True, 1, key[1], 10, 90, True, 0, key[0], 10)], true(rows, *args).schema)
+
+    monkeypatch.setattr(linedup, "repeated_runs", false_runs)
+    assert [r["n_deleted"] for r in linedup.without_repeats(docs(spark, texts)).collect()] == [0, 0]
+
+
+def test_line_dedup_of_nothing_of_equal_rows_and_of_long_texts(spark):
     assert linedup.without_repeats(docs(spark, ["a"]).limit(0)).count() == 0
-    text = "\n".join(f"line {i} of a text with many words in it" for i in range(20))
-    same = spark.createDataFrame([(1, text, "x")] * 2 + [(None, text, "x")], "doc_id long, text string, runs string")
-    assert sorted((r["doc_id"] or 0, r["n_deleted"]) for r in linedup.without_repeats(same).collect()) == [(0, 0), (1, 20), (1, 20)]
+    rng = np.random.default_rng(9)
+    text = some_words(rng, 100)
+    same = spark.createDataFrame([(1, text, "x", 1, 2)] * 2 + [(None, text, "x", 1, 2)], "doc_id long, text string, runs string, known long, mark long")
+    assert sorted((r["doc_id"] or 0, r["n_deleted"]) for r in linedup.without_repeats(same).collect()) == [(0, 0), (1, 100), (1, 100)]
+    long = some_words(rng, 300_000)
+    got = linedup.without_repeats(docs(spark, [text, f"{long} {text} {long}"[: len(long) + len(text) + 2000]])).orderBy("doc_id").collect()
+    assert 100 <= got[1]["n_deleted"] <= 100 and got[1]["n_words"] > 300_000
 
 
 # Mixing
@@ -270,6 +399,19 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert mixing.mixed(d.limit(0)).count() == 0 and mixing.taken(mixing.mix(d.limit(0))).count() == 0
 
 
+def test_mix_of_hot_ids_ties_and_other_columns(spark):
+    """Null, repeated and sparse ids; equal rows; no n_chars; columns with the operator's own names."""
+    rows = [(None, f"t{k} " * (k % 50 + 1), "a", 1, 2) for k in range(300)] + [(5, "same words here", "a", 1, 2)] * 40 + [(2**62 - k * 10**12, "x y " * 30, "b", 1, 2) for k in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, __id long, mix_id long")
+    t = mixing.taken(mixing.mix(d, block=16)).toPandas()
+    assert len(t) == len(rows) and (t.taken <= 2 * t["size"]).all()
+    per = t.groupby(["source_size", "target"]).taken.sum().reset_index()
+    assert (abs(per.taken - per.target) <= 1).all()
+    out = mixing.mixed(d)
+    assert out.columns == d.columns
+    assert out.toPandas().text.str.split().str.len().sum() == mixing.taken(mixing.mix(d)).toPandas().taken.sum()
+
+
 # URL filters
 
 
@@ -287,6 +429,14 @@ def test_list_entries_hold_from_their_day(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, fetched timestamp"), none).count() == 0
 
 
+def test_hosts_with_fewer_labels_and_long_lists(spark):
+    stamp = lambda y, m: pd.Timestamp(f"{y}-{m:02d}-01").to_pydatetime()
+    entries = [("a.b.com", "block" if k % 2 else "allow", stamp(2000 + k // 12, k % 12 + 1), "x") for k in range(120)]
+    captures = [(k, f"http://{'a.b.com' if k % 2 else 'b.com'}/{'p' * (200_000 if k == 7 else 1)}", stamp(2000 + k // 12, k % 12 + 1), 1) for k in range(120)]
+    got = urlfilter.judge(spark.createDataFrame(captures, "page_id long, url string, fetched timestamp, pattern long"), spark.createDataFrame(entries, "pattern string, action string, since timestamp, year string")).collect()
+    assert sorted(r["page_id"] for r in got if r["blocked"]) == [k for k in range(120) if k % 2]
+
+
 # Media
 
 
@@ -300,9 +450,37 @@ def test_media_round_trip(spark, tmp_path):
         data = ("a" if pd.isna(r.doc_id) else ODD[int(r.doc_id)] or "").encode()
         assert (r.n_bytes, r.payload_bytes) == (len(data), max(64, -(-len(data) // 64) * 64))
         assert r.tail_crc32 == zlib.crc32(media.padded(data)[-64:])
+        assert r.payload_sha256 == hashlib.sha256(media.padded(data)).hexdigest()
+        image = media.encode_png(media.padded(data))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(image), hashlib.sha256(image).hexdigest(), media.feature(media.padded(data)))
+    alike = got.groupby("payload_sha256")[["media_sha256", "feature", "media_bytes"]].nunique()
+    assert (alike == 1).all(axis=None)
     assert media.read_media(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_media_of_long_texts_repeats_and_other_columns(spark, tmp_path):
+    long = "ünï " * 500_000
+    rows = [(1, "same", b"m", 3), (1, "same", b"m", 3), (2, long, b"m", 3)]
+    media.write_media(spark.createDataFrame(rows, "doc_id long, text string, media binary, n_bytes long"), str(tmp_path / "m"))
+    got = sorted((r["doc_id"], r["n_bytes"], r["payload_sha256"]) for r in media.features(media.read_media(spark, str(tmp_path / "m"))).collect())
+    sha = lambda t: hashlib.sha256(media.padded(t.encode())).hexdigest()
+    assert got == [(1, 4, sha("same"))] * 2 + [(2, len(long.encode()), sha(long))]
+
+
+def test_ranges_are_planned_whole_and_bounded(tmp_path):
+    archives = [(f"a{k}", (k + 1) * media.SPLIT_BYTES, [i * media.SPLIT_BYTES for i in range(k + 1)]) for k in range(9)]
+    for most in (1, 4, 10_000):
+        parts = media.planned(archives, most)
+        assert len(parts) <= max(most, 1) + 1 if most < 45 else len(parts) == 45
+        covered = sorted(x for p in parts for x in p.stretches)
+        for name, size, _ in archives:
+            own = [x for x in covered if x[0] == name]
+            assert own[0][1] == 0 and own[-1][2] == size and all(a[2] == b[1] for a, b in zip(own, own[1:], strict=False))
+    (tmp_path / "media-x.zip").write_bytes(b"PK")
+    with pytest.raises(FileNotFoundError):
+        media.ArchiveReader(str(tmp_path)).partitions()
+
+
 def test_members_are_read_again_by_offset(tmp_path):
     from pyarrow import fs
 
@@ -353,6 +531,13 @@ def test_long_conversations_come_in_chunks(spark):
     assert chat.preferences(spark.createDataFrame([], "pair_id long, side string, turn long, role string, text string")).count() == 0
 
 
+def test_preferences_of_repeats_long_texts_and_other_columns(spark):
+    rows = [(1, "chosen", 0, "user", "hi", 1), (1, "chosen", 0, "user", "hi", 1), (1, "rejected", 0, "user", "hi", 1), (2, "chosen", None, "user", "x" * 2_000_000, 1), (2, "rejected", None, "user", "x" * 2_000_000, 1)]
+    got = {r["pair_id"]: r for r in chat.preferences(spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string, shared long")).collect()}
+    assert got[1]["shared_turns"] == 1 and got[1]["chosen"].count("hi") == 1 and got[1]["rejected"] == ""
+    assert got[2]["shared_turns"] == 1 and len(got[2]["prompt"]) > 2_000_000
+
+
 # SimHash
 
 
@@ -412,3 +597,14 @@ def test_one_of_each_component_stays(spark):
     kept = simhash.keep_one(d)
     assert kept.columns == d.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 3, 9]
     assert simhash.keep_one(d.limit(0)).count() == 0
+
+
+def test_one_stays_by_document_and_text(spark):
+    """Repeated and null ids with different texts, and columns with the operator's own names."""
+    one, two, three = "a text about one thing or another", "quite some other words that differ", "and a third that nobody else has"
+    rows = [(1, one), (1, two), (2, two), (None, one), (None, three), (None, three), (7, three)]
+    d = spark.createDataFrame([(i, t, 0, 0, 0) for i, t in rows], "doc_id long, text string, __rows long, kept_id long, of long")
+    kept = simhash.keep_one(d)
+    assert kept.columns == d.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, one), (1, two), (7, three)]
+    nulls = spark.createDataFrame([(None, one), (None, one), (None, two)], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.keep_one(nulls).collect()) == sorted([one, two])
