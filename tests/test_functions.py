@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tallyweave.functions import canonical as J
 from tallyweave.functions import names as N
 from tallyweave.functions import pii
 from tallyweave.functions.similarity import jaro_winkler_of, metaphone_of
@@ -110,7 +111,9 @@ def test_numbers_in_canonical_json(spark):
     values = [0.0, 1.0, 0.5, 0.123456789, 0.00001, 0.000012, 0.0001, -0.25, 100.0]
     assert of(spark, values, E.json_number, "double") == ["0", "1", "0.5", "0.123457", "1e-05", "1.2e-05", "0.0001", "-0.25", "100"]
     texts = ['a"b', "é\n", None]
-    assert of(spark, texts, E.json_text) == [json.dumps(t, ensure_ascii=False) for t in texts]
+    assert of(spark, texts, J.text) == [json.dumps(t, ensure_ascii=False) for t in texts]
+    texts += ["plain", "日本 😀 \\ /", ""]
+    assert of(spark, texts, J.ascii_text) == [json.dumps(t) for t in texts]
 
 
 def test_hmac(spark):
@@ -129,7 +132,7 @@ def test_merkle(spark, n):
     rows = spark.createDataFrame([(i, h.hex()) for i, h in enumerate(leaves)], "idx long, hash string")
     root = slow_root(leaves)
     assert E.merkle_root(rows, leaf_bits=2, rounds=3).collect()[0]["root"] == root
-    proofs = E.inclusion_proofs(rows, max(1, n - 1).bit_length()).select(E.proven_root(F.col("hash"), F.col("proof")).alias("r")).collect()
+    proofs = E.inclusion_proofs(rows, leaf_bits=2, rounds=3).select(E.proven_root(F.col("hash"), F.col("proof")).alias("r")).collect()
     assert {p["r"] for p in proofs} == {root} and len(proofs) == n
 
 
@@ -143,9 +146,34 @@ def test_chains_do_not_depend_on_partitions(spark):
         assert {r["k"]: r["h"] for r in out} == want
 
 
+def test_places_in_hot_and_small_keys(spark):
+    rows = spark.range(2000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id % 5 = 1 END AS k", "id % 7 AS a", "id AS b", "'x' AS __range_")
+    out = O.placed(rows, "k", ["a", "b"], "pos").collect()
+    for key in (None, True, False):
+        own = sorted((r for r in out if r["k"] is key), key=lambda r: (r["a"], r["b"]))
+        assert [r["pos"] for r in own] == list(range(1, len(own) + 1))
+
+
+def test_times_of_other_zones_are_refused(spark):
+    assert of(spark, ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05.1234567+00:00"], E.rfc3339) == ["2024-01-02T03:04:05.000000Z", "2024-01-02T03:04:05.123456Z"]
+    for bad in ("2024-01-02T03:04:05+02:00", "2024-01-02 03:04:05", "soon"):
+        with pytest.raises(Exception, match="not a UTC time"):
+            of(spark, [bad], E.rfc3339)
+
+
+def test_closed_chains_and_held_batches_are_left_alone(spark):
+    from tallyweave.operators import control as C
+
+    held = spark.createDataFrame([("a", 9999, True)], "t string, age int, held boolean")
+    with pytest.raises(Exception, match="held batch"):
+        C.purged(held, "age", "held", 2555).collect()
+    with pytest.raises(Exception, match="needs a tenant"):
+        of(spark, ["unknown"], lambda t: C.cache_key(t, F.lit("n"), F.lit("h")))
+
+
 def test_limiters(spark):
     rows = spark.createDataFrame([("t", i, float(s)) for i, s in enumerate([0, 1, 2, 3, 11, 12, 13])], "k string, i long, s double")
-    out = O.sliding_limiter(rows, "k", "s", 2, 10.0).orderBy("i").collect()
+    out = O.sliding_limiter(rows, "k", ["i"], "s", 2, 10.0).orderBy("i").collect()
     assert [r["allowed"] for r in out] == [True, True, False, False, True, True, False]
     out = O.token_bucket(rows, "k", ["i"], "s", 6.0, 2.0).orderBy("i").collect()
     assert [r["allowed"] for r in out] == [True, True, False, False, True, False, False]
