@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters.
@@ -62,6 +62,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed(df: DataFrame, keys: list[str], order: list[str], name: str, width: str | None = None) -> DataFrame:
+    """df with the column name: how many places the rows before it take (from 0) among the rows of its keys (without nulls), by order, nulls first. A row takes one place, or as many as its column width says.
+
+    Rows are dealt into ranges of equal size by keys and order, whatever the keys' sizes; ranges are added up first, then
+    places are counted inside each range. The ranges are written, so that both steps see the same. Order must tell rows
+    apart, so that no run of equal rows makes a range large.
+    """
+    part, inside, base = unused(df, "part", "inside", "base")
+    rows = stored(df.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()), name)
+    takes = F.lit(1) if width is None else F.col(width)
+    sums = rows.groupBy(*keys, part).agg(F.sum(takes).alias(base))
+    sums = sums.select(*keys, part, (F.sum(base).over(Window.partitionBy(*keys).orderBy(part)) - F.col(base)).alias(base))
+    before = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn(inside, F.sum(takes).over(before) - takes).join(sums, [*keys, part])
+    return rows.select(*df.columns, (F.col(base) + F.col(inside)).alias(name))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star rounds.
 
