@@ -1,6 +1,6 @@
 """The queries of this folder by name, and DuckDB SQL for those that it can express."""
 
-from . import chat, decontam, html, langid, linedup, media, mixing, sharding, simhash, tokens, urlfilter, vectorcodes
+from . import chat, decontam, html, langid, linedup, media, mixing, sharding, simhash, tokens, trie, urlfilter, vectorcodes
 
 QUERIES = {
     "op1_token_ids": tokens.op1_token_ids,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_preference_format": chat.op9_preference_format,
     "op10_simhash": simhash.op10_simhash,
     "op11_sharding": sharding.op11_sharding,
+    "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_vector_codes": vectorcodes.op13_vector_codes,
 }
 
@@ -22,5 +23,6 @@ ORACLE: dict[str, str] = {
     "op7_url_filter": urlfilter.ORACLE,
     "op9_preference_format": chat.ORACLE,
     "op11_sharding": sharding.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
     "op13_vector_codes": vectorcodes.ORACLE,
 }
