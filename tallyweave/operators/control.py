@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import unused
 from . import ordered as O
 from .review import looked_up
 
@@ -132,9 +133,10 @@ def with_switch(rows: DataFrame, switches: DataFrame, switch: str, tenant: str =
     """rows with killed: by the platform's switch, else by that of their tenant."""
     own = switches.where(F.col("switch") == switch)
     platform = own.where("tenant IS NULL").agg(F.coalesce(F.bool_or("killed"), F.lit(False)).alias("off")).scalar()
-    by_tenant = own.where("tenant IS NOT NULL").select(F.col("tenant").alias("__tenant"), F.col("killed").alias("__killed"))
-    out = rows.join(by_tenant, F.col(tenant) == F.col("__tenant"), "left")
-    return out.withColumn("killed", platform | F.coalesce("__killed", F.lit(False))).drop("__tenant", "__killed")
+    whose, off = unused(rows, "whose", "off")
+    by_tenant = own.where("tenant IS NOT NULL").select(F.col("tenant").alias(whose), F.col("killed").alias(off))
+    out = rows.join(by_tenant, F.col(tenant) == F.col(whose), "left")
+    return out.withColumn("killed", platform | F.coalesce(off, F.lit(False))).drop(whose, off)
 
 
 def combined_hash(hashes: Column) -> Column:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..functions import canonical as J
-from ..shared import written
+from ..shared import unused, written
 
 
 def condition(tree: dict[str, Any], content: Column, kind: Column) -> Column:
@@ -52,33 +55,93 @@ def dice(a: Column, b: Column) -> Column:
 
 def exact_precedents(docs: DataFrame, precedents: DataFrame) -> DataFrame:
     """docs (key, text) with precedent, the first (by ordinal) whose normal text is equal, else null."""
-    first = precedents.groupBy(normal_text(F.col("content")).alias("__norm")).agg(F.min_by("precedent", "ordinal").alias("precedent"))
-    return docs.withColumn("__norm", normal_text(F.col("text"))).join(first, "__norm", "left").drop("__norm")
+    (norm,) = unused(docs, "norm")
+    first = precedents.groupBy(normal_text(F.col("content")).alias(norm)).agg(F.min_by("precedent", "ordinal").alias("precedent"))
+    return docs.withColumn(norm, normal_text(F.col("text"))).join(first, norm, "left").drop(norm)
 
 
-def similar_precedents(docs: DataFrame, precedents: DataFrame, least: float) -> DataFrame:
+#: Grams of all precedents up to which an index of them is sent to the tasks: 64 MB.
+MOST_GRAMS = 8_000_000
+
+
+def similar_precedents(docs: DataFrame, precedents: DataFrame, least: float, most_grams: int = MOST_GRAMS) -> DataFrame:
     """key, precedent, similarity: the most similar precedent of each document with a Dice of least or more; ties to the first.
 
-    Candidates share a bigram prefix: with bigrams in one order, two sets that reach the threshold share one of the
-    first |A| - ceil(least/(2-least)*|A|) + 1, so only those are joined (prefix filter, no loss); then Dice decides.
+    Texts of one language share most bigrams: a quarter of all pairs may truly reach 0.6, so no filter leaves few candidates.
+    A list of precedents that holds most_grams bigrams or fewer goes to the tasks as an index, by which a document's overlaps
+    with all of them are counted at once; a longer one is joined by prefixes. Both give the same rows.
+    """
+    # Bigrams as 64-bit hashes: there are too few kinds of them to collide, and numbers sort and meet much faster.
+    hashed = lambda text: F.transform(bigrams(normal_text(F.col(text))), lambda g: F.xxhash64(g))
+    a = docs.select("key", hashed("text").alias("set")).where("size(set) > 0")
+    b = precedents.select("precedent", "ordinal", hashed("content").alias("set")).where("size(set) > 0")
+    b = written(b.withColumn("m", F.size("set")), "bigrams")
+    grams = b.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    return _by_index(a, b, least) if grams <= most_grams else _by_prefix(a, b, least)
+
+
+def _by_index(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Each document's best precedent, by an index from bigrams to precedents in the order of the list."""
+    kinds = f"key {a.schema['key'].dataType.simpleString()}, precedent {b.schema['precedent'].dataType.simpleString()}, similarity double"
+    held = b.select("precedent", "ordinal", "set").toArrow().sort_by("ordinal")
+    grams, of = np.unique(held.column("set").combine_chunks().flatten().to_numpy(), return_inverse=True) if held.num_rows else (np.zeros(0, np.int64), np.zeros(0, int))
+    sizes = np.array([len(x) for x in held.column("set")], np.int64)
+    order = np.argsort(of, kind="stable")
+    index = a.sparkSession.sparkContext.broadcast((grams, np.searchsorted(of[order], np.arange(len(grams) + 1)), np.repeat(np.arange(len(sizes)), sizes)[order], sizes, held.column("precedent").combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, starts, having, sizes, names = index.value
+        for batch in batches:
+            keys, best, scores = [], [], []
+            sets = batch.column("set")
+            flat, at = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+            near = np.searchsorted(grams, flat)
+            known = (near < len(grams)) & (grams[np.minimum(near, len(grams) - 1)] == flat) if len(grams) else np.zeros(len(flat), bool)
+            for i in range(batch.num_rows):
+                own = near[at[i] : at[i + 1]][known[at[i] : at[i + 1]]]
+                if len(own):
+                    shared = np.bincount(np.concatenate([having[starts[g] : starts[g + 1]] for g in own]), minlength=len(sizes))
+                    dice = 2.0 * shared / (sizes + (at[i + 1] - at[i]))
+                    first = int(dice.argmax())
+                    if dice[first] >= least:
+                        keys.append(i)
+                        best.append(first)
+                        scores.append(float(dice[first]))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keys, pa.int64())), names.take(pa.array(best, pa.int64())), pa.array(scores, pa.float64())], ["key", "precedent", "similarity"])
+
+    return a.mapInArrow(run, kinds)
+
+
+#: Kinds of bigrams that are counted apart where they are put in order.
+GRAM_KINDS = 1 << 14
+
+
+def _by_prefix(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Candidates share a bigram prefix: with bigrams in one order, two sets that reach the threshold share one of the first |A| - ceil(share |A|) + 1.
+
+    Rare bigrams come first, by how many precedents have them, and only sets whose sizes are in reach of each other meet.
     """
     share = least / (2.0 - least)
+    kind = lambda g: F.pmod(g, F.lit(GRAM_KINDS))
+    counts = b.select(F.explode("set").alias("g")).groupBy(kind(F.col("g")).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    every = a.sparkSession.range(GRAM_KINDS).join(counts, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("n", F.lit(0)).alias("n")))).alias("all"))
+    often = every.select(F.transform("all", lambda x: x["n"])).scalar()
+    in_order = F.transform(F.array_sort(F.transform("set", lambda g: F.struct(F.get(often, kind(g).cast("int")).alias("n"), g.alias("g")))), lambda x: x["g"])
+    level = lambda n: F.floor(F.log(n.cast("double")) / F.lit(max(-math.log(share), 1e-6) * 1.000001))
 
     def prefixes(df: DataFrame, *keep: str) -> DataFrame:
-        kept = F.slice("set", F.lit(1), (F.size("set") - F.ceil(F.lit(share) * F.size("set") - 1e-9) + 1).cast("int"))
+        kept = F.slice(in_order, F.lit(1), (F.size("set") - F.ceil(F.lit(share) * F.size("set") - 1e-9) + 1).cast("int"))
         return df.select(*keep, F.explode(kept).alias("gram"))
 
-    # Bigrams as 64-bit hashes in order: there are too few kinds of them to collide, and numbers sort and meet much faster.
-    hashed = lambda text: F.array_sort(F.transform(bigrams(normal_text(F.col(text))), lambda g: F.xxhash64(g)))
-    a = docs.select("key", hashed("text").alias("set")).where("size(set) > 0")
-    b = precedents.select("precedent", "ordinal", hashed("content").alias("set")).where("size(set) > 0")
-    a, b = written(a.withColumn("n", F.size("set")), "bigrams"), written(b.withColumn("m", F.size("set")), "bigrams")  # each is read twice
+    a = written(a.withColumn("n", F.size("set")), "bigrams")  # read twice
+    ours = prefixes(a, "key", "n").withColumn("level", level(F.col("n")))
+    near = F.explode(F.array(*(level(F.col("m")) + i for i in (-1, 0, 1))))  # sizes in reach are a level apart at most
+    theirs = prefixes(b, "ordinal", "m").withColumn("level", near)
     close = (F.col("n") >= share * F.col("m") - 1e-9) & (F.col("m") >= share * F.col("n") - 1e-9)
-    met = prefixes(a, "key", "n").join(prefixes(b, "precedent", "ordinal", "m"), "gram").where(close).select("key", "ordinal").distinct()
+    met = ours.join(theirs, ["gram", "level"]).where(close).select("key", "ordinal").distinct()
     pairs = met.join(a, "key").join(b.select("precedent", "ordinal", F.col("set").alias("other")), "ordinal")
-    scored = pairs.select("key", "precedent", "ordinal", dice(F.col("set"), F.col("other")).alias("similarity"))
-    best = Window.partitionBy("key").orderBy(F.desc("similarity"), "ordinal")
-    return scored.where(F.col("similarity") >= least).withColumn("__k", F.row_number().over(best)).where("__k = 1").select("key", "precedent", "similarity")
+    scored = pairs.select("key", "precedent", "ordinal", dice(F.col("set"), F.col("other")).alias("similarity")).where(F.col("similarity") >= least)
+    return scored.groupBy("key").agg(F.max_by(F.struct("precedent", "similarity"), F.struct("similarity", -F.col("ordinal"))).alias("best")).select("key", "best.precedent", "best.similarity")
 
 
 def routing_reason(confidence: Column, forced: Column, llm_available: Column, t: Thresholds = DEFAULT) -> Column:
@@ -94,21 +157,21 @@ def resolve_documents(docs: DataFrame, rules: Sequence[dict[str, Any]], preceden
     that the layers before leave open go on.
     """
     rule = first_rule(rules, F.col("text"), F.col("document_type")) if t.max_layer >= 1 else F.lit(None).cast("struct<rule_id:string,resolution:string>")
-    rows = docs.withColumn("__rule", rule)
+    by, near = unused(docs, "rule", "near")
+    rows = docs.withColumn(by, rule)
     if t.max_layer >= 2:
         rows = exact_precedents(rows, precedents)
-        rest = rows.where("__rule IS NULL AND precedent IS NULL").select("key", "text")
-        near = similar_precedents(rest, precedents, t.precedent_match).select("key", F.col("precedent").alias("near"), "similarity")
-        rows = rows.join(near, "key", "left")
+        rest = rows.where(F.col(by).isNull() & F.col("precedent").isNull()).select("key", "text")
+        rows = rows.join(similar_precedents(rest, precedents, t.precedent_match).select("key", F.col("precedent").alias(near), "similarity"), "key", "left")
     else:
-        rows = rows.withColumns({"precedent": F.lit(None).cast("long"), "near": F.lit(None).cast("long"), "similarity": F.lit(None).cast("double")})
-    by_rule = F.col("__rule").isNotNull()
-    match = F.when(~by_rule, F.when(F.col("precedent").isNotNull(), "exact").when(F.col("near").isNotNull(), "fuzzy"))
-    found = F.when(~by_rule, F.coalesce("precedent", "near"))
+        rows = rows.withColumns({"precedent": F.lit(None).cast("long"), near: F.lit(None).cast("long"), "similarity": F.lit(None).cast("double")})
+    by_rule = F.col(by).isNotNull()
+    match = F.when(~by_rule, F.when(F.col("precedent").isNotNull(), "exact").when(F.col(near).isNotNull(), "fuzzy"))
+    found = F.when(~by_rule, F.coalesce("precedent", near))
     similarity = F.when(match == "exact", 1.0).when(match == "fuzzy", F.col("similarity"))
     out = rows.select(
-        "key", "document_type", F.length("text").alias("content_length"), F.col("__rule.rule_id").alias("rule_id"), found.alias("precedent"), match.alias("match_type"), similarity.alias("similarity"),
-        F.coalesce(F.col("__rule.resolution"), F.concat(F.lit("precedent "), found.cast("string"))).alias("resolution"), F.when(by_rule, 1).when(found.isNotNull(), 2).alias("layer_used"),
+        "key", "document_type", F.length("text").alias("content_length"), F.col(by)["rule_id"].alias("rule_id"), found.alias("precedent"), match.alias("match_type"), similarity.alias("similarity"),
+        F.coalesce(F.col(by)["resolution"], F.concat(F.lit("precedent "), found.cast("string"))).alias("resolution"), F.when(by_rule, 1).when(found.isNotNull(), 2).alias("layer_used"),
     )
     out = out.withColumn("confidence", F.when(F.col("layer_used") == 1, 1.0).otherwise(clamped(F.coalesce("similarity", F.lit(0.0)))))
     reason = routing_reason(F.col("confidence"), F.lit(False), F.lit(True), t)

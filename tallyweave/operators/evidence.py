@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical as J
 from ..functions.names import let
+from ..shared import unused
 from . import ordered as O
 
 #: Layers that only say where a cached answer came from, and the layer that they stand for.
@@ -53,8 +54,9 @@ def stable_order(results: DataFrame) -> DataFrame:
 
     A batch may hold a third of all rows: places come from ranges of equal size, counted first.
     """
-    rows = results.withColumn("__time", utc_text(F.col("source_timestamp"))).withColumn("__hash", F.sha2(F.coalesce("original", F.lit("")), 256))
-    return O.placed(rows, "trace_id", ["__time", "__hash", "row_index"], "pos").drop("__time", "__hash")
+    at, digest = unused(results, "at", "digest")
+    rows = results.withColumn(at, utc_text(F.col("source_timestamp"))).withColumn(digest, F.sha2(F.coalesce("original", F.lit("")), 256))
+    return O.placed(rows, "trace_id", [at, digest, "row_index"], "pos").drop(at, digest)
 
 
 #: The form of a chunk of decisions.

@@ -12,33 +12,42 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import unused, written
 
 #: From a row (by column name) to what is added to it.
 Step = Callable[[dict[str, Any]], tuple]
+#: Types that a step may add.
+ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def same_key(a: Any, b: Any) -> bool:
+    """Whether two values are one key: nulls are, and so are NaNs."""
+    return a == b or (a is None and b is None) or (a != a and b != b)
 
 
 def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], Step], added: str) -> DataFrame:
-    """df with the columns `added`, which start()'s step gives for each row in turn; a new step begins with each key."""
+    """df with the columns `added`, which start()'s step gives for each row in turn; a new step begins with each key. Null is a key of its own."""
     rows = df.repartition(key).sortWithinPartitions(key, *order)
-    names = [c.split()[0] for c in added.split(", ")]
+    fields = [c.split() for c in added.split(", ")]
+    kinds = [ARROW[kind] for _, kind in fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, step = object(), None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, step = None, None
         for b in batches:
             out = []
-            for row in b.to_dict("records"):
-                if row[key] != current:
+            for row in b.to_pylist():
+                if step is None or not same_key(row[key], current):
                     current, step = row[key], start()
                 out.append(step(row))
-            yield b.assign(**{n: [o[i] for o in out] for i, n in enumerate(names)})
+            new = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *(name for name, _ in fields)])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return rows.mapInPandas(run, f"{schema}, {added}")
+    return rows.mapInArrow(run, f"{schema}, {added}")
 
 
 GENESIS = "0" * 64
@@ -61,28 +70,28 @@ def hash_chain(df: DataFrame, key: str, order: list[str], canonical: str) -> Dat
 
 
 def digests(df: DataFrame, key: str, order: list[str], text: str, between: str = "\n", head: str = "", tail: str = "") -> DataFrame:
-    """key and digest: SHA-256 of head, all texts of a key in order with `between` in between, and tail. One row for each key leaves a task."""
+    """key (null is one too) and digest: SHA-256 of head, all texts of a key in order with `between` in between, and tail. One row for each key leaves a task."""
     rows = df.select(key, *order, text).repartition(key).sortWithinPartitions(key, *order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, h = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, h, kinds = None, None, None
         for b in batches:
-            done = []
-            for k, value in zip(b[key], b[text], strict=True):
-                if h is None or k != current:
+            kinds, done = pa.schema([b.schema.field(key), pa.field("digest", pa.string())]), []
+            for k, value in zip(b.column(key).to_pylist(), b.column(text).to_pylist(), strict=True):
+                if h is None or not same_key(k, current):
                     if h is not None:
                         h.update(tail.encode())
-                        done.append((current, h.hexdigest()))
+                        done.append({key: current, "digest": h.hexdigest()})
                     current, h = k, hashlib.sha256(head.encode())
                 else:
                     h.update(between.encode())
                 h.update(str(value).encode())
-            yield pd.DataFrame(done, columns=[key, "digest"])
+            yield pa.RecordBatch.from_pylist(done, kinds)
         if h is not None:
             h.update(tail.encode())
-            yield pd.DataFrame([(current, h.hexdigest())], columns=[key, "digest"])
+            yield pa.RecordBatch.from_pylist([{key: current, "digest": h.hexdigest()}], kinds)
 
-    return rows.mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, digest string")
+    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, digest string")
 
 
 def placed(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
@@ -91,13 +100,14 @@ def placed(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     Rows are dealt into ranges of equal size by key and order, whatever the keys' sizes; ranges are counted first, then
     rows are numbered inside each range. The ranges are written, so that both steps see the same.
     """
-    rows = df.repartitionByRange(key, *order).withColumn("__range", F.spark_partition_id())
-    rows = written(rows, "ranges")
-    counts = rows.groupBy(key, "__range").agg(F.count(F.lit(1)).alias("__n"))
-    base = counts.select(F.col(key).alias("__key"), F.col("__range").alias("__of"), (F.sum("__n").over(Window.partitionBy(key).orderBy("__range")) - F.col("__n")).alias("__base"))
-    inside = F.row_number().over(Window.partitionBy(key, "__range").orderBy(*order))
-    out = rows.withColumn("__inside", inside).join(base, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__of")))
-    return out.withColumn(name, F.col("__base") + F.col("__inside")).select(*df.columns, name)
+    of, n, own, base, inside = unused(df, "range", "n", "own", "base", "inside")
+    rows = written(df.repartitionByRange(key, *order).withColumn(of, F.spark_partition_id()), "ranges")
+    counts = rows.groupBy(key, of).agg(F.count(F.lit(1)).alias(n))
+    before = F.sum(n).over(Window.partitionBy(key).orderBy(of)) - F.col(n)
+    base_of = counts.select(F.col(key).alias(own), F.col(of).alias(f"{of}_"), before.alias(base))
+    place = F.row_number().over(Window.partitionBy(key, of).orderBy(*order))
+    out = rows.withColumn(inside, place).join(base_of, F.col(key).eqNullSafe(F.col(own)) & (F.col(of) == F.col(f"{of}_")))
+    return out.withColumn(name, F.col(base) + F.col(inside)).select(*df.columns, name)
 
 
 def sliding_limiter(df: DataFrame, key: str, order: list[str], seconds: str, limit: int, window: float) -> DataFrame:
@@ -192,10 +202,11 @@ def ledger(df: DataFrame, key: str, order: list[str], amount: str, credits: int)
     return fold(df, key, order, start, "status string, remaining long")
 
 
-def numbered(df: DataFrame, key: str, width: int = 4096) -> DataFrame:
-    """df with n, each row's place by a whole-number key: ranges are counted first, so that no task gets all rows."""
-    rows = df.withColumn("__range", F.floor(F.col(key) / width))
-    counts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__c"))
-    base = counts.select("__range", (F.sum("__c").over(Window.orderBy("__range")) - F.col("__c")).alias("__base"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(key))
-    return rows.withColumn("__i", inside).join(base, "__range").withColumn("n", F.col("__base") + F.col("__i") - 1).drop("__range", "__i", "__base")
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """df with n, each row's place (from 0) by a key that tells rows apart: ranges of equal size are counted first, so that no task gets all rows, however far apart the keys lie."""
+    of, c, base = unused(df, "range", "c", "base")
+    rows = written(df.repartitionByRange(key).withColumn(of, F.spark_partition_id()), "ranges")
+    counts = rows.groupBy(of).agg(F.count(F.lit(1)).alias(c))
+    bases = counts.select(of, (F.sum(c).over(Window.orderBy(of)) - F.col(c)).alias(base))  # one row a range
+    inside = F.row_number().over(Window.partitionBy(of).orderBy(key))
+    return rows.withColumn("n", inside).join(bases, of).withColumn("n", F.col(base) + F.col("n") - 1).select(*df.columns, "n")

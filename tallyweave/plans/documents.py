@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical as J
 from ..operators import documents as D
+from ..shared import spread, written
 from .inputs import table
 
 RULES = [
@@ -19,7 +20,7 @@ AS_OF = "2024-06-01T00:00:00.000000Z"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("document_type"))
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("document_type")))
 
 
 def precedents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +65,7 @@ def layer_rollup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.evidence_chain(resolved(spark, sf_dir), AS_OF)
+    return D.evidence_chain(written(resolved(spark, sf_dir), "resolved"), AS_OF)
 
 
 def doc_evidence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
