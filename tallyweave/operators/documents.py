@@ -125,13 +125,13 @@ def _by_prefix(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     kind = lambda g: F.pmod(g, F.lit(GRAM_KINDS))
     counts = b.select(F.explode("set").alias("g")).groupBy(kind(F.col("g")).alias("id")).agg(F.count(F.lit(1)).alias("n"))
     every = a.sparkSession.range(GRAM_KINDS).join(counts, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("n", F.lit(0)).alias("n")))).alias("all"))
-    often = every.select(F.transform("all", lambda x: x["n"])).scalar()
-    in_order = F.transform(F.array_sort(F.transform("set", lambda g: F.struct(F.get(often, kind(g).cast("int")).alias("n"), g.alias("g")))), lambda x: x["g"])
+    often = F.broadcast(written(every.select(F.transform("all", lambda x: x["n"]).alias("often")), "gram-counts"))  # one row of GRAM_KINDS counts
+    in_order = F.transform(F.array_sort(F.transform("set", lambda g: F.struct(F.get("often", kind(g).cast("int")).alias("n"), g.alias("g")))), lambda x: x["g"])
     level = lambda n: F.floor(F.log(n.cast("double")) / F.lit(max(-math.log(share), 1e-6) * 1.000001))
 
     def prefixes(df: DataFrame, *keep: str) -> DataFrame:
         kept = F.slice(in_order, F.lit(1), (F.size("set") - F.ceil(F.lit(share) * F.size("set") - 1e-9) + 1).cast("int"))
-        return df.select(*keep, F.explode(kept).alias("gram"))
+        return df.join(often).select(*keep, F.explode(kept).alias("gram"))
 
     a = written(a.withColumn("n", F.size("set")), "bigrams")  # read twice
     ours = prefixes(a, "key", "n").withColumn("level", level(F.col("n")))

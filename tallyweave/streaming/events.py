@@ -76,19 +76,6 @@ def token_bucket(events: DataFrame, per_minute: float, burst: float) -> DataFram
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def publish_roots(entries: DataFrame, every: int, publish: Callable[[int, int], None], checkpoint: str) -> None:
-    """Call publish(batch, entries so far) for micro-batches that complete another `every` entries."""
-    seen = 0
-
-    def batch(df: DataFrame, epoch: int) -> None:
-        nonlocal seen
-        before, seen = seen, seen + df.count()
-        if seen // every > before // every:
-            publish(epoch, seen)
-
-    entries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream has now, run to its end and read back."""
     spark = stream.sparkSession
