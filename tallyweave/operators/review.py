@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import numbered
+from .ordered import Step, fold, numbered
 
 #: Hours by priority, priority by reason, status by decision, reassignments before a case goes up.
 HOURS = {"urgent": 1, "high": 4, "standard": 24}
@@ -49,6 +51,35 @@ def round_robin(cases: DataFrame, key: str, reviewers: list[str]) -> DataFrame:
     return numbered(cases, key).withColumn("assigned_to", F.element_at(F.array(*map(F.lit, reviewers)), (F.col("n") % len(reviewers) + 1).cast("int"))).drop("n")
 
 
+def with_capacity(changes: DataFrame, key: str, order: list[str], opens: str, reviewer: str, reviewers: list[str], most: int) -> DataFrame:
+    """changes with assigned_to and active (that reviewer's open cases then): a case that opens goes to the next reviewer in turn who has fewer than most.
+
+    changes: by key (a team) and order, cases that open (opens true) or that are closed by a reviewer. Where all reviewers are
+    full, a case goes to none and the turn stays. A team's changes depend on each other; teams run side by side.
+    """
+
+    def start() -> Step:
+        turn, active = 0, dict.fromkeys(reviewers, 0)
+
+        def step(row: dict[str, Any]) -> tuple[str | None, int | None]:
+            nonlocal turn
+            if not row[opens]:
+                who = row[reviewer]
+                if who not in active:
+                    return None, None
+                active[who] = max(0, active[who] - 1)
+                return None, active[who]
+            who = next((r for r in [*reviewers[turn:], *reviewers[:turn]] if active[r] < most), None)
+            if who is None:
+                return None, None
+            turn, active[who] = (reviewers.index(who) + 1) % len(reviewers), active[who] + 1
+            return who, active[who]
+
+        return step
+
+    return fold(changes, key, order, start, "assigned_to string, active long")
+
+
 def decided(status: Column, decision: Column) -> Column:
     """The status after a decision; null where it is unknown or the case is decided already."""
     return F.when(status != "decided", looked_up(AFTER, decision, F.lit(None).cast("string")))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical as J
 from ..operators import evidence as E
+from ..operators import finalize as Z
 from ..operators import ordered as O
 from ..operators import review as V
-from ..shared import written
+from ..shared import shared_path, written
 from .inputs import RESULTS, results, table
 
 AS_OF = "2001-06-01 00:00:00"
@@ -214,6 +215,25 @@ def round_robin_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.round_robin(cases(spark, sf_dir).where("status = 'pending'").select("case_id"), "case_id", REVIEWERS)
 
 
+def capacity_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as changes of a team's cases: purchases close one of a reviewer's, all others open one; two at most for each."""
+    who = F.element_at(F.array(*map(F.lit, REVIEWERS)), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("event_type") != "purchase").alias("opens"), who.alias("reviewer"))
+    return V.with_capacity(rows, "user_id", ["ts", "event_id"], "opens", "reviewer", REVIEWERS, 2).select("event_id", "assigned_to", "active")
+
+
+def finalized_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of eight shards, finalized in three calls: one before all shards of a batch are in, then two at once on the same state."""
+    rows = written(results(spark, sf_dir).withColumn("shard", F.col("row_index") % 8), "decisions")
+    store = shared_path(spark, "finalized")
+    early = rows.where("NOT (trace_id = 'B3' AND shard = 5)")
+    Z.commit(Z.finalized(early, Z.ready(early, Z.committed(spark, store), 8)), store)
+    both = [Z.finalized(rows, Z.ready(rows, Z.committed(spark, store), 8)) for _ in range(2)]
+    for each in both:  # planned before either has committed
+        Z.commit(each, store)
+    return Z.committed(spark, store).select("trace_id", "rows", "root", "receipt_id", "replayed")
+
+
 def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [*V.AFTER, "shrug"]
     decision = F.element_at(F.array(*map(F.lit, kinds)), (F.col("case_id") % len(kinds) + 1).cast("int"))
@@ -222,7 +242,7 @@ def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LIST = (
     record_hashes, stable_order_v2, row_chain, row_chain_root, chain_verify, replay_determinism, chunk_digest, chunk_evidence, chunk_chain_root, dataset_hash, dataset_hash_v1, tenant_scope, receipt_ids, ledger_event_ids, rfc3339_times, merkle_level1, merkle_root, merkle_proofs, rate_limiter, rate_limit_window_counts, token_bucket, circuit_breaker,
-    ledger_conditional, ledger_running_balance, concurrency_slots, sla_deadlines, sla_breaches, queue_stats, stale_actions, round_robin_assignment, review_decisions,
+    ledger_conditional, ledger_running_balance, concurrency_slots, sla_deadlines, sla_breaches, queue_stats, stale_actions, round_robin_assignment, capacity_assignment, finalized_batches, review_decisions,
 )
 QUERIES = {f.__name__: f for f in LIST}
 
@@ -294,6 +314,13 @@ SELECT user_id, event_id, status, remaining FROM walk""",
     "queue_stats": f"WITH {CASES} SELECT priority, count_if(status = 'pending')::BIGINT AS pending, count_if(status = 'assigned')::BIGINT AS assigned, count_if(status = 'decided')::BIGINT AS decided, count_if(status = 'escalated')::BIGINT AS escalated FROM cases GROUP BY 1",
     "stale_actions": f"WITH {CASES} SELECT case_id, CASE WHEN moves >= 2 THEN 'escalate' ELSE 'reassign' END AS action, CASE WHEN moves < 2 THEN CASE WHEN reviewer = 'ana' THEN 'bo' ELSE 'ana' END END AS new_reviewer FROM cases WHERE {LATE}",
     "round_robin_assignment": f"WITH {CASES} SELECT case_id, ['ana', 'bo', 'chi'][((row_number() OVER (ORDER BY case_id) - 1) % 3 + 1)::INT] AS assigned_to FROM cases WHERE status = 'pending'",
+    "capacity_assignment": """WITH RECURSIVE c AS MATERIALIZED (SELECT user_id, event_id, event_type <> 'purchase' AS opens, (event_id % 3 + 1)::INT AS who, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+walk AS (SELECT DISTINCT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, 0 AS turn, [0, 0, 0] AS active, NULL::INT AS who, false AS opens FROM c
+  UNION ALL SELECT user_id, k, event_id, CASE WHEN opens AND pick IS NOT NULL THEN pick % 3 ELSE turn END, list_transform(active, lambda a, i: CASE WHEN pick IS NULL OR i <> pick THEN a WHEN opens THEN a + 1 ELSE greatest(a - 1, 0) END), pick, opens
+  FROM (SELECT c.user_id, c.k, c.event_id, c.opens, w.turn, w.active, CASE WHEN NOT c.opens THEN c.who WHEN w.active[w.turn % 3 + 1] < 2 THEN w.turn % 3 + 1 WHEN w.active[(w.turn + 1) % 3 + 1] < 2 THEN (w.turn + 1) % 3 + 1 WHEN w.active[(w.turn + 2) % 3 + 1] < 2 THEN (w.turn + 2) % 3 + 1 ELSE NULL END AS pick
+    FROM walk w JOIN c ON c.user_id = w.user_id AND c.k = w.k + 1))
+SELECT event_id, CASE WHEN opens THEN ['ana', 'bo', 'chi'][who] END AS assigned_to, active[who]::BIGINT AS active FROM walk WHERE k > 0""",
     "review_decisions": f"""WITH {CASES}, d AS (SELECT case_id, status, ['approve', 'reject', 'escalate', 'request_more_evidence', 'reopen', 'shrug'][(case_id % 6 + 1)::INT] AS decision FROM cases)
 SELECT case_id, decision, CASE WHEN status <> 'decided' THEN CASE WHEN decision IN ('approve', 'reject') THEN 'decided' WHEN decision = 'escalate' THEN 'escalated' WHEN decision IN ('request_more_evidence', 'reopen') THEN 'pending' END END AS new_status FROM d""",
 }
+ORACLE["finalized_batches"] = f"SELECT a.trace_id, a.n AS rows, a.root, b.receipt_id, true AS replayed FROM ({ORACLE['row_chain_root']}) a JOIN ({ORACLE['receipt_ids']}) b ON a.trace_id = b.trace_id"

@@ -293,7 +293,7 @@ def rows_of(content: bytes, name: str) -> tuple[dict[str, Any], list[list[str |
     return how | {"kind": kind}, rows
 
 
-INGESTED = "path string, kind string, encoding string, delimiter string, method string, header_at long, error string, head string, names array<string>, at long, cells array<string>"
+INGESTED = "path string, kind string, encoding string, delimiter string, method string, header_at long, error string, head string, left_out long, names array<string>, at long, cells array<string>"
 #: Rows that leave a task together.
 _TOGETHER = 10_000
 
@@ -313,13 +313,17 @@ def _ingest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             width = max(map(len, rows[: MAX_ROWS + 1]))
             names = column_names([*rows[0], *[None] * (width - len(rows[0]))])
             data = [[*r, *[None] * (width - len(r))] for r in rows[1 : MAX_ROWS + 1]]
+            left_out = max(0, len(rows) - 1 - MAX_ROWS)
             for k in range(0, max(1, len(data)), _TOGETHER):
                 part = data[k : k + _TOGETHER]
-                yield pd.DataFrame([base | how | {"names": names, "at": k + i if part else None, "cells": r} for i, r in enumerate(part or [None])])
+                yield pd.DataFrame([base | how | {"left_out": left_out, "names": names, "at": k + i if part else None, "cells": r} for i, r in enumerate(part or [None])])
 
 
 def ingested(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each row of every file under path (INGESTED); a file without rows, or with an error, has one without cells."""
+    """A row for each row of every file under path (INGESTED); a file without rows, or with an error, has one without cells.
+
+    Files are read up to MAX_ROWS rows; left_out says how many more a file has.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     content = F.when(F.col("length") <= MAX_BYTES, F.col("content")).otherwise(F.substring("content", 1, PROBE))
     # Spark passes over files without bytes; its own list of the files still has them.
@@ -330,18 +334,24 @@ def ingested(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_failures(table: DataFrame, path: str) -> None:
-    """Append what could not be read to a log of JSON lines: path, kind, error and the first 256 bytes in hex."""
-    table.where("error IS NOT NULL").select("path", "kind", "error", "head").write.mode("append").json(path)
+    """Append what could not be read, as a whole or beyond MAX_ROWS rows, to a log of JSON lines: path, kind, error and the first 256 bytes in hex."""
+    cut = F.when((F.col("left_out") > 0) & F.col("at").eqNullSafe(0), F.concat(F.lit("rows left out: "), F.col("left_out").cast("string")))
+    table.withColumn("error", F.coalesce("error", cut)).where("error IS NOT NULL").select("path", "kind", "error", "head").write.mode("append").json(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """One file as a table of text under the names of its header; a JSON file with the types of its values."""
+def read_table(spark: SparkSession, path: str, cut: bool = False) -> DataFrame:
+    """One file as a table of text under the names of its header; a JSON file with the types of its values.
+
+    A file of more than MAX_ROWS rows raises, unless cut says that the rest may be left out.
+    """
     table = written(ingested(spark, path), "upload")
-    first = table.orderBy(F.col("at").asc_nulls_first()).select("kind", "error", "names").first()
+    first = table.orderBy(F.col("at").asc_nulls_first()).select("kind", "error", "names", "left_out").first()
     if first is None:
         raise FileNotFoundError(path)
     if first["error"]:
         raise ValueError(f"{first['kind']}: {first['error']}")
+    if first["left_out"] and not cut:
+        raise ValueError(f"{first['left_out']} rows beyond the first {MAX_ROWS}")
     if first["kind"] == "json":
         return read_json_table(spark, path)
     return table.where("cells IS NOT NULL").select(*(F.col("cells")[i].alias(n) for i, n in enumerate(first["names"])))

@@ -170,3 +170,15 @@ def test_packs(spark, tmp_path):
     put(tmp_path, "c.txt", "c")
     (tmp_path / "a.txt").unlink()
     assert {r["name"]: r["status"] for r in sinks.verify(before, sinks.manifest(spark, str(tmp_path))).collect()} == {"a.txt": "missing", "b.txt": "changed", "c.txt": "unexpected"}
+
+
+def test_rows_beyond_the_limit_are_told(spark, tmp_path, monkeypatch):
+    """A file of more rows than are read says how many are left out, in its rows and in the log."""
+    path = put(tmp_path, "long.csv", "name,city\n" + "".join(f"n{i},c{i}\n" for i in range(files.MAX_ROWS + 3)))
+    got = files.ingested(spark, path).where("cells IS NOT NULL")
+    assert {r["left_out"]: r["n"] for r in got.groupBy("left_out").agg(F.count(F.lit(1)).alias("n")).collect()} == {3: files.MAX_ROWS}
+    with pytest.raises(ValueError, match="3 rows beyond"):
+        files.read_table(spark, path)
+    assert files.read_table(spark, path, cut=True).count() == files.MAX_ROWS
+    files.log_failures(files.ingested(spark, path), str(tmp_path / "log"))
+    assert [r["error"] for r in spark.read.json(str(tmp_path / "log")).collect()] == ["rows left out: 3"]

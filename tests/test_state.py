@@ -79,3 +79,41 @@ def test_leaves_of_other_forms_raise(spark):
     for bad in (("other", "r", "h"), (None, "r", "h"), ("receipt", " ", "h"), ("tombstone", "r", "")):
         with pytest.raises(Exception, match="entry"):
             of(*bad)
+
+
+def test_finalize_leaves_one_end_for_each_batch(spark, tmp_path):
+    """Late shards, two callers at once, a caller that dies before its commit, shards after the commit, and a store that disagrees."""
+    from tallyweave.operators import finalize as Z
+
+    cols = "trace_id string, shard long, row_index long, original string, layer string, resolved string, confidence double, decision_path string, entity_type string, source_timestamp timestamp"
+    one = lambda b, shard, i: (b, shard, i, f"n{i}", "L1_EXACT", None, 0.5, "p", "PERSON", None)
+    whole = [one(b, i % 3, i) for b in ("a", "b") for i in range(12)]
+    store, of = str(tmp_path / "store"), lambda data: spark.createDataFrame(data, cols)
+    early = of([r for r in whole if not (r[0] == "b" and r[1] == 2)])
+    none = Z.committed(spark, store)
+    assert {r["trace_id"]: r["state"] for r in Z.arrivals(early, none, 3).collect()} == {"a": "ready", "b": "waiting"}
+    Z.finalized(early, Z.ready(early, none, 3))  # dies before its commit
+    assert Z.committed(spark, store).count() == 0
+    Z.commit(Z.finalized(early, Z.ready(early, none, 3)), store)
+    ends = [Z.finalized(of(whole), Z.ready(of(whole), Z.committed(spark, store), 3)) for _ in range(2)]
+    for e in ends:
+        Z.commit(e, store)
+    first = {r["trace_id"]: r for r in Z.committed(spark, store).collect()}
+    assert set(first) == {"a", "b"} and all(r["rows"] == 12 and r["replayed"] and r["receipt_id"] and r["leaf"] for r in first.values())
+    late = of([*whole, one("a", 2, 99)])
+    assert {r["state"] for r in Z.arrivals(late, Z.committed(spark, store), 3).collect()} == {"committed"}
+    Z.commit(Z.finalized(late, Z.ready(late, Z.committed(spark, store), 3)), store)
+    assert {r["trace_id"]: r for r in Z.committed(spark, store).collect()} == first
+    Z.commit(Z.finalized(late, late.select("trace_id").distinct()), store)  # not asked whether it was ready
+    with pytest.raises(Exception, match="two ends of one batch"):
+        Z.committed(spark, store).collect()
+
+
+def test_cases_go_to_the_next_reviewer_with_room(spark):
+    from tallyweave.operators import review as V
+
+    steps = [(True, None)] * 5 + [(False, "b"), (True, None), (False, "x"), (False, "a"), (False, "a"), (False, "a"), (True, None)]
+    rows = spark.createDataFrame([("t", i, o, r) for i, (o, r) in enumerate(steps)], "team string, i long, opens boolean, reviewer string")
+    got = V.with_capacity(rows, "team", ["i"], "opens", "reviewer", ["a", "b"], 2).orderBy("i").collect()
+    assert [(r["assigned_to"], r["active"]) for r in got] == [("a", 1), ("b", 1), ("a", 2), ("b", 2), (None, None), (None, 1), ("b", 2), (None, None), (None, 1), (None, 0), (None, 0), ("a", 1)]
+    assert V.with_capacity(rows, "team", ["i"], "opens", "reviewer", [], 2).where("assigned_to IS NOT NULL").count() == 0
