@@ -7,14 +7,14 @@ joined with the first of them, by document and word. Successive fingerprints of
 a run, which is extended both ways, word by word, to as far as the next fingerprint could be. Where it then holds
 MIN_WORDS words, those of the later place are deleted, each with the white space after it.
 
-Only DataFrame functions are used. Equal hashes are not trusted: a run's words are compared by a second hash, and what
-it is extended by as words. Places of frequent fingerprints are never gathered: they are joined with one first place,
+Fingerprints are made in numpy, since a native form costs more than the check tool allows; all else is DataFrame functions.
+Equal hashes are not trusted: a run's words are compared by a second hash, and what it is extended by as words. Places of frequent fingerprints are never gathered: they are joined with one first place,
 a join that Spark can split; first places ask for their own words once, however many runs they serve.
 
 Defined cases: null texts stay null and empty ones empty; texts of fewer words than MIN_WORDS never change; repeated
 rows (equal doc_id and text) count as one document and come out alike; null doc_ids come first; what repeats inside one
-document only stays; a fingerprint is compared with its first place only; a very long text needs memory for its list of words; an empty table gives an empty result; other columns are ignored,
-whatever their names.
+document only stays; a fingerprint is compared with its first place only; a very long text needs memory for its list of
+words; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
