@@ -163,8 +163,13 @@ def double(x: Column, form: str = PLAIN) -> Column:
     return F.when(x.isNull(), "null").otherwise(out)
 
 
+def whole(c: Column) -> Column:
+    """A whole number or boolean, or null, as JSON."""
+    return F.coalesce(c.cast("string"), F.lit("null"))
+
+
 def plain(c: Column) -> Column:
-    """A number or boolean, or null, as JSON; a double in its shortest spelling."""
+    """A number or boolean of any type, or null, as JSON; a double in its shortest spelling. whole and double make smaller plans where the type is known."""
     kind = F.typeof(c)
     return F.when(kind.isin("double", "float"), double(c.cast("double"))).otherwise(F.coalesce(c.cast("string"), F.lit("null")))
 

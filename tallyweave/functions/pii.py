@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Categories, their patterns and the prefix of their tokens, the most specific first.
-_OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
 PATTERNS = {
     "SSN": r"\b\d{3}-\d{2}-\d{4}\b",
     "CREDIT_CARD": r"\b(?:\d{4}[-\s]?){3}\d{4}\b",
@@ -20,7 +19,7 @@ PATTERNS = {
     "EMAIL": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
     "PHONE": r"(?:\(\d{3}\)\s?|\b\d{3}[-.])\d{3}[-.]?\d{4}\b",
     "DOB": r"\b(?:0[1-9]|1[0-2])/(?:0[1-9]|[12]\d|3[01])/(?:19|20)\d{2}\b",
-    "IP_ADDRESS": rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b",
+    "IP_ADDRESS": r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b",
     "DRIVERS_LICENSE": r"\b[A-Z]\d{7,14}\b",
 }
 PREFIXES = {"SSN": "SSN", "CREDIT_CARD": "CC", "MRN": "MRN", "EMAIL": "EMAIL", "PHONE": "PHONE", "DOB": "DOB", "IP_ADDRESS": "IP", "DRIVERS_LICENSE": "DL"}

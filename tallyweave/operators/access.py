@@ -18,8 +18,9 @@ DOCUMENT_TYPES, DOCUMENT_BYTES, NAME_LENGTH = ("regulatory", "compliance", "fina
 BATCH_PAGE, RESULT_PAGE, AUDIT_PAGE, SAMPLE_PAGE = 200, 1000, 10_000, 100
 
 
-def shown(df: DataFrame, fields: list[str]) -> DataFrame:
-    """The allowed fields that df has, in the order of the list."""
+def shown(df: DataFrame, fields: list[str], **more: Column) -> DataFrame:
+    """The allowed fields that df has, in the order of the list; more: fields that are worked out from all of df's."""
+    df = df.withColumns(more) if more else df
     return df.select(*(c for c in fields if c in df.columns))
 
 

@@ -191,7 +191,7 @@ NODE_FIELDS = {
 
 def node_hash(kind: Column, sequence: Column, timestamp: Column, data: Column) -> Column:
     """SHA-256 of a node's canonical content. data: its canonical JSON."""
-    return F.sha2(J.record({"node_type": J.ascii_text(kind), "sequence": J.plain(sequence), "timestamp": J.ascii_text(timestamp), "data": data}), 256)
+    return F.sha2(J.record({"node_type": J.ascii_text(kind), "sequence": J.whole(sequence), "timestamp": J.ascii_text(timestamp), "data": data}), 256)
 
 
 def node(kind: str, sequence: Column, timestamp: Column, data: dict[str, Column]) -> Column:
@@ -218,14 +218,14 @@ def evidence_chain(resolved: DataFrame, as_of: str, rule_set: str = "1", t: Thre
     """key, nodes, chain_hash, closed of resolve_documents' rows: what came in, what matched, and how it was routed."""
     at, step, c = F.lit(as_of), lambda name: J.text(F.lit(name)), F.col
     kind = J.ascii_text(c("document_type"))
-    source = node("source_artifact", F.lit(1), at, {"document_type": kind, "content_length": J.plain(c("content_length")), "has_force_review": F.lit("false")})
+    source = node("source_artifact", F.lit(1), at, {"document_type": kind, "content_length": J.whole(c("content_length")), "has_force_review": F.lit("false")})
     by_rule = node("transformation", F.lit(2), at, {"step": step("l1_rule_match"), "rule_id": J.ascii_text(c("rule_id")), "rule_set_version": J.text(F.lit(rule_set)), "document_type": kind, "matched": F.lit("true")})
-    match = {"precedent_id": J.text(c("precedent").cast("string")), "similarity": J.plain(c("similarity")), "match_type": J.text(c("match_type"))}
+    match = {"precedent_id": J.text(c("precedent").cast("string")), "similarity": J.double(c("similarity")), "match_type": J.text(c("match_type"))}
     exact = node("retrieval_result", F.lit(2), at, match | {"step": step("l2_exact_match")})
-    fuzzy = node("retrieval_result", F.lit(2), at, match | {"step": step("l2_fuzzy_match"), "threshold": J.plain(F.lit(t.precedent_match))})
+    fuzzy = node("retrieval_result", F.lit(2), at, match | {"step": step("l2_fuzzy_match"), "threshold": F.lit(repr(t.precedent_match))})
     found = F.when(c("layer_used") == 1, by_rule).when(c("match_type") == "exact", exact).when(c("match_type") == "fuzzy", fuzzy)
     last = F.when(c("layer_used").isNull(), 2).otherwise(3)
-    routing = {"step": step("routing_decision"), "route_to_review": J.plain(c("reason").isNotNull()), "reason": J.text(c("reason")), "confidence": J.plain(c("confidence")), "review_threshold": J.plain(F.lit(t.review)), "force_review": F.lit("false"), "llm_available": F.lit("true")}
+    routing = {"step": step("routing_decision"), "route_to_review": J.whole(c("reason").isNotNull()), "reason": J.text(c("reason")), "confidence": J.double(c("confidence")), "review_threshold": F.lit(repr(t.review)), "force_review": F.lit("false"), "llm_available": F.lit("true")}
     nodes = F.array_compact(F.array(source, found, node("transformation", last, at, routing)))
     out = resolved.select("key", nodes.alias("nodes"), (c("status") == "resolved").alias("closed"))
     return out.withColumn("chain_hash", chain_hash(c("nodes")))

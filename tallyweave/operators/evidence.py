@@ -68,8 +68,8 @@ def chunk_record() -> Column:
     c, text = F.col, J.ascii_text
     none = F.lit("null")
     return J.record({
-        "row_index": J.plain(c("row_index")), "original_input": text(c("original")), "sanitized_input": text(c("original")), "pii_detected": F.lit("[]"), "entity_type": text(c("entity_type")), "decision_path": text(c("decision_path")), "layer": text(c("layer")), "resolved_output": text(c("resolved")),
-        "output_confidence": J.plain(c("confidence")), "match_type": text(c("match_type")), "match_id": none, "latency_ms": F.lit("0.0"), "llm_used": J.plain(c("layer").startswith("L3")), "sustainability": none,
+        "row_index": J.whole(c("row_index")), "original_input": text(c("original")), "sanitized_input": text(c("original")), "pii_detected": F.lit("[]"), "entity_type": text(c("entity_type")), "decision_path": text(c("decision_path")), "layer": text(c("layer")), "resolved_output": text(c("resolved")),
+        "output_confidence": J.double(c("confidence")), "match_type": text(c("match_type")), "match_id": none, "latency_ms": F.lit("0.0"), "llm_used": J.whole(c("layer").startswith("L3")), "sustainability": none,
     })
 
 
@@ -83,7 +83,7 @@ def chunk_digests(placed: DataFrame, size: int, made_at: str, versions: dict[str
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "record"))), lambda r: r["record"])
     rows = placed.groupBy("trace_id", chunk.alias("chunk")).agg(ordered.alias("records"), F.count(F.lit(1)).alias("rows")).join(counts, "trace_id")
     start = F.col("chunk") * size
-    fields = {"schema_version": F.lit(f'"{CHUNK_SCHEMA}"'), "batch_id": J.ascii_text(F.col("trace_id")), "chunk_index": J.plain(F.col("chunk")), "chunk_count": J.plain(F.col("chunks")), "row_start": J.plain(start), "row_end": J.plain(start + F.col("rows")), "rows_in_chunk": J.plain(F.col("rows")), "created_at_utc": J.text(F.lit(made_at))}
+    fields = {"schema_version": F.lit(f'"{CHUNK_SCHEMA}"'), "batch_id": J.ascii_text(F.col("trace_id")), "chunk_index": J.whole(F.col("chunk")), "chunk_count": J.whole(F.col("chunks")), "row_start": J.whole(start), "row_end": J.whole(start + F.col("rows")), "rows_in_chunk": J.whole(F.col("rows")), "created_at_utc": J.text(F.lit(made_at))}
     fields |= {k: J.text(F.lit(v)) for k, v in versions.items()} | {"records": J.items(F.col("records"))}
     return rows.select("trace_id", "chunk", "rows", F.sha2(J.record(fields), 256).alias("digest"))
 

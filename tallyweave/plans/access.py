@@ -39,7 +39,8 @@ def batch_list_admin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_forensic(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = batches(spark, sf_dir)
-    return b.select("trace_id", "status", A.forensic_summary(*(F.col(c) for c in ("signature", "signature_b64", "root_hash", "anchored", "hold"))).alias("s")).select("trace_id", "status", "s.*")
+    summary = A.forensic_summary(*(F.col(c) for c in ("signature", "signature_b64", "root_hash", "anchored", "hold")))
+    return A.shown(b, A.FORENSIC_FIELDS + ["s"], s=summary).select("*", "s.*").drop("s")
 
 
 def legacy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +152,7 @@ def _holds(q: str) -> str:
 ORACLE = {
     "batch_list_tenant": f"WITH {BATCHES} SELECT {_SHOWN} FROM batches WHERE tenant_id = 't3' {_ORDER} LIMIT 200",
     "batch_list_admin": f"WITH {BATCHES} SELECT {_SHOWN}, cost_usd::DOUBLE AS cost_usd FROM batches {_ORDER} LIMIT 50",
-    "batch_forensic": f"WITH {BATCHES} SELECT trace_id, status, {_FORENSIC} AS signature_present, root_hash IS NOT NULL AS hash_chain_present, coalesce(anchored, false) AS anchor_present, coalesce(hold = 'ACTIVE', false) AS legal_hold_active FROM batches",
+    "batch_forensic": f"WITH {BATCHES} SELECT trace_id, status, signature, {_FORENSIC} AS signature_present, root_hash IS NOT NULL AS hash_chain_present, coalesce(anchored, false) AS anchor_present, coalesce(hold = 'ACTIVE', false) AS legal_hold_active FROM batches",
     "legacy_batches": f"WITH {BATCHES}, f AS (SELECT *, NOT ({_FORENSIC} OR root_hash IS NOT NULL) AS bare FROM batches) SELECT trace_id, is_legacy OR (bare AND coalesce(verify_status = 'NOT_AVAILABLE', false)) OR (bare AND NOT loading AND verify_status IS NOT NULL AND NOT verified) AS legacy FROM f",
     "duration_display": f"WITH {BATCHES}, d AS (SELECT trace_id, status, CASE WHEN duration_ms > 0 THEN duration_ms / 1000.0 WHEN duration_seconds > 0 THEN duration_seconds WHEN minutes > 0 THEN minutes * 60 END::DOUBLE AS s FROM batches) SELECT trace_id, CASE WHEN s IS NOT NULL THEN printf('%.1fs', s) WHEN status = 'completed' THEN '—' ELSE '0.0s' END AS duration FROM d",
     "layer_count_fallback": f"WITH {BATCHES} SELECT trace_id, coalesce(nullif(l1_long, 0), nullif(l1, 0), nullif(exact, 0), 0)::BIGINT AS l1 FROM batches",

@@ -39,7 +39,7 @@ def sample_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of published samples, the newest first, without what is internal."""
     rows = P.decided(_sources(spark, sf_dir), P.Policy(manual_approval=False, sanitized_samples=True)).withColumn("emitted_at", F.concat(F.lit("2024-"), F.lpad((F.col("k") % 360).cast("string"), 3, "0"))).withColumn("public_sample_id", F.concat(F.lit("pub_"), F.col("k").cast("string")))
     page = A.page(rows.where("decision = 'allow_with_redaction_profile'"), [F.desc("emitted_at"), F.col("public_sample_id")], 500, A.SAMPLE_PAGE, 20)
-    return A.shown(page, ["public_sample_id", "status", "emitted_at"])
+    return A.shown(page.select("k", "decision", "public_sample_id", "status", "emitted_at"), A.SAMPLE_FIELDS)
 
 
 def field_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
