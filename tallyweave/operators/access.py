@@ -67,6 +67,20 @@ def page(df: DataFrame, order: list[Column], limit: int, most: int, offset: int
     return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).where(F.col("place") > offset)
 
 
+def page_after(df: DataFrame, order: dict[str, bool], limit: int, most: int, after: dict | None = None) -> DataFrame:
+    """The first rows beyond the last one seen, most at a time: however deep a page lies, no more than its own rows are sorted.
+
+    order: columns without nulls that tell rows apart, and whether each goes down; after: that row's values of them.
+    """
+    beyond, same = F.lit(False), F.lit(True)
+    for name, down in order.items() if after else ():
+        seen = F.lit(after[name])
+        beyond |= same & (F.col(name) < seen if down else F.col(name) > seen)
+        same &= F.col(name) == seen
+    rows = df.where(beyond) if after else df
+    return rows.orderBy(*(F.desc(c) if down else F.asc(c) for c, down in order.items())).limit(max(1, min(limit, most)))
+
+
 def newest_batches(batches: DataFrame, tenant: str, role: str, limit: int = BATCH_PAGE) -> DataFrame:
     """The newest batches that a caller may see; those without time come last."""
     order = [F.desc(F.coalesce("timestamp", F.lit(""))), F.col("trace_id")]

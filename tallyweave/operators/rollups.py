@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered as O
+
 from ..config import DEFAULT, Thresholds
 
 L1_LAYERS = ["L1_EXACT", "L1_NORM", "L1_KNOWN_PARENT", "L1_CANONICAL", "L1_PERSON", "L1_ORG", "L1_VESSEL"]
@@ -83,11 +85,11 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, p: float) -> DataFr
 
 
 def floor_index(df: DataFrame, keys: list[str], value: str, pct: int) -> DataFrame:
-    """The value at index int(n*pct/100), the last at most: ranks are counted, no group is gathered."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("__i", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    at = F.least(F.floor(F.col("__n") * pct / 100), F.col("__n") - 1)
-    return ranked.where(F.col("__i") == at).select(*keys, F.col(value).alias(f"p{pct}"))
+    """The value at index int(n*pct/100), the last at most. Ranks come from ranges of equal size, whatever the keys' sizes."""
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys, F.lit(0).alias("0")).alias("key"), F.col(value).alias("value"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select(F.col("key").alias("of"), (F.least(F.floor(F.col("n") * pct / 100), F.col("n") - 1) + 1).alias("at"))
+    ranked = O.placed(rows, "key", ["value"], "place").join(sizes, F.col("key").eqNullSafe(F.col("of")) & (F.col("place") == F.col("at")))
+    return ranked.select(*(F.col("key")[k].alias(k) for k in keys), F.col("value").alias(f"p{pct}"))
 
 
 def with_previous(batches: DataFrame, order: str, metrics: list[str], *keys: str) -> DataFrame:

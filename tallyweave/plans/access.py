@@ -97,6 +97,12 @@ def results_page_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.page(rows, order, 5000, A.RESULT_PAGE, 10).unionByName(A.page(rows, order, 10, A.RESULT_PAGE, 10_000_000))
 
 
+def results_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page behind a row seen last, the most confident first."""
+    rows = results(spark, sf_dir).select("confidence", "row_index", "original")
+    return A.page_after(rows, {"confidence": True, "row_index": False}, 5000, A.RESULT_PAGE, {"confidence": 0.5, "row_index": 700})
+
+
 def review_queue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.equal_to(cases(spark, sf_dir), status="assigned", priority="high", reviewer="bo")
     return A.page(rows.select("case_id", "status", "priority", "reviewer"), [F.col("case_id")], 50, 100)
@@ -135,7 +141,7 @@ def required_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LIST = (
-    batch_list_tenant, batch_list_admin, batch_forensic, legacy_batches, duration_display, layer_count_fallback, shards_in_order, result_rows_shown, audit_rows, results_anomalies, results_search, results_page_clamped, review_queue_page, cases_by_status, first_order_of_customer, input_validation, export_preconditions, required_fields,
+    batch_list_tenant, batch_list_admin, batch_forensic, legacy_batches, duration_display, layer_count_fallback, shards_in_order, result_rows_shown, audit_rows, results_anomalies, results_search, results_page_clamped, results_page_after, review_queue_page, cases_by_status, first_order_of_customer, input_validation, export_preconditions, required_fields,
 )
 QUERIES = {f.__name__: f for f in LIST}
 _SHOWN = "trace_id, status, total, timestamp, tenant_id"
@@ -161,6 +167,7 @@ ORACLE = {
     "audit_rows": f"WITH {WIDE} SELECT row_index, original, resolved, canonical_name, layer, confidence, reason, match_reason, decision_path FROM wide WHERE trace_id = 'B2' ORDER BY row_index LIMIT 10000",
     "results_anomalies": f"WITH {WIDE} SELECT row_index, starts_with(layer, 'L0') AS garbage, starts_with(layer, 'L4') AS review, {_NONE} AS unresolved, true AS any FROM wide",
     "results_search": f"WITH {WIDE} SELECT row_index, {_holds('low score')} AS low, {_holds('alias hit')} AS hit, {_holds('l2_v')} AS layer, {_holds('777')} AS seven, true AS all FROM wide".replace("AS all", 'AS "all"'),
+    "results_page_after": f"WITH {RESULTS} SELECT confidence, row_index, original FROM results WHERE confidence < 0.5 OR confidence = 0.5 AND row_index > 700 ORDER BY confidence DESC, row_index LIMIT 1000",
     "results_page_clamped": f"WITH {RESULTS}, r AS (SELECT row_index, original, row_number() OVER (ORDER BY row_index) AS place FROM results WHERE trace_id = 'B1') SELECT * FROM r WHERE place BETWEEN 11 AND 1010",
     "review_queue_page": f"WITH {CASES} SELECT case_id, status, priority, reviewer, row_number() OVER (ORDER BY case_id) AS place FROM cases WHERE status = 'assigned' AND priority = 'high' AND reviewer = 'bo' ORDER BY case_id LIMIT 50",
     "cases_by_status": f"WITH {CASES} SELECT case_id, priority FROM cases WHERE status = 'escalated'",

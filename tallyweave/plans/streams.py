@@ -36,6 +36,11 @@ def alert_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.alerts(events(spark, sf_dir), "1 hour", 0.25, 1e9)
 
 
+def held_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours in which a quarter of the events are errors, or the 95th percentile is over 100, for three hours and more."""
+    return S.held_alerts(S.measured(events(spark, sf_dir), "1 hour"), {"error_rate": ("error_share", 0.25), "latency": ("p95", 100.0)}, 3600.0, 10_800.0)
+
+
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream of events drained; totals by kind."""
     return S.drained(S.running_total(S.event_stream(spark, sf_dir), F.col("event_type")), "complete")
@@ -85,7 +90,7 @@ def transparency_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", "tree_size", "root_hash")
 
 
-LIST = (tumbling_windows, sliding_windows, sessions, dedupe_events, alert_windows, stream_totals, stream_token_bucket, stream_cache, stream_stages, stream_deliveries, transparency_roots)
+LIST = (tumbling_windows, sliding_windows, sessions, dedupe_events, alert_windows, held_alerts, stream_totals, stream_token_bucket, stream_cache, stream_stages, stream_deliveries, transparency_roots)
 QUERIES = {f.__name__: f for f in LIST}
 _WALK = "ticks AS MATERIALIZED (SELECT *, epoch_us(ts) / 1e6::DOUBLE AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
 _RULE = "(CASE event_id % 3 WHEN 0 THEN 'receipt' WHEN 1 THEN 'assertion' ELSE 'tombstone' END)"
@@ -98,6 +103,10 @@ ORACLE = {
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", count(*)::BIGINT AS n FROM s GROUP BY user_id, s""",
     "dedupe_events": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     "alert_windows": "SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS start, count(*)::BIGINT AS n, count_if(event_type = 'error')::BIGINT AS errors, 'error_rate' AS alerts FROM events GROUP BY 1 HAVING count_if(event_type = 'error') > count(*) * 0.25",
+    "held_alerts": """WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS start, count_if(event_type = 'error') / count(*)::DOUBLE AS share, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1),
+bad AS (SELECT start, 'error_rate' AS rule FROM w WHERE share > 0.25 UNION ALL SELECT start, 'latency' FROM w WHERE p95 > 100),
+run AS (SELECT *, start - to_hours(row_number() OVER (PARTITION BY rule ORDER BY start)::INT) AS stretch FROM bad)
+SELECT rule, min(start) AS began, min(start) + INTERVAL '3 hours' AS fired, max(start) + INTERVAL '1 hour' AS ended, count(*)::BIGINT AS windows FROM run GROUP BY rule, stretch HAVING count(*) >= 3""",
     "stream_cache": f"""WITH RECURSIVE {_WALK}, walk AS (SELECT user_id, event_id, k, s AS kept, false AS hit FROM ticks WHERE k = 1
   UNION ALL SELECT t.user_id, t.event_id, t.k, CASE WHEN t.s < w.kept + {TTL} THEN w.kept ELSE t.s END, t.s < w.kept + {TTL} FROM walk w JOIN ticks t ON t.user_id = w.user_id AND t.k = w.k + 1) SELECT event_id AS id, hit FROM walk""",
     "stream_stages": f"""WITH {_WALK}, cut AS (SELECT *, CASE WHEN k = 1 OR s - lag(s) OVER u >= {IDLE} OR lag(event_type) OVER u = 'purchase' THEN 1 ELSE 0 END AS fresh FROM ticks WINDOW u AS (PARTITION BY user_id ORDER BY k)),

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -55,6 +55,28 @@ def alerts(events: DataFrame, size: str = "5 minutes", error_share: float = 0.01
     return out.select(F.col("w.start").alias("start"), "n", "errors", F.array_join(rules, ",").alias("alerts")).where("alerts <> ''")
 
 
+def measured(events: DataFrame, size: str) -> DataFrame:
+    """start, n, error_share and p95 (exact: counts by value are merged) of each window that has events."""
+    p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)")
+    out = events.groupBy(F.window("ts", size).alias("w")).agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("event_type") == "error") / F.count(F.lit(1))).alias("error_share"), p95.alias("p95"))
+    return out.select(F.col("w.start").alias("start"), "n", "error_share", "p95")
+
+
+def held_alerts(windows: DataFrame, limits: dict[str, tuple[str, float]], step: float, hold: float) -> DataFrame:
+    """rule, began, fired, ended, windows: stretches of successive windows of step seconds in which a measure stays over its limit for hold seconds.
+
+    limits: measure and limit by rule. A window without events, or at the limit, ends a stretch; an alert fires when it has
+    held for so long. There is a row for each window and rule, so a rule's windows are put in order as a whole.
+    """
+    rules = F.array_compact(F.array(*(F.when(F.col(c) > most, rule) for rule, (c, most) in limits.items())))
+    bad = windows.select(F.unix_micros("start").alias("at"), F.explode(rules).alias("rule"))
+    width = int(step * 1_000_000)
+    bad = bad.withColumn("stretch", F.col("at") - F.row_number().over(Window.partitionBy("rule").orderBy("at")) * width)
+    out = bad.groupBy("rule", "stretch").agg(F.min("at").alias("began"), F.max("at").alias("last"), F.count(F.lit(1)).alias("windows")).where(F.col("windows") * width >= hold * 1_000_000)
+    time = lambda c: F.timestamp_micros(c.cast("long"))
+    return out.select("rule", time(F.col("began")).alias("began"), time(F.col("began") + F.lit(int(hold * 1_000_000))).alias("fired"), time(F.col("last") + F.lit(width)).alias("ended"), "windows")
+
+
 def token_bucket(events: DataFrame, per_minute: float, burst: float) -> DataFrame:
     """user_id, event_id, allowed of a stream: the state of a user is the tokens left and the time of the last event."""
     rate = per_minute / 60.0

@@ -117,3 +117,32 @@ def test_cases_go_to_the_next_reviewer_with_room(spark):
     got = V.with_capacity(rows, "team", ["i"], "opens", "reviewer", ["a", "b"], 2).orderBy("i").collect()
     assert [(r["assigned_to"], r["active"]) for r in got] == [("a", 1), ("b", 1), ("a", 2), ("b", 2), (None, None), (None, 1), ("b", 2), (None, None), (None, 1), (None, 0), (None, 0), ("a", 1)]
     assert V.with_capacity(rows, "team", ["i"], "opens", "reviewer", [], 2).where("assigned_to IS NOT NULL").count() == 0
+
+
+def test_alerts_fire_only_after_holding_long_enough(spark):
+    """Stretches just below and just as long as the limit, a gap without events, a window at the limit, two rules at once."""
+    from tallyweave.streaming import events as S
+
+    share = {0: 0.5, 1: 0.5, 3: 0.5, 4: 0.5, 5: 0.5, 6: 0.1, 7: 0.5, 8: 0.5, 9: 0.2, 10: 0.5}
+    slow = {7: 9.0, 8: 9.0, 9: 9.0, 10: 9.0}
+    windows = spark.createDataFrame([(k * 60, v, slow.get(k, 1.0)) for k, v in share.items()], "s long, share double, p95 double").withColumn("start", F.timestamp_seconds("s"))
+    got = S.held_alerts(windows, {"errors": ("share", 0.2), "latency": ("p95", 5.0)}, 60.0, 180.0).select("rule", *(F.unix_timestamp(c).alias(c) for c in ("began", "fired", "ended")), "windows").collect()
+    assert sorted(tuple(r) for r in got) == [("errors", 180, 360, 360, 3), ("latency", 420, 600, 660, 4)]
+    assert S.held_alerts(windows, {"errors": ("share", 0.2)}, 60.0, 240.0).count() == 0
+
+
+def test_p95_of_a_window_is_exact(spark):
+    from tallyweave.streaming import events as S
+
+    rows = spark.range(1, 1001).selectExpr("id AS event_id", "timestamp_seconds(id % 50) AS ts", "'error' AS event_type", "CAST(id AS double) AS value")
+    assert [(r["n"], r["error_share"], r["p95"]) for r in S.measured(rows, "1 minute").collect()] == [(1000, 1.0, 950.0)]
+
+
+def test_pages_go_on_where_the_last_one_ended(spark):
+    from tallyweave.operators import access as A
+
+    rows = spark.createDataFrame([(i % 7 / 10.0, i) for i in range(40)], "c double, i long").repartition(3)
+    want, got, after = sorted(((c, i) for c, i in [tuple(r) for r in rows.collect()]), key=lambda r: (-r[0], r[1])), [], None
+    while page := [tuple(r) for r in A.page_after(rows, {"c": True, "i": False}, 9, 100, after).collect()]:
+        got, after = got + page, {"c": page[-1][0], "i": page[-1][1]}
+    assert got == want
