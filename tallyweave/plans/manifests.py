@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical as J
 from ..operators import manifest as M
+from ..operators import verification as V
 from .inputs import table
 
 NOW = "2024-06-01 00:00:00"
@@ -64,7 +65,24 @@ def verification_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.verdicts(checked(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (attestation_manifests, public_manifests, manifest_verification, verification_counts)}
+def public_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer as a batch that is asked for, and as many ids again as there are fiftieths that no batch has."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    own = lambda x: F.sha2(F.concat(F.lit(x), k.cast("string")), 256)
+    pick = lambda n, values: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (F.floor(k / n) % len(values) + 1).cast("int"))
+    batch, root, mode = F.concat(F.lit("B"), k.cast("string")), F.when(k % 9 != 4, own("root")), F.when(k % 8 != 3, "PRODUCTION_REAL")
+    metrics = F.struct(F.round(F.col("c_acctbal"), 2).alias("saved"), (k % 7).alias("replays"))
+    digest = F.sha2(F.concat(F.lit('{"replays":'), (k % 7).cast("string"), F.lit(',"saved":'), J.double(F.round("c_acctbal", 2), J.JCS), F.lit("}")), 256)
+    payload = F.struct(F.when(k % 23 == 1, "other").otherwise(own("root")).alias("root_hash"), F.when(k % 23 == 2, "SIMULATION").otherwise("PRODUCTION_REAL").alias("artifact_mode"), F.when(k % 23 == 3, None).otherwise(batch).alias("batch_id"), F.when(k % 23 == 4, "0").when(k % 23 != 5, digest).alias("metrics_hash"))
+    batches = c.select(
+        k.alias("k"), batch.alias("batch_id"), pick(1, ["completed", "completed", "completed", "queued", "completed", "aborted", "completed", "completed", None, "completed", "completed"]).alias("status"), root.alias("root_hash"), mode.alias("artifact_mode"), F.when(k % 6 != 5, metrics).alias("metrics"), payload.alias("payload"),
+        F.when(k % 5 != 2, "s").alias("signature"), F.when(k % 4 != 1, "a").otherwise("").alias("attestation"), F.when(k % 5 != 2, F.lit("2024-05-31T10:00:00Z")).alias("signed_at"), pick(1, ["ACTIVE", "RELEASED", None]).alias("hold"),
+    )
+    asked = batches.select("batch_id").unionByName(c.where(k % 50 == 0).select(F.concat(F.lit("X"), k.cast("string")).alias("batch_id")))
+    return V.looked_up(asked, batches, "payload", "metrics", F.col("k") % 13 != 7)
+
+
+QUERIES = {f.__name__: f for f in (attestation_manifests, public_manifests, manifest_verification, verification_counts, public_verification)}
 
 _H = "sha256('{}' || c_custkey)"
 _ANCHOR = f"""'"anchor_hash":"' || CASE WHEN c_custkey % 17 = 4 THEN 'short' ELSE {_H.format("data")} END || '","anchor_timestamp":"t\"'"""
@@ -85,3 +103,13 @@ ORACLE = {
     "manifest_verification": f"WITH {CHECKED} SELECT * FROM checked",
     "verification_counts": f"WITH {CHECKED} SELECT coalesce(failure_reason, 'success') AS reason, count(*)::BIGINT AS n FROM checked GROUP BY 1",
 }
+_SAVED = "round(c_acctbal, 2)"
+ORACLE["public_verification"] = f"""WITH b AS (
+  SELECT c_custkey AS k, 'B' || c_custkey AS batch_id, ['completed', 'completed', 'completed', 'queued', 'completed', 'aborted', 'completed', 'completed', NULL, 'completed', 'completed'][c_custkey % 11 + 1] AS status, CASE WHEN c_custkey % 9 <> 4 THEN {_H.format("root")} END AS root,
+    c_custkey % 5 <> 2 AS plain, c_custkey % 4 <> 1 AS attested, {_H.format("root")} AS own, sha256('{{"replays":' || c_custkey % 7 || ',"saved":' || CASE WHEN {_SAVED} = 0 THEN '0' ELSE regexp_replace({_SAVED}::VARCHAR, '\\.0$', '') END || '}}') AS digest FROM customer),
+f AS (SELECT *, CASE WHEN attested AND k % 13 <> 7 THEN CASE
+    WHEN root IS NOT NULL AND k % 23 = 1 THEN 'root_hash mismatch: payload=other, stored=' || root WHEN k % 8 <> 3 AND k % 23 = 2 THEN 'artifact_mode mismatch: payload=SIMULATION, manifest=PRODUCTION_REAL'
+    WHEN k % 23 = 3 THEN 'batch_id mismatch: payload=None, stored=' || batch_id WHEN k % 6 <> 5 AND k % 23 = 4 THEN 'metrics_hash mismatch: payload=0, recomputed=' || digest END END AS fault FROM b)
+SELECT batch_id, CASE WHEN status = 'queued' THEN 'PENDING' WHEN status = 'aborted' THEN 'ERROR' WHEN (plain OR attested) AND k % 13 <> 7 AND fault IS NULL AND root IS NOT NULL THEN 'VERIFIED' WHEN NOT plain AND NOT attested AND root IS NULL THEN 'UNKNOWN' ELSE 'UNVERIFIED' END AS public_status,
+  fault, plain AND root IS NOT NULL AS sealed, CASE WHEN plain THEN '2024-05-31' END AS signed_on, k % 3 = 0 AS held FROM f
+UNION ALL SELECT 'X' || k, 'NOT_FOUND', NULL, false, NULL, false FROM b WHERE k % 50 = 0"""
