@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import routing
-from ..shared import shared_path
+from ..shared import shared_path, written
 from ..sources import files, sinks
 from . import documents as docs_plan
 from .inputs import RESULTS, results, table
@@ -115,13 +115,30 @@ def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(files.detected_type(F.col("content"), F.col("path")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (csv_roundtrip, uploads_ingested, upload_failures, json_export, evidence_rows_export, pack_verify, dataset_routing, file_types)}
+def evidence_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs of all batches, with what is read back from their files; a file of one batch is changed after, one of another lost."""
+    path, rows = shared_path(spark, "packs"), results(spark, sf_dir).withColumn("source_timestamp", F.col("source_timestamp").cast("string"))
+    audits = rows.where("layer LIKE 'L4%'").select("trace_id", "row_index", F.lit("routed_to_review").alias("event_type"))
+    summaries = rows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("total"), F.count("resolved").alias("resolved"))
+    sinks.write_packs(rows, audits, summaries, path, "2024-06-01T00:00:00Z")
+    read = spark.read.option("header", True).option("escape", '"').csv(f"{path}/files/results").groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.count("resolved").alias("n_resolved"))
+    read = read.join(spark.read.json(f"{path}/files/audit").groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_audit")), "trace_id", "left")
+    read = written(read.join(spark.read.json(f"{path}/files/summary").select("trace_id", "total"), "trace_id"), "read-back")
+    table(spark, sf_dir, "region").select("r_name").coalesce(1).write.mode("overwrite").text(f"{path}/files/audit/trace_id=B2")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/files/summary/trace_id=B4")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    checked = sinks.verify_packs(spark, path).select("trace_id", "manifest_ok", "valid")
+    return read.join(checked, "trace_id")
+
+
+QUERIES = {f.__name__: f for f in (csv_roundtrip, uploads_ingested, upload_failures, json_export, evidence_rows_export, pack_verify, evidence_packs, dataset_routing, file_types)}
 
 
 ORACLE = {
     "csv_roundtrip": f"WITH {RESULTS} SELECT row_index, original, resolved, layer, confidence FROM results",
     "json_export": """SELECT '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '","nation":' || CASE WHEN s_nationkey = 15 THEN 'null' ELSE s_nationkey::VARCHAR END || '}' AS json FROM supplier""",
     "evidence_rows_export": f"""WITH {docs_plan.CHAIN_SQL} SELECT doc_id, 'source_artifact' AS node_type, 1::BIGINT AS sequence FROM chained UNION ALL SELECT doc_id, CASE layer_used WHEN 1 THEN 'transformation' ELSE 'retrieval_result' END, 2 FROM chained WHERE layer_used IS NOT NULL UNION ALL SELECT doc_id, 'transformation', n_nodes FROM chained""",
+    "evidence_packs": f"WITH {RESULTS} SELECT trace_id, count(*) AS n, count(resolved) AS n_resolved, nullif(count_if(layer LIKE 'L4%'), 0)::BIGINT AS n_audit, count(*) AS total, true AS manifest_ok, trace_id NOT IN ('B2', 'B4') AS valid FROM results GROUP BY 1",
     "pack_verify": """WITH old AS (SELECT 'region=' || r_regionkey AS name, (SELECT string_agg(n_name, chr(10) ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) AS body FROM region),
 new AS (SELECT CASE WHEN r_regionkey = 1 THEN 'region=9' ELSE name END AS name, CASE WHEN r_regionkey IN (1, 3) THEN (SELECT string_agg(n_name, chr(10) ORDER BY n_nationkey) FROM nation) ELSE body END AS body FROM old JOIN region ON name = 'region=' || r_regionkey)
 SELECT CASE WHEN n.name IS NULL THEN 'missing' WHEN o.name IS NULL THEN 'unexpected' WHEN md5(o.body) = md5(n.body) THEN 'ok' ELSE 'changed' END AS status, count(*)::BIGINT AS n, string_agg(coalesce(o.name, n.name), ',' ORDER BY coalesce(o.name, n.name)) AS names

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import canonical as J
+
 CSV_COLUMNS = {
     "person": ["row_index", "original", "resolved", "match_type", "match_id", "confidence", "layer", "decision_path"],
     "company": ["row_index", "original", "resolved", "layer", "confidence", "entity_type", "decision_path", "source_timestamp"],
@@ -78,10 +80,12 @@ def write_once(df: DataFrame, path: str) -> str:
     raise ValueError(f"{path} holds other rows")
 
 
-def manifest(spark, path: str) -> DataFrame:
-    """path, size and sha256 of the files under a folder."""
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """path, name (below the folder), size and sha256 of the files under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    # Readers may spell the scheme of a path in another way than it was given.
+    below = F.substring_index("path", f"{path.rstrip('/').rpartition('/')[2]}/", -1)
+    return files.select("path", below.alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -89,3 +93,53 @@ def verify(expected: DataFrame, actual: DataFrame) -> DataFrame:
     e, a = expected.select("name", F.col("sha256").alias("want")), actual.select("name", F.col("sha256").alias("got"))
     status = F.when(F.col("got").isNull(), "missing").when(F.col("want").isNull(), "unexpected").when(F.col("want") == F.col("got"), "ok").otherwise("changed")
     return e.join(a, "name", "full_outer").select("name", status.alias("status"))
+
+
+#: Rows of a pack's file at most, so that a file can be hashed as a whole.
+PACK_ROWS = 100_000
+#: The form of a pack's manifest.
+PACK_VERSION = "1.0"
+
+
+def write_packs(results: DataFrame, audits: DataFrame, summaries: DataFrame, path: str, made_at: str, rows: int = PACK_ROWS) -> None:
+    """Evidence packs of all batches (trace_id): results as CSV, audit events and a summary as JSON lines, and a manifest for each.
+
+    Files go to kind/trace_id=.../, a batch of many rows to several; the manifests (their files by name with size and hash,
+    and the hash of that list) are written last, so that a pack without one is not whole.
+    """
+    results.write.partitionBy("trace_id").option("header", True).option("escape", '"').option("maxRecordsPerFile", rows).csv(f"{path}/files/results")
+    audits.write.partitionBy("trace_id").option("maxRecordsPerFile", rows).json(f"{path}/files/audit")
+    summaries.write.partitionBy("trace_id").json(f"{path}/files/summary")
+    _manifests(members(results.sparkSession, path), made_at).write.json(f"{path}/manifests")
+
+
+def members(spark: SparkSession, path: str) -> DataFrame:
+    """trace_id, name, size and sha256 of the packs' files."""
+    files = manifest(spark, f"{path}/files").where(~F.col("name").rlike(r"(^|/)[._][^/]*$"))
+    return files.select(F.regexp_extract("name", "/trace_id=([^/]*)/", 1).alias("trace_id"), "name", "size", "sha256")
+
+
+def _listed(files: Column) -> Column:
+    one = lambda f: J.record({"name": J.text(f["name"]), "sha256": J.text(f["sha256"]), "size_bytes": J.whole(f["size"])})
+    return J.items(F.transform(F.array_sort(files), one))
+
+
+def _manifests(files: DataFrame, made_at: str) -> DataFrame:
+    rows = files.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("name", "size", "sha256"))).alias("files"), F.sum("size").alias("bytes"))
+    rows = rows.withColumns({"version": F.lit(PACK_VERSION), "generated_at": F.lit(made_at)})
+    return rows.withColumn("manifest_hash", _manifest_hash())
+
+
+def _manifest_hash() -> Column:
+    return F.sha2(J.record({"version": J.text(F.col("version")), "batch_id": J.text(F.col("trace_id")), "generated_at": J.text(F.col("generated_at")), "bytes": J.whole(F.col("bytes")), "files": _listed(F.col("files"))}), 256)
+
+
+def verify_packs(spark: SparkSession, path: str) -> DataFrame:
+    """trace_id, manifest_ok, files, wrong (names with their status, in order) and valid of every pack; files of no manifest make an invalid pack."""
+    kinds = "trace_id string, files array<struct<name:string,size:long,sha256:string>>, bytes long, version string, generated_at string, manifest_hash string"
+    kept = spark.read.schema(kinds).json(f"{path}/manifests").withColumn("manifest_ok", _manifest_hash().eqNullSafe(F.col("manifest_hash")))
+    status = verify(kept.select(F.inline("files")), members(spark, path)).withColumn("trace_id", F.regexp_extract("name", "/trace_id=([^/]*)/", 1))
+    bad = F.array_sort(F.collect_list(F.when(F.col("status") != "ok", F.concat_ws(":", "name", "status"))))
+    found = status.groupBy("trace_id").agg(F.count(F.lit(1)).alias("files"), bad.alias("wrong"))
+    out = found.join(kept.select("trace_id", "manifest_ok"), "trace_id", "full_outer").withColumns({"manifest_ok": F.coalesce("manifest_ok", F.lit(False)), "files": F.coalesce("files", F.lit(0)), "wrong": F.coalesce("wrong", F.array().cast("array<string>"))})
+    return out.select("trace_id", "manifest_ok", "files", "wrong", (F.col("manifest_ok") & (F.size("wrong") == 0)).alias("valid"))
