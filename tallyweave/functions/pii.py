@@ -67,13 +67,33 @@ def found_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, text).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, category string, value string, start long, end long")
 
 
-#: Keys of logged objects whose values are never shown.
-RESTRICTED = ("content", "document_content", "masked_content", "raw_content", "raw_prompt", "raw_response", "password", "secret", "token", "authorization")
+#: Keys of logged objects whose values are never shown, and what stands for them.
+RESTRICTED = ("password", "secret", "token", "api_key", "private_key", "phi", "medical_record", "diagnosis", "treatment", "health_info", "patient_data", "mrn")
+HIDDEN = "[RESTRICTED_REDACTED]"
 
 
 def scrub_fields(fields: Column) -> Column:
     """A logged object (a map of text) with every value scrubbed, those of restricted keys as a whole."""
-    return F.transform_values(fields, lambda k, v: F.when(F.lower(k).isin(*RESTRICTED), "[REDACTED]").otherwise(scrub_log(v)))
+    return F.transform_values(fields, lambda k, v: F.when(F.lower(k).isin(*RESTRICTED), HIDDEN).otherwise(scrub_log(v)))
+
+
+def scrub_value(c: Column, kind: T.DataType) -> Column:
+    """A logged value of any type with all texts in it scrubbed, however deep, in objects within lists too; members of restricted names give way as a whole.
+
+    A restricted member becomes the text that says so where it is one, else null, since a column keeps its type. kind is the
+    column's type.
+    """
+    if isinstance(kind, T.StringType):
+        return scrub_log(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda v: scrub_value(v, kind.elementType))
+    gone = lambda member: F.lit(HIDDEN if isinstance(member, T.StringType) else None).cast(member)
+    if isinstance(kind, T.StructType):
+        parts = [(gone(f.dataType) if f.name.lower() in RESTRICTED else scrub_value(c.getField(f.name), f.dataType)).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*parts))
+    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        return F.transform_values(c, lambda k, v: F.when(F.lower(k).isin(*RESTRICTED), gone(kind.valueType)).otherwise(scrub_value(v, kind.valueType)))
+    return c
 
 
 def mask_text(text: str) -> tuple[str, list[tuple[str, str]]]:

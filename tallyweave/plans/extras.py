@@ -109,7 +109,16 @@ def log_fields_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", pii.scrub_fields(fields).alias("f")).select("c_custkey", F.col("f")["note"].alias("note"), F.col("f")["Password"].alias("password"))
 
 
-LIST = (review_cases, reason_priorities, model_call_cap, evidence_report, evidence_csv, html_escaped, csv_cells, shard_rows, audit_appended, cumulative_counters, routing_benchmark, routing_metrics, trust_assertions, pii_spans, log_fields_scrubbed)
+def log_records_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested log records: texts in lists, objects and maps."""
+    call = F.concat(F.lit("call 555-123-4567 by "), F.col("c_name"))
+    people = F.array(F.struct(call.alias("note"), F.col("c_name").alias("Token")), F.struct(F.lit("mail a@b.org").alias("note"), F.lit(None).cast("string").alias("Token")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.struct(people.alias("people"), F.create_map(F.lit("a"), F.array(call), F.lit("API_KEY"), F.array(call)).alias("by_key"), F.struct(F.col("c_acctbal").alias("diagnosis"), F.col("c_nationkey").alias("n")).alias("inner")).alias("r"))
+    out = rows.select("c_custkey", pii.scrub_value(F.col("r"), rows.schema["r"].dataType).alias("r"))
+    return out.select("c_custkey", F.to_json("r", {"ignoreNullFields": "false"}).alias("record"))
+
+
+LIST = (review_cases, reason_priorities, model_call_cap, evidence_report, evidence_csv, html_escaped, csv_cells, shard_rows, audit_appended, cumulative_counters, routing_benchmark, routing_metrics, trust_assertions, pii_spans, log_fields_scrubbed, log_records_scrubbed)
 QUERIES = {f.__name__: f for f in LIST}
 
 _ESCAPED = "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
@@ -130,5 +139,7 @@ ORACLE = {
 SELECT 'mixed_dataset' AS decision, 2::BIGINT AS n, 0.0::DOUBLE AS mean, 2::BIGINT AS low, 0::BIGINT AS high UNION ALL SELECT 'person_dataset', 1, 0.0, 1, 0 UNION ALL SELECT 'invalid_dataset', 1, 0.0, 1, 0 UNION ALL SELECT 'empty_dataset', 1, 0.0, 1, 0 UNION ALL SELECT 'company_dataset', 2, round(r / 2, 6), 1, 0 FROM f""",
     "trust_assertions": f"""WITH {manifests.CHECKED} SELECT k, CASE WHEN success AND k % 40 < 24 THEN 'allow' ELSE 'deny' END AS decision, CASE WHEN NOT success THEN 'verification_failed' WHEN k % 40 >= 24 THEN 'receipt_too_old' END AS reason FROM checked""",
     "pii_spans": f"SELECT category, count(*)::BIGINT AS n, sum(length(v))::BIGINT AS length FROM ({_SPANS}) GROUP BY 1",
-    "log_fields_scrubbed": "SELECT c_custkey, 'call [PHONE_US_REDACTED] by ' || c_name AS note, '[REDACTED]' AS password FROM customer",
+    "log_records_scrubbed": """WITH c AS (SELECT *, 'call [PHONE_US_REDACTED] by ' || c_name AS call FROM customer)
+SELECT c_custkey, '{"people":[{"note":"' || call || '","Token":"[RESTRICTED_REDACTED]"},{"note":"mail [EMAIL_REDACTED]","Token":"[RESTRICTED_REDACTED]"}],"by_key":{"a":["' || call || '"],"API_KEY":null},"inner":{"diagnosis":null,"n":' || c_nationkey || '}}' AS record FROM c""",
+    "log_fields_scrubbed": "SELECT c_custkey, 'call [PHONE_US_REDACTED] by ' || c_name AS note, '[RESTRICTED_REDACTED]' AS password FROM customer",
 }

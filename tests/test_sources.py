@@ -182,3 +182,31 @@ def test_rows_beyond_the_limit_are_told(spark, tmp_path, monkeypatch):
     assert files.read_table(spark, path, cut=True).count() == files.MAX_ROWS
     files.log_failures(files.ingested(spark, path), str(tmp_path / "log"))
     assert [r["error"] for r in spark.read.json(str(tmp_path / "log")).collect()] == ["rows left out: 3"]
+
+
+def test_packs_tell_what_was_changed(spark, tmp_path):
+    """Many files a batch, an empty batch's absence, a changed file, a lost one, one that nobody listed, and a manifest that was edited."""
+    rows = spark.createDataFrame([(f"B{i % 4}", i, f'n "{i}", x\ny') for i in range(400)], "trace_id string, row_index long, original string").repartition(3)
+    path = str(tmp_path / "packs")
+    sinks.write_packs(rows, rows.where("row_index < 40"), rows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")), path, "t", rows=7)
+    got = {r["trace_id"]: r for r in sinks.verify_packs(spark, path).collect()}
+    assert set(got) == {"B0", "B1", "B2", "B3"} and all(r["valid"] and r["manifest_ok"] and r["files"] > 15 for r in got.values())
+    results = sorted((tmp_path / "packs/files/results").glob("trace_id=B0/*.csv"))
+    results[0].write_text("other")
+    results[1].unlink()
+    (tmp_path / "packs/files/audit/trace_id=B1/new.json").write_text("{}")
+    for crc in (tmp_path / "packs").rglob(".*.crc"):
+        crc.unlink()
+    kept = next(p for p in (tmp_path / "packs/manifests").glob("*.json") if '"trace_id":"B2"' in p.read_text())
+    kept.write_text(kept.read_text().replace('"generated_at":"t"', '"generated_at":"u"'))
+    got = {r["trace_id"]: r for r in sinks.verify_packs(spark, path).collect()}
+    assert sorted(w.rsplit(":", 1)[1] for w in got["B0"]["wrong"]) == ["changed", "missing"] and got["B1"]["wrong"] == ["audit/trace_id=B1/new.json:unexpected"]
+    assert not any(got[b]["manifest_ok"] for b in ("B2",)) and not any(got[b]["valid"] for b in ("B0", "B1", "B2"))
+
+
+def test_records_are_scrubbed_however_deep(spark):
+    from tallyweave.functions import pii
+
+    rows = spark.createDataFrame([([{"note": "a@b.org", "TOKEN": "x", "n": 3}], {"Secret": [1], "k": [2]}, None)], "l array<struct<note:string,TOKEN:string,n:int>>, m map<string,array<int>>, s struct<phi:int,t:string>").select(F.struct("l", "m", "s").alias("r"))
+    got = rows.select(pii.scrub_value(F.col("r"), rows.schema["r"].dataType).alias("r")).collect()[0]["r"]
+    assert [tuple(x) for x in got["l"]] == [("[EMAIL_REDACTED]", pii.HIDDEN, 3)] and got["m"] == {"Secret": None, "k": [2]} and got["s"] is None
