@@ -120,3 +120,12 @@ def test_similar_precedents_by_both_ways(spark, least):
         got = {r["key"]: (r["precedent"], r["similarity"]) for r in D.similar_precedents(docs, precedents, least, most).collect()}
         assert got == want
     assert D.similar_precedents(docs, precedents.limit(0), least).count() == 0
+
+
+def test_normal_forms_in_tasks_are_those_of_columns(spark):
+    texts = ["Ünïcode ñ ß 漢字 ½ ² x_y", "İstanbul ΣΑΣ ﬁ", "a\u0301b\u200dc\u2019d", "Ⅻ ⓐ 𝔘 😀!", "--", "", "  a  ", "١٢٣ ‿ x", "".join(map(chr, range(0x20, 0x530)))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", D.normal_text(F.col("t")).alias("n"))
+    for r in df.collect():
+        grams = {r["n"][i : i + 2] for i in range(len(r["n"]) - 1)} if len(r["n"]) > 1 else {r["n"]} - {""}
+        codes = {ord(g) if len(g) == 1 else ord(g[0]) << 21 | ord(g[1]) for g in grams}
+        assert set(D._gram_codes(r["t"]).tolist()) == codes, r["t"][:40]
