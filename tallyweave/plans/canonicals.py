@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canonical as J
+from ..shared import spread
 from .inputs import table
 
 #: A private-use key sorts after one beyond the basic plane by UTF-16 units, and before it by code points.
@@ -17,7 +18,7 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, k = F.col("o_totalprice"), F.col("o_orderkey")
     scales = [1.0, 1e-9, 1e-300, 1e15, 1e30, -1.0 / 3]
     note = F.concat(F.lit('a "quoted" \\ line\n\x01\x1f\x7f é'), F.col("o_orderpriority"))
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         k.alias("id"),
         F.struct(
             F.struct(k.alias("key"), F.when(k % 2 == 0, F.col("o_orderstatus")).alias("Status"), (k % 3 == 0).alias("é")).alias("order"), F.array(*(x * s for s in scales)).alias("amounts"),
@@ -31,19 +32,19 @@ def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = nested(spark, sf_dir)
     kind = rows.schema["v"].dataType
     forms = {form: J.value(F.col("v"), kind, form) for form in (J.JCS, J.SIGNED, J.PLAIN)}
-    return rows.select("id", *(c.alias(f) for f, c in forms.items()), F.sha2(forms[J.JCS], 256).alias("jcs_hash"))
+    return rows.select("id", *(c.alias(f) for f, c in forms.items())).withColumn("jcs_hash", F.sha2(J.JCS, 256))
 
 
 def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same values given as JSON text of any layout."""
     text = F.concat(F.lit('{ "z": [1, 2.50, {"b": '), (F.col("o_totalprice") * 1e15).cast("string"), F.lit(', "a": [[], {}, null, true]}],\n "note": "\\u0041\\t\\u001F", "id" : '), F.col("o_orderkey").cast("string"), F.lit(', "price": '), F.col("o_totalprice").cast("string"), F.lit("}"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), J.json_value(text).alias("jcs"), F.sha2(J.json_value(text, J.SIGNED), 256).alias("signed_hash"))
+    return spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("id"), J.json_value(text).alias("jcs"), F.sha2(J.json_value(text, J.SIGNED), 256).alias("signed_hash"))
 
 
 def half_even_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eighths lie between two hundredths in half of all cases; other ties are none by their binary value."""
     x = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").select("o_orderkey", *(J.rounded(c, n).alias(name) for name, c, n in (("eighths", F.col("o_orderkey") / 8.0, 2), ("thousandths", F.col("o_orderkey") / 1000.0, 2), ("price", x, 1), ("share", x / 7e6, 6), ("whole", x / 2, 0))))
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", *(J.rounded(c, n).alias(name) for name, c, n in (("eighths", F.col("o_orderkey") / 8.0, 2), ("thousandths", F.col("o_orderkey") / 1000.0, 2), ("price", x, 1), ("share", x / 7e6, 6), ("whole", x / 2, 0))))
 
 
 QUERIES = {f.__name__: f for f in (canonical_values, canonical_json, half_even_values)}
