@@ -118,10 +118,10 @@ def test_pipeline_runs_whole(spark, sf):
 
 def test_queries_agree_with_sql(spark, sf):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "benchmark"):
+    for t in ("documents", "pages", "conversations", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    text = lambda rows: sorted(tuple(map(str, r)) for r in rows)
     for name, sql in queries.ORACLE.items():
-        got = queries.QUERIES[name](spark, sf).toPandas()
-        want = con.sql(sql).df()[list(got.columns)]
-        text = lambda df: sorted(map(tuple, df.astype(object).where(df.notna(), None).astype(str).to_numpy().tolist()))
-        assert text(got) == text(want), name
+        got, want = queries.QUERIES[name](spark, sf), con.sql(sql)
+        # As rows, not as pandas: that turns whole numbers beside nulls into floats.
+        assert text(got.collect()) == text([[r[want.columns.index(c)] for c in got.columns] for r in want.fetchall()]), name
