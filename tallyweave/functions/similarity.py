@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +40,68 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+#: Names of more characters are compared one by one; those of others stand in the bits of a whole number.
+WIDE = 64
+
+
+def encoded(names: list[str]) -> list[tuple[int, np.ndarray, dict[str, np.ndarray] | None]]:
+    """Names by length: the length, their rows, and for each character the places where each name has it, as bits."""
+    by_length: dict[int, list[int]] = {}
+    for row, name in enumerate(names):
+        by_length.setdefault(len(name), []).append(row)
+    out = []
+    for n, rows in by_length.items():
+        if n > WIDE:
+            out.append((n, np.array(rows), None))
+            continue
+        kind, masks = (np.uint32 if n <= 32 else np.uint64), {}
+        codes = np.array([names[r] for r in rows], dtype=f"U{max(n, 1)}").view(np.uint32).reshape(len(rows), -1)
+        for j in range(n):
+            for c in np.unique(codes[:, j]):
+                masks.setdefault(chr(c), np.zeros(len(rows), kind))[codes[:, j] == c] |= kind(1 << j)
+        out.append((n, np.array(rows), masks))
+    return out
+
+
+def jaro_winkler_to_all(a: str, names: list[str], groups: list[tuple[int, np.ndarray, dict[str, np.ndarray] | None]]) -> np.ndarray:
+    """jaro_winkler_of(a, b) for each b of names, whose encoded form is groups: all names of one length step through a at once."""
+    out = np.zeros(len(names))
+    for n, rows, masks in groups:
+        if masks is None:
+            out[rows] = [jaro_winkler_of(a, names[r]) for r in rows]
+            continue
+        if not a or not n:
+            continue
+        kind = np.uint32 if n <= 32 else np.uint64
+        reach, full = max(max(len(a), n) // 2 - 1, 0), (1 << n) - 1
+        taken, hits = np.zeros(len(rows), kind), []
+        for i, c in enumerate(a):
+            near = (((1 << (i + reach + 1)) - 1) & ~((1 << max(0, i - reach)) - 1)) & full
+            if c not in masks or not near:
+                continue
+            free = masks[c] & kind(near)
+            free &= ~taken
+            free &= -free  # the first place that is left
+            taken |= free
+            hits.append((masks[c], free != 0))
+        m, moved, rest = np.zeros(len(rows), np.int16), np.zeros(len(rows), np.int16), taken
+        for mask, hit in hits:
+            first = rest & -rest
+            first *= hit
+            m += hit
+            rest = rest ^ first
+            first &= mask
+            moved += hit & (first == 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            jaro = np.where(m > 0, (m / len(a) + m / n + (m - moved // 2) / m) / 3, 0.0)
+        prefix, same = np.zeros(len(rows)), np.ones(len(rows), bool)
+        for j, c in enumerate(a[: min(4, n)]):
+            same &= (masks[c] & kind(1 << j) != 0) if c in masks else False
+            prefix += same
+        out[rows] = np.where(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro), jaro)
+    return out
+
+
 #: The classic rules in the order of the text: at a place, the first pattern that holds gives the code.
 _START = [(r"^(KN|GN|PN|AE|WR)", lambda m: m[0][1]), (r"^X", lambda m: "S"), (r"^WH", lambda m: "W")]
 _RULES = [
@@ -68,6 +132,25 @@ def metaphone_of(name: str) -> str:
     return "".join(out)
 
 
+def closest_of(least: float):
+    """Of two lists of names (the second with how often each occurs): the greatest likeness of each first name to the second ones, and how many reach least to six places."""
+
+    @F.pandas_udf("array<struct<best:double,close:long>>")
+    def closest(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        held, groups = None, []
+        for names, others, times in parts:
+            out = []
+            for mine, theirs, n in zip(names, others, times, strict=True):
+                theirs = list(theirs)
+                if theirs != held:
+                    held, groups = theirs, encoded(theirs)
+                likes = (jaro_winkler_to_all(a, theirs, groups) for a in mine)
+                out.append([{"best": float(x.max()), "close": int(n[np.round(x, 6) >= least].sum())} for x in likes])
+            yield pd.Series(out)
+
+    return closest
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

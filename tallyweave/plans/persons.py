@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..functions.similarity import jaro_winkler
 from ..operators import persons as P
 from .inputs import table
 from .names import names
@@ -50,8 +49,9 @@ def person_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
 def person_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' and customers' names of one nation by likeness of the numbers' digits."""
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    pairs = s.join(c, s["s_nationkey"] == c["c_nationkey"]).select("s_suppkey", "c_custkey", jaro_winkler(F.lower("s_name"), F.lower("c_name")).alias("jw"))
-    return pairs.groupBy("s_suppkey").agg(F.max(F.round("jw", 6)).alias("best"), F.count_if(F.round("jw", 6) >= 0.75).alias("close"))
+    names = s.select(F.col("s_nationkey").alias("group"), F.col("s_suppkey").alias("key"), F.lower("s_name").alias("name"))
+    found = P.closest(names, c.select(F.col("c_nationkey").alias("group"), F.lower("c_name").alias("name")), 0.75)
+    return found.select(F.col("key").alias("s_suppkey"), F.round("best", 6).alias("best"), "close")
 
 
 def person_fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,3 +214,27 @@ def test_similar_persons_are_those_of_the_whole_list(spark):
         want += [(i, k, r["id"], r["score"]) for k, r in enumerate(mine[:5], 1)]
     got = sorted(tuple(r) for r in P.fuzzy(rows, plans.watchlist(spark)).select("row_index", "k", "id", "score").collect())
     assert got == want and {i for i, *_ in got} >= {0, 1, 2, 3, 4, 6, 12, 13}
+
+
+def test_closest_names_in_blocks(spark):
+    """Against all pairs: repeated and missing names, blocks smaller than a group, names too long for bits, a group without others."""
+    import random
+
+    from tallyweave.functions.similarity import encoded, jaro_winkler_of, jaro_winkler_to_all
+
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abcd\U0001f600 1") for _ in range(rng.choice([0, 1, 4, 9, 33, 64, 70])))
+    pool = [name() for _ in range(60)]
+    for a in pool:
+        assert jaro_winkler_to_all(a, pool, encoded(pool)).tolist() == pytest.approx([jaro_winkler_of(a, b) for b in pool], abs=1e-12)
+    names = [(i % 4, i // 2, rng.choice([*pool, None])) for i in range(80)]
+    others = [(i % 3, rng.choice([*pool, None])) for i in range(150)]
+    want = {}
+    for g, k, a in names:
+        likes = [jaro_winkler_of(a, b) if a is not None and b is not None else None for h, b in others if h == g]
+        if likes:
+            best, close = want.get(k, (None, 0))
+            likes = [x for x in likes if x is not None]
+            want[k] = (max([*([best] if best is not None else []), *likes], default=None), close + sum(round(x, 6) >= 0.6 for x in likes))
+    got = P.closest(spark.createDataFrame(names, "group long, key long, name string"), spark.createDataFrame(others, "group long, name string"), 0.6, 7, 11).collect()
+    assert {r["key"]: (r["best"] and round(r["best"], 9), r["close"]) for r in got} == {k: (b and round(b, 9), c) for k, (b, c) in want.items()}
