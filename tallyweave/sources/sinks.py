@@ -19,8 +19,13 @@ def with_columns(df: DataFrame, kind: str) -> DataFrame:
     return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in CSV_COLUMNS[kind]))
 
 
-def write_csv(df: DataFrame, kind: str, path: str) -> None:
-    with_columns(df, kind).write.option("header", True).option("escape", '"').csv(path)
+#: Rows of a written file at most, so that it can be hashed, and read back, as a whole.
+PACK_ROWS = 100_000
+
+
+def write_csv(df: DataFrame, kind: str, path: str, rows: int = PACK_ROWS) -> None:
+    """The export as CSV; a task of many rows writes several files, each with the header."""
+    with_columns(df, kind).write.option("header", True).option("escape", '"').option("maxRecordsPerFile", rows).csv(path)
 
 
 def as_json(df: DataFrame) -> DataFrame:
@@ -95,8 +100,6 @@ def verify(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return e.join(a, "name", "full_outer").select("name", status.alias("status"))
 
 
-#: Rows of a pack's file at most, so that a file can be hashed as a whole.
-PACK_ROWS = 100_000
 #: The form of a pack's manifest.
 PACK_VERSION = "1.0"
 

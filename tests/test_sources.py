@@ -210,3 +210,11 @@ def test_records_are_scrubbed_however_deep(spark):
     rows = spark.createDataFrame([([{"note": "a@b.org", "TOKEN": "x", "n": 3}], {"Secret": [1], "k": [2]}, None)], "l array<struct<note:string,TOKEN:string,n:int>>, m map<string,array<int>>, s struct<phi:int,t:string>").select(F.struct("l", "m", "s").alias("r"))
     got = rows.select(pii.scrub_value(F.col("r"), rows.schema["r"].dataType).alias("r")).collect()[0]["r"]
     assert [tuple(x) for x in got["l"]] == [("[EMAIL_REDACTED]", pii.HIDDEN, 3)] and got["m"] == {"Secret": None, "k": [2]} and got["s"] is None
+
+
+def test_exports_of_one_task_come_back_whole(spark, tmp_path):
+    """More rows in one task than the reader takes from a file."""
+    rows = files.MAX_ROWS + 50_000
+    sinks.write_csv(spark.range(rows).selectExpr("id AS row_index", "concat('n', id) AS original").coalesce(1), "company", str(tmp_path / "out"))
+    back = files.ingested(spark, str(tmp_path / "out")).where("cells IS NOT NULL")
+    assert back.agg(F.count(F.lit(1)), F.countDistinct(F.col("cells")[0]), F.max("left_out")).first() == (rows, rows, 0)
