@@ -128,45 +128,69 @@ def stage_stream(stages: DataFrame, last_stage: str, idle: float) -> DataFrame:
     return with_state(rows, "key", _Stages(last_stage, idle), f"key {rows.schema['key'].dataType.simpleString()}, began double, place long, id long, stage string, ended string")
 
 
-class _Deliveries(_Timed):
-    state = "attempts long, due double, payload string"
-
-    def __init__(self, deliver: Callable[[str, int], bool], most: int, longest: float) -> None:
-        self.deliver, self.most, self.longest = deliver, most, longest
-
-    def tried(self, key: Any, held: tuple, upto: float) -> Iterator[pd.DataFrame]:
-        """Attempts that are due."""
-        attempts, due, payload = held
-        out, over = [], False
-        while not over and due <= upto:
-            attempts += 1
-            good = self.deliver(payload, attempts)
-            over = good or attempts == self.most
-            out.append((key[0], attempts, due, "done" if good else "dead" if over else "failed"))
-            due += min(2.0**attempts, self.longest)
-        self.write(None if over else (attempts, due, payload), due)
-        if out:
-            yield pd.DataFrame(out, columns=["key", "attempt", "at", "outcome"])
+#: Groups of keys that share one state. A group's entries that wait are read and written as a whole, so there should be some thousands of them at most.
+GROUPS = 2048
+
+
+class _Deliveries(StatefulProcessor):
+    """A list of the entries that wait, by group of keys, and a timer for the first of them that is due."""
+
+    def __init__(self, deliver: Callable[[str, int], bool], most: int, longest: float, kind: str) -> None:
+        self.deliver, self.most, self.longest, self.kind = deliver, most, longest, kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getListState("waiting", f"key {self.kind}, attempts long, due double, payload string")
+
+    def tried(self, waiting: dict[Any, tuple], fresh: dict[Any, float], now: float) -> pd.DataFrame:
+        """Attempts that are due, of entries that wait (attempts, due and payload by key): by the watermark, new ones by their own time too."""
+        out, rest = [], []
+        for key, (attempts, due, payload) in waiting.items():
+            upto, over = max(now, fresh.get(key, now)), False
+            while not over and due <= upto:
+                attempts += 1
+                good = self.deliver(payload, attempts)
+                over = good or attempts == self.most
+                out.append((key, attempts, due, "done" if good else "dead" if over else "failed"))
+                due += min(2.0**attempts, self.longest)
+            if not over:
+                rest.append((key, attempts, due, payload))
+        if rest:
+            self.held.put(rest)
+            self.handle.registerTimer(math.ceil(min(r[2] for r in rest) * 1000))
+        else:
+            self.held.clear()
+        return pd.DataFrame(out, columns=["key", "attempt", "at", "outcome"])
+
+    def waiting(self) -> dict[Any, tuple]:
+        return {key: tuple(rest) for key, *rest in self.held.get()} if self.held.exists() else {}
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        if self.read() is None:  # an entry that waits is not put in again
-            first = _ordered(rows)[0]
-            yield from self.tried(key, (0, first["seconds"], first["payload"]), max(first["seconds"], timerValues.getCurrentWatermarkInMs() / 1000))
+        waiting, first = self.waiting(), {}
+        for part in rows:
+            for k, i, s, payload in zip(*(part[c].tolist() for c in ("key", "id", "seconds", "payload")), strict=True):
+                if k not in waiting and (k not in first or (s, i) < first[k][:2]):  # an entry that waits is not put in again
+                    first[k] = (s, i, payload)
+        waiting |= {k: (0, s, payload) for k, (s, _, payload) in first.items()}
+        yield self.tried(waiting, {k: v[0] for k, v in first.items()}, timerValues.getCurrentWatermarkInMs() / 1000)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        held = self.read()
-        if held:
-            yield from self.tried(key, held, timerValues.getCurrentWatermarkInMs() / 1000)
+        yield self.tried(self.waiting(), {}, timerValues.getCurrentWatermarkInMs() / 1000)
+
+    def close(self) -> None:
+        pass
 
 
-def deliveries(entries: DataFrame, deliver: Callable[[str, int], bool], most: int = 3, longest: float = 10.0) -> DataFrame:
+def deliveries(entries: DataFrame, deliver: Callable[[str, int], bool], most: int = 3, longest: float = 10.0, groups: int = GROUPS) -> DataFrame:
     """key, attempt, at, outcome of entries (key, id, ts, payload): each is delivered at once, else again after 2, 4, ... seconds (longest at most).
 
     deliver takes the payload and the number of the attempt, and tells whether it went well; an entry that has failed most
-    times is dead. outcome: done, failed (to be tried again) or dead.
+    times is dead. outcome: done, failed (to be tried again) or dead. Keys share their state by groups, since most have a
+    single entry; groups must stay the same over restarts.
     """
-    rows = entries.select("key", "id", "ts", F.col("payload").cast("string").alias("payload"), seconds(F.col("ts")).alias("seconds"))
-    return with_state(rows, "key", _Deliveries(deliver, most, longest), f"key {rows.schema['key'].dataType.simpleString()}, attempt long, at double, outcome string")
+    group = F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group")
+    rows = entries.select(group, "key", "id", "ts", F.col("payload").cast("string").alias("payload"), seconds(F.col("ts")).alias("seconds"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return with_state(rows, "group", _Deliveries(deliver, most, longest, kind), f"key {kind}, attempt long, at double, outcome string")
 
 
 #: What the transparency log may hold, the form of its leaves, and when a root is published.

@@ -58,6 +58,19 @@ def test_deliveries_are_tried_again_and_die_after_the_third_failure(spark, tmp_p
     assert got == want
 
 
+def test_deliveries_of_many_keys_share_few_states(spark, tmp_path):
+    """Keys of one group each go their own way; an entry that waits is not put in again, one that is over is."""
+    own = rows([0.01 * i for i in range(120)], key=lambda i: i % 50, payload=lambda i: str(i % 50 % 4)) + [(i, 900 + i, 1100.0, "x", "0", "") for i in range(50)]
+    got = in_runs(spark, tmp_path, cut(own, [60, 120]), lambda d: T.deliveries(d, lambda payload, attempt: attempt > int(payload), groups=3))
+    want = []
+    for k in range(50):
+        fails = k % 4
+        want += [(k, n + 1, round(0.01 * k + w, 6), "done" if n == fails else "dead" if n == 2 else "failed") for n, w in enumerate((0, 2, 6)) if n <= fails]
+        if not fails:  # the first of a batch, where none waits
+            want += [(k, 1, round(0.01 * min(i for i in range(60, 120) if i % 50 == k), 6), "done"), (k, 1, 100.0, "done")]
+    assert sorted((r["key"], r["attempt"], round(r["at"] - 1000, 6), r["outcome"]) for r in got) == sorted(want)
+
+
 def tree(hashes):
     while len(hashes) > 1:
         hashes = [hashlib.sha256(b"\x01" + hashes[i] + hashes[i + 1]).digest() if i + 1 < len(hashes) else hashes[i] for i in range(0, len(hashes), 2)]
