@@ -79,11 +79,16 @@ def _digits(a: Column) -> Column:
     same = lambda n: let(spelt(n), lambda t: F.when(t.cast("double") == a, t))
 
     def nearer(long: Column) -> Column:
-        """16 digits of 17 that end in 5, which may have been rounded up to it: by all digits. None where a 9 would be carried on."""
-        up = F.substring(_exact(a), 17, 1) >= "5"
-        last = F.substring(long, 17, 1).cast("int") + up.cast("int")
-        cut = F.concat(F.substring(long, 1, 16), last.cast("string"), F.substring(long, F.lit(19), F.length(long)))
-        return F.when((F.substring(long, 18, 1) == "5") & (last < 10) & (cut.cast("double") == a), cut)
+        """16 digits of 17 that end in 5, which may have been rounded up to it: by all digits. None where a 9 would be carried on.
+
+        All digits are worked out only where both ways of rounding give the same double; where one does, it is the nearer.
+        """
+        head, tail = F.substring(long, 1, 16), F.substring(long, F.lit(19), F.length(long))
+        last = F.substring(long, 17, 1).cast("int")
+        cut = lambda up: F.concat(head, (last + up).cast("string"), tail)
+        down, up = cut(0).cast("double") == a, (last < 9) & (cut(1).cast("double") == a)
+        both = F.when(F.substring(_exact(a), 17, 1) >= "5", F.when(last < 9, cut(1))).otherwise(cut(0))
+        return F.when(F.substring(long, 18, 1) == "5", F.when(down & (up | (last == 9)), both).when(down, cut(0)).when(up, cut(1)))
 
     few = F.when(a < 1e-300, F.coalesce(*(same(n) for n in range(14))))  # the smallest doubles have few digits
     return F.coalesce(few, same(14), let(spelt(16), nearer), same(15), spelt(16))
@@ -142,8 +147,17 @@ def rounded(x: Column, places: int) -> Column:
 
 
 def integer_text(x: Column) -> Column:
-    """All digits of a double that is whole."""
-    return let(x, lambda x: F.when(F.abs(x) < 2.0**63, x.cast("long").cast("string")).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), _exact(F.abs(x)))))
+    """All digits of a double that is whole: by a product of two whole numbers as long as it has 38 digits at most."""
+
+    def product(a: Column) -> Column:
+        n = F.floor(F.log2(a)).cast("int") - 61
+        m = (a * F.pow(F.lit(2.0), -n.cast("double"))).cast("long").cast("decimal(19,0)")
+        return (m * F.call_function("shiftleft", F.lit(1).cast("long"), n).cast("decimal(19,0)")).cast("string")
+
+    def digits(a: Column) -> Column:
+        return F.when(a < 2.0**122, product(a)).otherwise(_exact(a))
+
+    return let(x, lambda x: F.when(F.abs(x) < 2.0**63, x.cast("long").cast("string")).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), let(F.abs(x), digits))))
 
 
 def double(x: Column, form: str = PLAIN) -> Column:

@@ -44,6 +44,23 @@ def test_doubles_are_spelt_and_rounded_as_in_python(spark):
         odd.select(J.double(F.col("x"), J.SIGNED)).collect()
 
 
+def test_all_digits_are_worked_out_only_where_they_decide(spark, monkeypatch):
+    """Doubles of 17 digits that end in 5, and whole ones up to 2^122, in the same spelling; the digits are those of few."""
+    rng = random.Random(5)
+    xs = [x for x in (rng.uniform(1, 10) * 10.0 ** rng.randint(-300, 300) for _ in range(20000)) if len(r := repr(x).split("e")[0].replace(".", "")) == 17 and r[-1] == "5"]
+    xs += [float(rng.getrandbits(64) << rng.randint(0, 58)) for _ in range(300)] + [2.0**63, 2.0**122 - 2.0**69, 2.0**122, 2.0**125]
+    slow = J._exact
+    monkeypatch.setattr(J, "_exact", lambda a: F.when(F.lit(True), F.raise_error(F.lit("all digits")).cast("string")))
+    df = spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1)
+    got = df.where("x < 9e9").select(J.double_text(F.col("x"))).collect()
+    assert [r[0] for r in got] == [repr(x) for x in xs if x < 9e9]
+    whole = [x for x in xs[-304:] if x < 2.0**122]
+    got = spark.createDataFrame([(x,) for x in whole], "x double").select(J.integer_text(F.col("x"))).collect()
+    assert [r[0] for r in got] == [str(int(x)) for x in whole]
+    monkeypatch.setattr(J, "_exact", slow)
+    assert [tuple(r) for r in df.select(J.double_text(F.col("x")), J.double(F.col("x"), J.SIGNED)).collect()] == [(repr(x), signed(x)) for x in xs]
+
+
 def plain(v, form):
     if isinstance(v, list):
         return f"[{','.join(plain(x, form) for x in v)}]"
