@@ -49,14 +49,27 @@ def rfc3339(t: Column) -> Column:
     return F.when(good, F.concat(F.substring(t, 1, 19), F.lit("."), digits, F.lit("Z"))).when(t.isNotNull(), F.raise_error(F.concat(F.lit("not a UTC time: "), t)).cast("string"))
 
 
+def _order(results: DataFrame) -> tuple[DataFrame, list[str]]:
+    """results with what their order in a batch goes by: time, hash of the input, row index."""
+    at, digest = unused(results, "at", "digest")
+    rows = results.withColumn(at, utc_text(F.col("source_timestamp"))).withColumn(digest, F.unhex(F.sha2(F.coalesce("original", F.lit("")), 256)))
+    return rows, [at, digest, "row_index"]
+
+
 def stable_order(results: DataFrame) -> DataFrame:
     """results with pos, each row's place in its batch by time, hash of the input and row index.
 
     A batch may hold a third of all rows: places come from ranges of equal size, counted first.
     """
-    at, digest = unused(results, "at", "digest")
-    rows = results.withColumn(at, utc_text(F.col("source_timestamp"))).withColumn(digest, F.sha2(F.coalesce("original", F.lit("")), 256))
-    return O.placed(rows, "trace_id", [at, digest, "row_index"], "pos").drop(at, digest)
+    rows, order = _order(results)
+    return O.placed(rows, "trace_id", order, "pos").drop(*order[:2])
+
+
+def chain_roots(results: DataFrame) -> DataFrame:
+    """trace_id, root and n of the hash chain of each batch's canonical decisions in stable order. Places are not needed, so rows are moved once."""
+    rows, order = _order(results)
+    canonical = unused(rows, "canonical")[0]
+    return O.chain_roots(rows.withColumn(canonical, canonical_decision()), "trace_id", order, canonical)
 
 
 #: The form of a chunk of decisions.

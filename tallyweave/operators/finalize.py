@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..shared import written
 from ..streaming.state import leaf
 from . import evidence as E
-from . import ordered as O
 
 COMMITTED = "trace_id string, rows long, root string, replayed boolean, receipt_id string, leaf string"
 
@@ -51,8 +50,7 @@ def finalized(decisions: DataFrame, batches: DataFrame, replays: int = 2) -> Dat
     own = written(decisions.join(batches, "trace_id"), "finalizing")
     runs = []
     for k in range(1 + replays):
-        rows = E.stable_order(own if not k else own.repartition(F.xxhash64(F.lit(k), "row_index"))).select("trace_id", "pos", E.canonical_decision().alias("canonical"))
-        runs.append(O.hash_chain(rows, "trace_id", ["pos"], "canonical").groupBy("trace_id").agg(F.max_by("event_hash", "pos").alias("root"), F.count(F.lit(1)).alias("rows")))
+        runs.append(E.chain_roots(own if not k else own.repartition(F.xxhash64(F.lit(k), "row_index"))).withColumnRenamed("n", "rows"))
     checked = E.replayed([r.select("trace_id", "root") for r in runs]).select("trace_id", F.col("passed").alias("replayed"))
     out = runs[0].join(checked, "trace_id")
     receipt = F.when(F.col("replayed"), E.receipt_id(F.col("trace_id"), F.col("root")))

@@ -69,6 +69,26 @@ def hash_chain(df: DataFrame, key: str, order: list[str], canonical: str) -> Dat
     return fold(df, key, order, start, "prev_hash string, event_hash string")
 
 
+def chain_roots(df: DataFrame, key: str, order: list[str], canonical: str) -> DataFrame:
+    """key (null is one too), root and n: the last event hash and the length of each key's hash_chain. One row for each key leaves a task, and the rows are moved once."""
+    rows = df.select(key, *order, canonical).repartition(key).sortWithinPartitions(key, *order).select(key, canonical)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, prev, n, kinds = None, GENESIS, 0, None
+        for b in batches:
+            kinds, done = pa.schema([b.schema.field(key), pa.field("root", pa.string()), pa.field("n", pa.int64())]), []
+            for k, text in zip(b.column(key).to_pylist(), b.column(canonical).to_pylist(), strict=True):
+                if n and not same_key(k, current):
+                    done.append({key: current, "root": prev, "n": n})
+                    prev, n = GENESIS, 0
+                current, prev, n = k, hashlib.sha256(f"{prev}:{text}".encode()).hexdigest(), n + 1
+            yield pa.RecordBatch.from_pylist(done, kinds)
+        if n:
+            yield pa.RecordBatch.from_pylist([{key: current, "root": prev, "n": n}], kinds)
+
+    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, root string, n long")
+
+
 def digests(df: DataFrame, key: str, order: list[str], text: str, between: str = "\n", head: str = "", tail: str = "") -> DataFrame:
     """key (null is one too) and digest: SHA-256 of head, all texts of a key in order with `between` in between, and tail. One row for each key leaves a task."""
     rows = df.select(key, *order, text).repartition(key).sortWithinPartitions(key, *order)
@@ -97,17 +117,17 @@ def digests(df: DataFrame, key: str, order: list[str], text: str, between: str =
 def placed(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     """df with the column name: each row's place (from 1) in its key by order.
 
-    Rows are dealt into ranges of equal size by key and order, whatever the keys' sizes; ranges are counted first, then
-    rows are numbered inside each range. The ranges are written, so that both steps see the same.
+    Rows are dealt into ranges of equal size by key and order, whatever the keys' sizes, sorted there and written with their
+    number in the range. Ranges are counted then, and what lies before each is added. The rows are moved once.
     """
-    of, n, own, base, inside = unused(df, "range", "n", "own", "base", "inside")
-    rows = written(df.repartitionByRange(key, *order).withColumn(of, F.spark_partition_id()), "ranges")
-    counts = rows.groupBy(key, of).agg(F.count(F.lit(1)).alias(n))
+    at, of, n, own, base = unused(df, "at", "range", "n", "own", "base")
+    rows = written(df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn(at, F.monotonically_increasing_id()), "ranges")
+    rows = rows.withColumn(of, F.shiftright(at, 33))  # a range's numbers begin at its own multiple of 2^33
+    counts = written(rows.groupBy(key, of).agg(F.count(F.lit(1)).alias(n), F.min(at).alias(base)), "counts")  # so that its size is known to the join
     before = F.sum(n).over(Window.partitionBy(key).orderBy(of)) - F.col(n)
-    base_of = counts.select(F.col(key).alias(own), F.col(of).alias(f"{of}_"), before.alias(base))
-    place = F.row_number().over(Window.partitionBy(key, of).orderBy(*order))
-    out = rows.withColumn(inside, place).join(base_of, F.col(key).eqNullSafe(F.col(own)) & (F.col(of) == F.col(f"{of}_")))
-    return out.withColumn(name, F.col(base) + F.col(inside)).select(*df.columns, name)
+    base_of = counts.select(F.col(key).alias(own), F.col(of).alias(f"{of}_"), (before + 1 - F.col(base)).alias(base))
+    out = rows.join(base_of, F.col(key).eqNullSafe(F.col(own)) & (F.col(of) == F.col(f"{of}_")))
+    return out.withColumn(name, F.col(base) + F.col(at)).select(*df.columns, name)
 
 
 def sliding_limiter(df: DataFrame, key: str, order: list[str], seconds: str, limit: int, window: float) -> DataFrame:

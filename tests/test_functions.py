@@ -238,3 +238,23 @@ def test_closest_names_in_blocks(spark):
             want[k] = (max([*([best] if best is not None else []), *likes], default=None), close + sum(round(x, 6) >= 0.6 for x in likes))
     got = P.closest(spark.createDataFrame(names, "group long, key long, name string"), spark.createDataFrame(others, "group long, name string"), 0.6, 7, 11).collect()
     assert {r["key"]: (r["best"] and round(r["best"], 9), r["close"]) for r in got} == {k: (b and round(b, 9), c) for k, (b, c) in want.items()}
+
+
+def test_chain_roots_move_rows_once(spark):
+    """The same roots as the whole chains', a null key among them, from a plan with a single exchange."""
+    df = spark.createDataFrame([(None if i % 3 == 0 else f"b{i % 3}", 50 - i, f"t{i}") for i in range(50)], "k string, i long, t string").repartition(5)
+    got = O.chain_roots(df, "k", ["i"], "t")
+    want = {r["k"]: (r["root"], r["n"]) for r in O.hash_chain(df, "k", ["i"], "t").groupBy("k").agg(F.max_by("event_hash", "i").alias("root"), F.count(F.lit(1)).alias("n")).collect()}
+    assert {r["k"]: (r["root"], r["n"]) for r in got.collect()} == want and len(want) == 3
+    rows = spark.range(10).selectExpr("id % 2 AS k", "id AS i", "'x' AS t")
+    assert O.chain_roots(rows, "k", ["i"], "t")._jdf.queryExecution().sparkPlan().toString().count("RepartitionByExpression") + O.chain_roots(rows, "k", ["i"], "t")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_places_come_from_ranges_that_are_moved_once(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id % 10 = 0 THEN id % 7 END AS k", "(id * 7919) % 3000 AS i")
+    out = O.placed(df, "k", ["i"], "pos")
+    assert "Window [row_number" not in out._jdf.queryExecution().executedPlan().toString()
+    by = {}
+    for r in out.collect():
+        by.setdefault(r["k"], []).append((r["i"], r["pos"]))
+    assert len(by) == 8 and all([p for _, p in sorted(v)] == [*range(1, len(v) + 1)] for v in by.values())
