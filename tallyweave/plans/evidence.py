@@ -36,12 +36,8 @@ def row_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.hash_chain(rows, "trace_id", ["pos"], "canonical").select("trace_id", "row_index", "prev_hash", "event_hash")
 
 
-def root_of(rows: DataFrame) -> DataFrame:
-    return O.hash_chain(rows, "trace_id", ["pos"], "canonical").groupBy("trace_id").agg(F.max_by("event_hash", "pos").alias("root"), F.count(F.lit(1)).alias("n"))
-
-
 def row_chain_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return root_of(hashed(spark, sf_dir).select("trace_id", "pos", "canonical"))
+    return E.chain_roots(results(spark, sf_dir))
 
 
 def chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +57,7 @@ def replay_determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = results(spark, sf_dir)
     runs = []
     for parts in (3, 7, 11):
-        rows = E.stable_order(own.repartition(parts, F.xxhash64(F.lit(parts), "row_index"))).withColumn("canonical", E.canonical_decision())
-        runs.append(root_of(rows.select("trace_id", "pos", "canonical")))
+        runs.append(E.chain_roots(own.repartition(parts, F.xxhash64(F.lit(parts), "row_index"))))
     return E.replayed(runs)
 
 
