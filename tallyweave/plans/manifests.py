@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical as J
 from ..operators import manifest as M
 from ..operators import verification as V
+from ..shared import spread
 from .inputs import table
 
 NOW = "2024-06-01 00:00:00"
@@ -17,7 +18,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fields of a manifest for each customer as a batch; a few can't be built."""
     k, s = F.col("c_custkey"), F.col("c_custkey").cast("string")
     h = lambda x: F.sha2(F.concat(F.lit(x), s), 256)
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select(
         k.alias("k"), F.concat(F.lit("B"), s).alias("batch_id"), F.when(k % 29 != 0, h("root")).alias("root_hash"), F.when(k % 31 == 0, "OTHER").otherwise("PRODUCTION_REAL").alias("artifact_mode"), F.lit("1.0").alias("engine_version"), F.lit("prod").alias("environment"), h("config").alias("config_hash"), h("data").alias("dataset_hash"), h("reg").alias("registry_hash"),
         F.concat(F.lit("keys/prod-"), (k % 3).cast("string")).alias("key_id"), F.substring(h("scope"), 1, 16).alias("tenant_scope"), F.lit(None).cast("string").alias("source_blob_hash"), F.concat(F.lit("r-"), s).alias("receipt_id"), F.when(k % 17 == 3, "2024-06-01T00:02:00Z").otherwise("2024-05-31T00:00:00Z").alias("timestamp"),
     )

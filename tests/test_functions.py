@@ -258,3 +258,9 @@ def test_places_come_from_ranges_that_are_moved_once(spark):
     for r in out.collect():
         by.setdefault(r["k"], []).append((r["i"], r["pos"]))
     assert len(by) == 8 and all([p for _, p in sorted(v)] == [*range(1, len(v) + 1)] for v in by.values())
+
+
+def test_manifests_of_one_file_are_dealt_over_all_cores(spark, sf):
+    from tallyweave.plans import manifests
+
+    assert manifests.checked(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
