@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..functions.names import let
+from ..shared import written
 from .rollups import match_type
 
 RUN = 3
@@ -38,7 +39,11 @@ def namespace(tenant: Column) -> Column:
 
 def runs(name: Column) -> Column:
     """The runs of RUN characters of a normal name with a space on each side."""
-    padded = F.concat(F.lit(" "), normal_name(name), F.lit(" "))
+    return _runs(normal_name(name))
+
+
+def _runs(normal: Column) -> Column:
+    padded = F.concat(F.lit(" "), normal, F.lit(" "))
     return let(padded, lambda p: F.when(F.length(p) >= RUN, F.transform(F.sequence(F.lit(1), F.length(p) - RUN + 1), lambda i: F.substring(p, i, F.lit(RUN)))).otherwise(F.array().cast("array<string>")))
 
 
@@ -50,13 +55,18 @@ def _weighted(counted: DataFrame, weights: DataFrame, key: str) -> DataFrame:
 
 
 def nearest(names: DataFrame, listed: DataFrame, least: float, top: int) -> DataFrame:
-    """tenant, key, listed_id, likeness and rank of the listed names (tenant, listed_id, listed_name) that are most like each name (tenant, key, name) of their tenant."""
-    count = lambda df, key, name: df.select(namespace(F.col("tenant")).alias("space"), key, F.explode(runs(F.col(name))).alias("run")).groupBy("space", key, "run").agg(F.count(F.lit(1)).alias("n"))
-    theirs = count(listed, "listed_id", "listed_name")
+    """tenant, key, listed_id, likeness and rank of the listed names (tenant, listed_id, listed_name) that are most like each name (tenant, key, name) of their tenant.
+
+    Each different normal name of a tenant is compared once.
+    """
+    own = names.select(namespace(F.col("tenant")).alias("space"), "tenant", "key", normal_name(F.col("name")).alias("normal"))
+    once = own.select("tenant", F.col("normal").alias("key")).distinct()
+    count = lambda df, key, normal: df.select(namespace(F.col("tenant")).alias("space"), key, F.explode(_runs(normal)).alias("run")).groupBy("space", key, "run").agg(F.count(F.lit(1)).alias("n"))
+    theirs = count(listed, "listed_id", normal_name(F.col("listed_name")))
     size = listed.groupBy(namespace(F.col("tenant")).alias("space")).agg(F.count(F.lit(1)).alias("size"))
     weights = theirs.groupBy("space", "run").agg(F.count(F.lit(1)).alias("df")).join(size, "space").select("space", "run", (F.log((F.col("size") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     b = _weighted(theirs, weights, "listed_id").withColumnRenamed("w", "v")
-    a = _weighted(count(names, "key", "name"), weights, "key")
+    a = _weighted(count(once, "key", F.col("key")), weights, "key")
     # What is left of a vector from a run on, by falling weight: below the least no likeness can come from it.
     left = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("space", "key").orderBy("w", F.desc("run")).rowsBetween(Window.unboundedPreceding, 0)))
     heavy = a.withColumn("left", left).where(F.col("left") >= least - 1e-9)
@@ -64,7 +74,8 @@ def nearest(names: DataFrame, listed: DataFrame, least: float, top: int) -> Data
     likeness = pairs.join(a, ["space", "key"]).join(b, ["space", "listed_id", "run"]).groupBy("space", "key", "listed_id").agg(F.sum(F.col("w") * F.col("v")).alias("likeness"))
     order = Window.partitionBy("space", "key").orderBy(F.desc(F.round("likeness", 9)), "listed_id")
     best = likeness.where(F.round("likeness", 9) >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return best.join(names.select(namespace(F.col("tenant")).alias("space"), "tenant", "key"), ["space", "key"]).select("tenant", "key", "listed_id", "likeness", "rank")
+    best = written(best.withColumnRenamed("key", "normal"), "nearest")  # so that its size is known to the join
+    return own.join(best, ["space", "normal"]).select("tenant", "key", "listed_id", "likeness", "rank")
 
 
 def resolve(names: DataFrame, listed: DataFrame, parents: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:

@@ -260,6 +260,16 @@ def test_places_come_from_ranges_that_are_moved_once(spark):
     assert len(by) == 8 and all([p for _, p in sorted(v)] == [*range(1, len(v) + 1)] for v in by.values())
 
 
+def test_equal_company_names_are_compared_once(spark):
+    from tallyweave.operators import companies as C
+
+    names = spark.createDataFrame([("t", i, ["Alpine Freight Inc.", "ALPINE FREIGHT", "alpin freight", None][i % 4]) for i in range(400)], "tenant string, key long, name string")
+    listed = spark.createDataFrame([("t", 1, "Alpine Freight"), ("t", 2, "Granite Foods")], "tenant string, listed_id long, listed_name string")
+    got = C.nearest(names, listed, 0.3, 5)
+    assert {(r["key"], r["listed_id"], r["rank"]) for r in got.collect()} == {(i, 1, 1) for i in range(400) if i % 4 < 3}
+    assert "RepartitionByExpression" not in got._jdf.queryExecution().toString() and got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_manifests_of_one_file_are_dealt_over_all_cores(spark, sf):
     from tallyweave.plans import manifests
 
