@@ -159,3 +159,17 @@ def test_pages_go_on_where_the_last_one_ended(spark):
     while page := [tuple(r) for r in A.page_after(rows, {"c": True, "i": False}, 9, 100, after).collect()]:
         got, after = got + page, {"c": page[-1][0], "i": page[-1][1]}
     assert got == want
+
+
+def test_a_log_holds_its_rows_compactly():
+    """200,000 rows of one log and batch, in parts, in any order: 150 bytes a row at most, where dicts took several hundred."""
+    import tracemalloc
+
+    import pandas as pd
+
+    frames = (pd.DataFrame({"seconds": [float((k * 1000 + i) * 7919 % 200_000) for i in range(1000)], "id": range(k * 1000, k * 1000 + 1000), "leaf": [f"{(k * 1000 + i) * 7919 % 200_000:064x}" for i in range(1000)]}) for k in range(200))
+    tracemalloc.start()
+    times, leaves = T._Log.compact(frames)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150 * 200_000 and times.tolist() == [*range(200_000)] and [int.from_bytes(x.tobytes(), "big") for x in leaves[[0, 7, 199_999]]] == [0, 7, 199_999]
