@@ -55,7 +55,11 @@ def person_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def person_fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.fuzzy(P.keyed(screened(spark, sf_dir)), watchlist(spark)).withColumn("score", F.round("score", 6))
+    """All customers against the list, each different name looked up once."""
+    rows = screened(spark, sf_dir)
+    once = rows.select(F.col("original").alias("row_index"), "original").distinct()
+    found = P.fuzzy(P.keyed(once), watchlist(spark)).withColumnRenamed("row_index", "original")
+    return rows.join(found, "original").select("row_index", "k", "id", F.round("score", 6).alias("score"))
 
 
 def person_screening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,6 +216,26 @@ def test_similar_persons_are_those_of_the_whole_list(spark):
     assert got == want and {i for i, *_ in got} >= {0, 1, 2, 3, 4, 6, 12, 13}
 
 
+def test_names_of_one_kind_are_scored_once(spark, monkeypatch):
+    """Names that differ only in what no listed name holds, as their numbers, are one kind with one score; a list with digits or the placeholder keeps them apart."""
+    from tallyweave.plans import persons as plans
+
+    inputs = [f"Customer#{i:09d}" for i in range(300)] + [str(10_000 + i) for i in range(300)] + ["luiz lindquist 1", "luiz lindquist 2", "Luiz \uffffindqvist"]
+    rows = P.keyed(spark.createDataFrame(list(enumerate(inputs)), "row_index long, original string"))
+    seen, true = [], P.candidates
+    monkeypatch.setattr(P, "candidates", lambda names, *rest: seen.append(names.count()) or true(names, *rest))
+    people = plans.watchlist(spark)
+    more = spark.createDataFrame([(200, "D1", "Luis", "Lindqvist 2", "Luis Lindqvist 2", ["x"]), (201, "D2", "Luiz", "\uffffindqvist", "Luiz \uffffindqvist", ["x"])], people.schema)
+    for watched in (people, people.unionByName(more)):
+        p = P.listed(watched)
+        pairs = rows.where("norm <> ''").withColumn("sounds", P.sounds(F.col("norm"))).crossJoin(p).withColumn("score", P.similarity(F.col("norm"), F.col("p_norm"), F.col("last"), F.col("p_last"), F.col("sounds"), F.col("p_sounds"))).where("score >= 0.7").collect()
+        lasts = {r["p_last"] for r in p.collect()}
+        want = sorted((r["row_index"], r["id"], round(r["score"], 9)) for r in pairs if r["last"] not in lasts or r["last"] == r["p_last"])
+        got = sorted((r["row_index"], r["id"], round(r["score"], 9)) for r in P.fuzzy(rows, watched, 1000).collect())
+        assert got == want and got
+    assert seen[0] <= 6
+
+
 def test_closest_names_in_blocks(spark):
     """Against all pairs: repeated and missing names, blocks smaller than a group, names too long for bits, a group without others."""
     import random
