@@ -65,9 +65,9 @@ def person_fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def person_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole waterfall over all customers, each different name resolved once."""
     rows = screened(spark, sf_dir)
-    once = rows.groupBy("original").agg(F.min("row_index").alias("row_index"))
-    found = P.resolve(once, watchlist(spark)).join(once, "row_index").drop("row_index")
-    return rows.join(found, "original").select("row_index", "original", "match_id", "match_type", "layer", F.round("confidence", 6).alias("confidence"))
+    once = rows.select(F.col("original").alias("row_index"), "original").distinct()
+    found = P.resolve(once, watchlist(spark)).withColumnRenamed("row_index", "name")
+    return rows.join(found, F.col("original").eqNullSafe(F.col("name"))).select("row_index", "original", "match_id", "match_type", "layer", F.round("confidence", 6).alias("confidence"))
 
 
 def watchlist_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,23 @@ def test_names_of_one_kind_are_scored_once(spark, monkeypatch):
     assert seen[0] <= 6
 
 
+def test_waterfall_is_one_pass(spark, monkeypatch):
+    """Each row gets the first layer that knows it, as by the layers one after the other; names are normalized once, and the result's plan does not go back to the inputs."""
+    from tallyweave.plans import persons as plans
+
+    names = [None, "", "8", "12.3-4", "Luis Lindqvist", "LINDQVIST, Luis", "Lu The lindqvist", "Lui Lindqvist", "Luiz Lindqwist", "Customer#000000007", "Boris", "Mr."]
+    seen, true = [], P.keyed
+    monkeypatch.setattr(P, "keyed", lambda df: seen.append(df) or true(df))
+    got = P.resolve(spark.createDataFrame(list(enumerate(names)), "row_index long, original string"), plans.watchlist(spark))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 0 and len(seen) == 1
+    rows = {r["row_index"]: (r["match_id"], r["match_type"], r["layer"], r["confidence"]) for r in got.collect()}
+    garbage, left = (None, "NO_MATCH", "L0_GARBAGE", 0.0), (None, "NO_MATCH", "L4_HUMAN", 0.0)
+    assert len(rows) == len(names) and all(rows[i] == garbage for i in range(4)) and rows[9] == left and rows[11] == left
+    assert [rows[i] for i in (4, 5)] == [("P143", "EXACT_MATCH", "L1_PERSON_EXACT", 1.0)] * 2
+    assert rows[6] == ("P143", "EXACT_MATCH", "L1_PERSON_ALIAS", 1.0) and rows[7] == ("P143", "EXACT_MATCH", "L1_PERSON_INITIAL", 0.95)
+    assert rows[8][0] == "P143" and rows[8][2] == "L2_PERSON_FUZZY"
+
+
 def test_closest_names_in_blocks(spark):
     """Against all pairs: repeated and missing names, blocks smaller than a group, names too long for bits, a group without others."""
     import random
