@@ -320,6 +320,20 @@ def test_fingerprints_are_those_of_every_window(spark):
         assert all(lines[k] == m for k, m in zip(at, mark, strict=True))
 
 
+def test_line_dedup_is_native_and_finds_runs_whose_lines_have_other_first_places(spark):
+    """No Python in the plan. Earlier documents hold pieces of a passage, too short to count, that take the first places of its lines; the passage goes as a whole."""
+    rng = np.random.default_rng(11)
+    found = linedup.fingerprints(linedup.keyed(docs(spark, ["a"])))
+    assert not re.search("InArrow|Python|Pandas", found._jdf.queryExecution().executedPlan().toString())
+    w = lambda n: some_words(rng, n)
+    passage, exact = w(240).split(), w(50)
+    pieces = [f"{w(40)} {' '.join(passage[a : a + 45])} {w(40)}" for a in range(0, 200, 30)]
+    texts = [*pieces, f"{w(9)} {' '.join(passage)} {w(60)}", f"{w(70)} {' '.join(passage)} {w(5)}", f"{w(33)} {exact} {w(20)}", f" {w(5)} {exact}", exact, exact, w(49), "a " * 200, f"b {'a ' * 90}", "one\ttwo\x0bthree\x0c" * 90, "one\rtwo  three " * 60]
+    got = linedup.without_repeats(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == brute_runs(texts)
+    assert [r["n_deleted"] for r in got][7:13] == [0, 240, 0, 50, 50, 50]
+
+
 def test_equal_hashes_alone_delete_nothing(spark, monkeypatch):
     rng = np.random.default_rng(6)
     texts = [some_words(rng, 120), some_words(rng, 120)]
