@@ -114,21 +114,26 @@ def anchors(words: Column, n: Column, line: int, window: int) -> Column:
     """Of the first n places of words (hashes) those where lines begin, such that each window of places holds one and equal windows (with the rest of their last line) have one in common.
 
     Places are taken by the hashes of the two words there, one in SPARSE[0]; in stretches of window places and more without any,
-    one in SPARSE[1], and so on; at last all.
+    one in SPARSE[1], and so on; at last all. A place between two of lesser hashes that leave no such stretch is spared:
+    the least place of a window stays, whatever lies around.
     """
+    two = lambda i: F.get(words, i).bitwiseXOR(F.get(words, i + 1)) if line > 1 else F.get(words, i)
 
     def taken(first: Column, last: Column, rates: tuple[int, ...]) -> Column:
         places = F.sequence(first, last)
         if not rates:
             return places
-        two = lambda i: F.get(words, i).bitwiseXOR(F.get(words, i + 1)) if line > 1 else F.get(words, i)
         return _let(F.filter(places, lambda i: two(i) < F.lit(-(1 << 63) + (1 << 64) // rates[0])), lambda c: F.concat(c, rest(first, last, c, rates[1:])))
 
     def rest(first: Column, last: Column, c: Column, rates: tuple[int, ...]) -> Column:
         ends = F.zip_with(F.concat(F.array(first - 1), c), F.concat(c, F.array(last + 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         return F.flatten(F.transform(F.filter(ends, lambda g: g["b"] - g["a"] > window), lambda g: taken(g["a"] + 1, g["b"] - 1, rates)))
 
-    return F.when(n >= window, taken(F.lit(0), n - 1, SPARSE)).otherwise(F.expr("CAST(array() AS ARRAY<INT>)"))
+    def spared(c: Column, h: Column, k: Column) -> Column:
+        return (F.get(h, k - 1) < F.get(h, k)) & (F.get(h, k + 1) < F.get(h, k)) & (F.get(c, k + 1) - F.get(c, k - 1) <= window)
+
+    needed = lambda c: _let(F.transform(c, two), lambda h: F.filter(c, lambda _, k: ~F.coalesce(spared(c, h, k), F.lit(False))))
+    return F.when(n >= window, _let(F.sort_array(taken(F.lit(0), n - 1, SPARSE)), needed)).otherwise(F.expr("CAST(array() AS ARRAY<INT>)"))
 
 
 def fingerprints(rows: DataFrame, min_words: int = MIN_WORDS, line: int = LINE) -> DataFrame:
@@ -150,13 +155,14 @@ def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS, line: int = LINE)
     own, first = F.struct(*KEY), F.struct(*FIRST)
 
     def shared(places: DataFrame, same: str, *more: Column) -> DataFrame:
-        """What several texts have in common; texts that are copies as a whole are found apart."""
-        return places.groupBy(same).agg(F.min("of").alias("a"), F.max("of").alias("b"), *more).where("a <> b").drop("a", "b").hint("merge")
+        """What several texts have in common; texts that are copies as a whole are found apart. Stored, since Spark splits no join that an aggregate feeds."""
+        return stored(places.groupBy(same).agg(F.min("of").alias("a"), F.max("of").alias("b"), *more).where("a <> b").drop("a", "b"), "line-shared").hint("merge")
 
     def with_first(places: DataFrame, same: str) -> DataFrame:
         """places with the first of those that are the same: FIRST, f_at."""
         firsts = places.groupBy(same).agg(F.min(F.struct(*KEY, "at")).alias("first"))
-        return places.join(firsts.select(same, *(F.col(f"first.{k}").alias(f) for k, f in zip([*KEY, "at"], [*FIRST, "f_at"], strict=True))).hint("merge"), same)
+        firsts = firsts.select(same, *(F.col(f"first.{k}").alias(f) for k, f in zip([*KEY, "at"], [*FIRST, "f_at"], strict=True)))
+        return places.join(stored(firsts, "line-firsts").hint("merge"), same)
 
     mixed = (F.min("around") != F.max("around")).alias("mixed")
     hits = stored(marks.join(shared(marks, "mark", mixed), "mark").drop("mark"), "line-hits")
@@ -171,7 +177,8 @@ def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS, line: int = LINE)
     texts = rows.join(asked.hint("merge"), KEY).select(*KEY, _hashes(F.col("text")).alias("words"), starts.alias("starts"))
     windows = texts.select(*KEY, "words", F.explode_outer("starts").alias("at")).select(*KEY, "at", F.xxhash64(F.slice("words", F.col("at") + 1, min_words)).alias("window"))
     windows = stored(windows, "line-windows")
-    windows = with_first(windows.join(shared(windows, "window"), "window"), "window").where(own != first).withColumn("lo", F.col("at")).withColumn("hi", F.col("at") + min_words)
+    windows = stored(windows.join(shared(windows, "window"), "window"), "line-shared-windows")
+    windows = with_first(windows, "window").where(own != first).withColumn("lo", F.col("at")).withColumn("hi", F.col("at") + min_words)
     diagonal = Window.partitionBy(*KEY, *FIRST, "shift").orderBy("lo")
     claims = whole.unionByName(windows.select(*claim))
     claims = claims.withColumn("apart", F.when(F.col("lo") <= F.max("hi").over(diagonal.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1))
