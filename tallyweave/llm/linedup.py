@@ -1,9 +1,9 @@
 """Removal of word runs that repeat in later documents, by fingerprints of running lines.
 
 Line breaks shift when a passage is pasted into other text, so a line here is a running line: LINE words from any word
-on. Lines whose first words' hashes choose them are fingerprints, so that of each MIN_WORDS - LINE + 1 successive lines one
-is; two runs of MIN_WORDS words that are equal hold an equal fingerprint for certain, however they lie. A fingerprint's
-surroundings are all words of the runs of MIN_WORDS that hold it. Where a fingerprint is in several texts, its places with
+on. Each run of MIN_WORDS words has one of its lines as fingerprint, the first whose first word's hash is least; two runs
+that are equal have an equal one for certain, however they lie. A fingerprint's surroundings are all words of the runs of
+MIN_WORDS, one after the other, that it stands for. Where a fingerprint is in several texts, its places with
 equal surroundings are compared with the first of them; where their first place has the line in common with other
 surroundings, each run of MIN_WORDS there is compared with the first place of that run. So all words of every run of
 MIN_WORDS that an earlier document has are found; they are deleted, each with the white space after it.
@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from .common import GAP, WORD, forget, stored, table
 
 MIN_WORDS, LINE = 50, 20
-#: One in so many places, by its hash, begins a fingerprint; the next where the one before leaves stretches without any.
-SPARSE = (12, 6, 3)
 KEY, FIRST = ["known", "id", "of"], ["f_known", "f_id", "f_of"]
 
 
@@ -110,43 +108,30 @@ def _hashes(text: Column) -> Column:
     return F.transform(_split(text), lambda w: F.xxhash64(w))
 
 
-def anchors(words: Column, n: Column, line: int, window: int) -> Column:
-    """Of the first n places of words (hashes) those where lines begin, such that each window of places holds one and equal windows (with the rest of their last line) have one in common.
+def fingerprints(rows: DataFrame, min_words: int = MIN_WORDS, line: int = LINE) -> DataFrame:
+    """known, id, of, mark (hash of the line), around (hash of all windows that it stands for), at, lo, hi (words of these) of every fingerprint of every document.
 
-    Places are taken by the hashes of the two words there, one in SPARSE[0]; in stretches of window places and more without any,
-    one in SPARSE[1], and so on; at last all. A place between two of lesser hashes that leave no such stretch is spared:
-    the least place of a window stays, whatever lies around.
+    Each window of min_words stands under its least line: the first of its lines whose first word's hash is least. A
+    line's windows, one after the other, make one fingerprint.
     """
-    two = lambda i: F.get(words, i).bitwiseXOR(F.get(words, i + 1)) if line > 1 else F.get(words, i)
-
-    def taken(first: Column, last: Column, rates: tuple[int, ...]) -> Column:
-        places = F.sequence(first, last)
-        if not rates:
-            return places
-        return _let(F.filter(places, lambda i: two(i) < F.lit(-(1 << 63) + (1 << 64) // rates[0])), lambda c: F.concat(c, rest(first, last, c, rates[1:])))
-
-    def rest(first: Column, last: Column, c: Column, rates: tuple[int, ...]) -> Column:
-        ends = F.zip_with(F.concat(F.array(first - 1), c), F.concat(c, F.array(last + 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        return F.flatten(F.transform(F.filter(ends, lambda g: g["b"] - g["a"] > window), lambda g: taken(g["a"] + 1, g["b"] - 1, rates)))
-
-    def spared(c: Column, h: Column, k: Column) -> Column:
-        return (F.get(h, k - 1) < F.get(h, k)) & (F.get(h, k + 1) < F.get(h, k)) & (F.get(c, k + 1) - F.get(c, k - 1) <= window)
-
-    needed = lambda c: _let(F.transform(c, two), lambda h: F.filter(c, lambda _, k: ~F.coalesce(spared(c, h, k), F.lit(False))))
-    return F.when(n >= window, _let(F.sort_array(taken(F.lit(0), n - 1, SPARSE)), needed)).otherwise(F.expr("CAST(array() AS ARRAY<INT>)"))
-
-
-def fingerprints(rows: DataFrame, min_words: int = MIN_WORDS, line: int = LINE) -> DataFrame:
-    """known, id, of, mark (hash of the line), around (hash of all windows that hold it), at, lo, hi (words of these) of every fingerprint of every document."""
-    reach = min_words - line
+    window = min_words - line + 1
     split = rows.where(F.length("text") >= 2 * min_words - 1).select(*KEY, _hashes(F.col("text")).alias("words"))
-    split = split.withColumn("places", anchors(F.col("words"), F.size("words") - line + 1, line, reach + 1))
     # Of explode() Spark infers a filter, which it moves below the split and so splits a text for each word.
-    found = split.select(*KEY, "words", F.explode_outer("places").alias("at")).where("at IS NOT NULL")
-    found = found.withColumn("lo", F.greatest(F.col("at") - reach, F.lit(0))).withColumn("hi", F.least(F.col("at") + min_words, F.size("words")))
-    found = found.withColumn("mark", F.xxhash64(F.slice("words", F.col("at") + 1, line)))
-    sides = F.slice("words", F.col("lo") + 1, F.col("at") - F.col("lo")), F.slice("words", F.col("at") + line + 1, F.col("hi") - F.col("at") - line)
-    return found.select(*KEY, "mark", F.xxhash64("mark", F.col("at") - F.col("lo"), *sides).alias("around"), "at", "lo", "hi")
+    found = split.select(*KEY, "words", F.explode_outer(F.when(F.size("words") >= min_words, F.sequence(F.lit(0), F.size("words") - min_words))).alias("lo")).where("lo IS NOT NULL")
+    # The least line changes where the window before began with it, or where a lesser one comes in.
+    before, last = F.get("words", F.col("lo") - 1), F.get("words", F.col("lo") + window - 1)
+    if window > 1:
+        found = found.withColumn("inner", F.array_min(F.slice("words", F.col("lo") + 1, window - 1))).where((F.col("lo") == 0) | (before <= F.col("inner")) | (last < F.col("inner")))
+    # From here on the few words that matter go along.
+    found = found.select(*KEY, "lo", F.slice("words", F.col("lo") + 1, min_words + window - 1).alias("words"))
+    found = found.withColumn("low", F.array_min(F.slice("words", 1, window)))
+    found = found.withColumn("skip", F.array_position("words", F.col("low")).cast("int") - 1).withColumn("most", F.least("skip", F.size("words") - min_words))
+    # How many windows more have it as their least: until a lesser one comes in.
+    lesser = F.array_position(F.transform(F.slice("words", window + 1, F.col("most")), lambda w: w < F.col("low")), True).cast("int")
+    found = found.withColumn("end", F.coalesce(F.nullif(lesser, F.lit(0)) - 1, "most"))
+    found = found.withColumn("mark", F.xxhash64(F.slice("words", F.col("skip") + 1, line)))
+    # All these words, and where the line is.
+    return found.select(*KEY, "mark", F.xxhash64("mark", "skip", F.slice("words", 1, F.col("end") + min_words)).alias("around"), (F.col("lo") + F.col("skip")).alias("at"), "lo", (F.col("lo") + F.col("end") + min_words).alias("hi"))
 
 
 def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS, line: int = LINE) -> DataFrame:

@@ -334,6 +334,20 @@ def test_line_dedup_is_native_and_finds_runs_whose_lines_have_other_first_places
     assert [r["n_deleted"] for r in got][7:13] == [0, 240, 0, 50, 50, 50]
 
 
+def test_line_fingerprints_are_few_and_stand_for_every_window(spark):
+    rng = np.random.default_rng(12)
+    passage = some_words(rng, 400)
+    texts = [f"{some_words(rng, 1300)} {passage} {some_words(rng, 1300)}" for _ in range(2)]
+    found = linedup.fingerprints(linedup.keyed(docs(spark, texts))).orderBy("id", "lo").collect()
+    own = [[r for r in found if r["id"] == i] for i in range(2)]
+    for rows in own:
+        assert rows[0]["lo"] == 0 and rows[-1]["hi"] == 3000 and len(rows) < 3000 / 13
+        assert all(r["lo"] <= r["at"] <= r["lo"] + 30 and r["hi"] <= r["at"] + 50 for r in rows)
+        assert all(b["lo"] == a["hi"] - 49 for a, b in zip(rows, rows[1:], strict=False))
+    inside = [[(r["lo"], r["at"], r["mark"]) for r in rows if 1300 < r["lo"] <= 1650] for rows in own]
+    assert inside[0] == inside[1] and len(inside[0]) > 10
+
+
 def test_equal_hashes_alone_delete_nothing(spark, monkeypatch):
     rng = np.random.default_rng(6)
     texts = [some_words(rng, 120), some_words(rng, 120)]
