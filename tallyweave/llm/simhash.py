@@ -165,16 +165,17 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     homes = fps.mapInPandas(_homes, "anchor long, home long")
     visits = fps.mapInPandas(_visits, "anchor long, visitor long")
     near = (F.col("home") < F.col("visitor")) & (F.bit_count(F.col("home").bitwiseXOR(F.col("visitor"))) <= THRESHOLD)
+    # Spark takes visits, some 60 rows a fingerprint, and points, 65, for as small as what they are made from: no broadcast at any size.
     hot = stored(homes.groupBy("anchor").count().where(F.col("count") > crowded).select("anchor"), "crowded-anchors")
     if hot.isEmpty():
-        return homes.join(visits, "anchor").where(near).select(F.col("home").alias("a"), F.col("visitor").alias("b"))
-    calm = homes.join(hot, "anchor", "left_anti").join(visits, "anchor").where(near).select(F.col("home").alias("a"), F.col("visitor").alias("b"))
+        return homes.join(visits.hint("merge"), "anchor").where(near).select(F.col("home").alias("a"), F.col("visitor").alias("b"))
+    calm = homes.join(hot, "anchor", "left_anti").join(visits.hint("merge"), "anchor").where(near).select(F.col("home").alias("a"), F.col("visitor").alias("b"))
     # Fingerprints within one bit of the same point differ in two bits at most, and any two that do share a point.
     busy = visits.join(hot, "anchor", "left_semi").select(F.col("visitor").alias("fp")).distinct()
     flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     points = busy.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("b"))
-    return calm.unionByName(points.join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b"))
+    return calm.unionByName(points.join(least.hint("merge"), "point").where("fp <> b").select(F.col("fp").alias("a"), "b"))
 
 
 def components(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:

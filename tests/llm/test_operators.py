@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tallyweave.llm import chat, decontam, html, langid, linedup, media, mixing, simhash, tokens, urlfilter
 
@@ -619,6 +620,18 @@ def test_components_are_those_of_brute_force(spark, sf, crowded):
     assert got == {i: find(i) for i in range(len(fps))}
 
 
+@pytest.mark.parametrize("crowded", [0, 4096])
+def test_no_growing_side_of_links_is_broadcast(spark, crowded):
+    """Visits and points are 60 rows a fingerprint and more, which Spark doesn't know; crowded anchors alone are few."""
+    fps = spark.range(300).select((F.xxhash64("id") if crowded else F.col("id")).alias("fp"))
+    out = simhash.links(fps, crowded)
+    plans = [out._jdf.queryExecution().executedPlan().toString()]
+    out.collect()
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    for plan in plans:
+        assert "Join" in plan and not [line for line in plan.split("\n") if "BroadcastHashJoin" in line and "Inner" in line]
+
+
 def test_one_of_each_component_stays(spark):
     rows = [(5, "the same text here", 1), (3, "the same text here", 2), (3, "the same text here", 2), (9, "another text altogether, quite", 3), (None, "x y z", 4)]
     d = spark.createDataFrame(rows, "doc_id long, text string, count long")
