@@ -162,7 +162,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) ->
     slots = slots.select("shard", "slot", "sid", "turn", "index", words.alias("words"))
     pieces = placed.where("size > 0").select("sid", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("index"))
     at = F.col("index") * block
-    takes = pieces.join(slots, ["sid", "index"]).select("sid", "start", "turn", F.greatest(at - F.col("start"), F.lit(0)).alias("lo"), F.least(at + F.col("words") - F.col("start"), F.col("size")).alias("hi")).where("lo < hi")
+    # Spark takes the pieces for as small as the rows that they are made from, of which a long text's are many.
+    takes = pieces.hint("merge").join(slots, ["sid", "index"]).select("sid", "start", "turn", F.greatest(at - F.col("start"), F.lit(0)).alias("lo"), F.least(at + F.col("words") - F.col("start"), F.col("size")).alias("hi")).where("lo < hi")
     return Mix(placed, need, slots, takes, block)
 
 
@@ -182,7 +183,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     m = mix(docs)
     part = F.sort_array(F.collect_list(F.struct("lo", "hi")))
     passes = m.takes.groupBy("sid", "start", "turn").agg(part.alias("parts"), F.sum(F.col("hi") - F.col("lo")).alias("n_taken"))
-    passes = passes.join(m.sized.select("sid", "start", "doc_id", "source", "text_hash", "size").where("size > 0"), ["sid", "start"])
+    passes = passes.join(m.sized.select("sid", "start", "doc_id", "source", "text_hash", "size").where("size > 0").hint("merge"), ["sid", "start"])
     # Keys without nulls, so that grouping and join share one exchange of the texts.
     *key, parts = unused(docs, "mix_id", "mix_no_id", "mix_of", "mix_no_source", "mix_hash", "mix_parts")
     values = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.coalesce(F.col("source").cast("string"), F.lit("")), F.col("source").isNull()]

@@ -620,6 +620,17 @@ def test_components_are_those_of_brute_force(spark, sf, crowded):
     assert got == {i: find(i) for i in range(len(fps))}
 
 
+def test_no_growing_side_of_a_mix_is_broadcast(spark):
+    """A long text is one row and many pieces, which Spark doesn't know; rows of the documents are no broadcast either."""
+    d = spark.createDataFrame([(i, "word " * (20_000 if i < 3 else 30), "en", "s", 0) for i in range(40)], DOCS)
+    m = mixing.mix(d)
+    for out, keys in ((m.takes, r"\[sid#\w+, index#"), (mixing.mixed(d), r"\[sid#\w+, start#")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert re.search(f"SortMergeJoin.* {keys}", plan) and not re.search(f"BroadcastHashJoin.* {keys}", plan)
+    words = {r["turn"]: r["n"] for r in m.takes.groupBy("turn").agg(F.sum(F.col("hi") - F.col("lo")).alias("n")).collect()}
+    assert words == {0: 61_110, 1: 30_555}
+
+
 @pytest.mark.parametrize("crowded", [0, 4096])
 def test_no_growing_side_of_links_is_broadcast(spark, crowded):
     """Visits and points are 60 rows a fingerprint and more, which Spark doesn't know; crowded anchors alone are few."""
