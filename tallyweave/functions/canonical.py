@@ -8,7 +8,10 @@ shortest spelling, keys by code points. A double's exponent is written from 1e16
 from __future__ import annotations
 
 import json
+import math
+from json.encoder import encode_basestring as quote
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -220,33 +223,70 @@ def value(c: Column, kind: T.DataType, form: str = JCS) -> Column:
     return F.when(c.isNull(), "null").otherwise(out)
 
 
+def _clean(s: str) -> str:
+    """Halves of surrogate pairs, which escapes can make, as question marks."""
+    return s if s.isascii() else s.encode("utf-8", "replace").decode("utf-8")
+
+
+def _members(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    out = dict(pairs)
+    if not "".join(out).isascii():
+        out = {_clean(k): v for k, v in pairs}
+    if len(out) < len(pairs):
+        raise ValueError("a key of JSON is repeated")
+    return out
+
+
+def _no_json(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def _number(x: float, form: str) -> str:
+    if form == PLAIN:
+        return repr(x)
+    if form == JCS:
+        return "0" if x == 0 else repr(x).removesuffix(".0")
+    if math.isinf(x):
+        raise ValueError("no canonical number")
+    return str(int(x)) if x.is_integer() else repr(round(x, PLACES))
+
+
+def _writer(form: str, depth: int):
+    """Canonical JSON from the text of a document."""
+    # A whole number of more than 38 digits is a double.
+    whole = lambda t: int(t) if len(t.lstrip("-")) <= 38 else float(t)
+    read = json.JSONDecoder(object_pairs_hook=_members, parse_int=whole, parse_constant=_no_json).decode
+    names = {None: "null", True: "true", False: "false"}
+    scalars = {str: lambda v: quote(_clean(v)), float: lambda v: _number(v, form), int: str, bool: names.get, type(None): names.get}
+
+    def in_order(keys: dict[str, object]) -> list[str]:
+        return sorted(keys, key=None if form != JCS or "".join(keys).isascii() else lambda k: k.encode("utf-16-be"))
+
+    def spelt(v: object, left: int) -> str:
+        scalar = scalars.get(type(v))
+        if scalar:
+            return scalar(v)
+        if not left:
+            raise ValueError(f"JSON is nested deeper than {depth}")
+        if type(v) is list:
+            return f"[{','.join([spelt(x, left - 1) for x in v])}]"
+        return "{" + ",".join([f"{quote(k)}:{spelt(v[k], left - 1)}" for k in in_order(v)]) + "}"
+
+    return lambda text: "null" if text is None else spelt(read(text), depth)
+
+
 def json_value(c: Column, form: str = JCS, depth: int = 6) -> Column:
-    """The text of any JSON document as canonical JSON, by Spark's variants; lists and objects nested deeper than depth raise.
+    """The text of any JSON document as canonical JSON; lists and objects nested deeper than depth raise, and so does what is no JSON.
 
-    A number with a point or an exponent is a double; repeated keys raise. Variants don't tell 1.0 from 1, and the PLAIN form does.
+    Spark has no function for documents of unknown shape, so each text is read and written in Python, in one pass. A number with a
+    point or an exponent is a double; repeated keys raise.
     """
-    if form == PLAIN:
-        raise ValueError("the plain form of JSON text needs its numbers as they were written")
 
-    def one(v: Column, left: int) -> Column:
-        return let(F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind")), lambda s: nested(s["v"], s["kind"], left))
+    @F.arrow_udf(T.StringType())
+    def written(texts: pa.Array) -> pa.Array:
+        return pa.array(map(_writer(form, depth), texts.to_pylist()), pa.string())
 
-    def nested(v: Column, kind: Column, left: int) -> Column:
-        """Members of objects and items of lists as pairs of a head and a value, so that a level names the next one once."""
-        keyed, listed = kind.startswith("OBJECT"), kind.startswith("ARRAY")
-        if not left:
-            return F.when(keyed | listed, F.raise_error(F.lit(f"JSON is nested deeper than {depth}")).cast("string")).otherwise(scalar(v, kind))
-        pair = lambda head, value: F.struct(head.alias("head"), value.alias("value"))
-        members = lambda m: F.transform(_in_order(F.map_keys(m), form), lambda k: pair(F.concat(text(k), F.lit(":")), F.element_at(m, k)))
-        pairs = F.when(keyed, let(v.cast("map<string,variant>"), members)).when(listed, F.transform(v.cast("array<variant>"), lambda e: pair(F.lit(""), e)))
-        body = F.array_join(F.transform(pairs, lambda p: F.concat(p["head"], one(p["value"], left - 1))), ",")
-        return F.when(keyed | listed, F.concat(F.when(keyed, "{").otherwise("["), body, F.when(keyed, "}").otherwise("]"))).otherwise(scalar(v, kind))
-
-    def scalar(v: Column, kind: Column) -> Column:
-        number = kind.rlike(r"^(DOUBLE|FLOAT|DECIMAL\(\d+,[1-9]\d*\))")
-        return F.when(kind == "VOID", "null").when(kind == "STRING", text(v.cast("string"))).when(number, double(v.cast("double"), form)).otherwise(v.cast("string"))
-
-    return F.when(c.isNull(), "null").otherwise(one(F.parse_json(c), depth))
+    return written(c)
 
 
 def record(fields: dict[str, Column]) -> Column:

@@ -87,6 +87,22 @@ def test_json_nested_too_deep_raises(spark):
         spark.createDataFrame([("[[[1]]]",)], "d string").select(J.json_value(F.col("d"), J.JCS, 2)).collect()
 
 
+def test_json_text_is_read_once_whatever_its_depth(spark):
+    """The plan had each level's work in it many times over; now it is small, and deep documents go through."""
+    deep = '{"k":[' * 40 + "1.50" + "]}" * 40
+    docs = [deep, '{"😀":9007199254740993.0,"":1.0,"a":"\\ud800"}', "1" * 39, None]
+    df = spark.createDataFrame(list(enumerate(docs)), "i long, d string")
+    for form in (J.JCS, J.SIGNED, J.PLAIN):
+        out = df.select("i", J.json_value(F.col("d"), form).alias("t"))
+        assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 2000
+        got = dict(df.select("i", J.json_value(F.col("d"), form, 80).alias("t")).collect())
+        fixed = {"": 1.0, "😀": float(2**53), "a": "?"}
+        assert got == {0: plain(json.loads(deep), form), 1: plain(fixed, form), 2: plain(float(docs[2]), form), 3: "null"}
+    for odd in ("1 2", "[1]]", "NaN", '{"a":1,"a":1}', ""):
+        with pytest.raises(Exception, match="Error"):
+            spark.createDataFrame([(odd,)], "d string").select(J.json_value(F.col("d"))).collect()
+
+
 def test_typed_values_and_their_json_agree(spark):
     rows = [(1, [{"b": [1.0, None], "a": "x "}], {"\U0001f600": 1e-9, "": 2.5}), (2, None, {}), (None, [], None)]
     df = spark.createDataFrame(rows, "n long, l array<struct<b:array<double>,a:string>>, m map<string,double>").select(F.struct("n", "l", "m").alias("v"))
